@@ -98,7 +98,10 @@ class CutoffGrid:
 
     def _window_floor(self, days: float) -> list[int]:
         edges = self.edges
-        return [bisect.bisect_left(edges, self._floor(c, days)) for c in self.cutoffs]
+        floors = [self._floor(c, days) for c in self.cutoffs]
+        if not set(floors) <= set(edges):
+            raise ValueError(f"the grid was not built with a window of {days} days")
+        return [bisect.bisect_left(edges, f) for f in floors]
 
     def ranges(self) -> tuple[list[int], list[int]]:
         """First and last cutoff ordinal that sees each pane."""

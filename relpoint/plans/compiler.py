@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,7 +197,8 @@ def _reduce(graph, frozen, grid, edge: Edge, depth: int) -> list[Reduction]:
     relation = node.relation
     key = F.col(relation.col(edge.child_key))
     rows = node.rows.where(key.isNotNull()).withColumn(KEY, key)
-    scope = Scope.of(grid, relation.time, graph.strategy, node.masks)
+    windowed = replace(grid, windows=relation.windows)
+    scope = Scope.of(windowed, relation.time, graph.strategy, node.masks)
     own = reduce_rows(rows, relation, node.plan, scope)
     if not node.dynamic:
         return [own]
