@@ -39,7 +39,7 @@ from relpoint.operators.profile import (
     ranked_values,
 )
 from relpoint.plans.compiler import frame
-from relpoint.session import shared_folder
+from relpoint.session import reliable, shared_folder
 from relpoint.sources.frames import concat_frames, frame_statistics, read_frame, write_frame
 from relpoint.sources.tables import duplicate_keys
 from relpoint.spec import CompressionGraph, Edge, Relation
@@ -77,7 +77,8 @@ def churn_labels(spark: SparkSession, folder: str, cutoffs) -> DataFrame:
 def training_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Labels with their features, one-to-one, class weights, usable cutoffs only."""
     labels = trainable_rows(churn_labels(spark, folder, LABEL_CUTOFFS), "target")
-    labels = with_class_weights(coerce_keys(labels, "customer"), "target")
+    # Stored once: the features below and the final join both start from these keys.
+    labels = reliable(with_class_weights(coerce_keys(labels, "customer"), "target"))
     features = frame(order_graph(spark, folder, LABEL_CUTOFFS), keys=labels.select("cutoff", "customer"))
     return align_labels(features, labels, "cus_c_custkey", "customer")
 
@@ -200,9 +201,9 @@ FROM part
 
 
 def encoded_inputs(spark: SparkSession, folder: str) -> DataFrame:
-    """Category codes learned on even sizes; unseen categories and infinities become NULL."""
+    """Codes learned on a split without some categories; unseen ones and infinities become NULL."""
     parts = _mixed(spark, folder)
-    train = parts.where("p_partkey < 500 and brand <> 'Brand#7'")
+    train = parts.where("kind <> 'SMALL' and brand <> 'Brand#7'")
     codes = category_codes(train, ["brand", "kind"])
     return encode(parts.drop("size"), codes, ["brand", "kind"], ["price"])
 
@@ -210,7 +211,7 @@ def encoded_inputs(spark: SparkSession, folder: str) -> DataFrame:
 _ENCODED_SQL = """
 WITH p AS (SELECT p_partkey, CASE WHEN p_size > 5 THEN p_brand END AS brand, p_type AS kind,
   CASE WHEN p_size = 1 THEN NULL ELSE CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) END AS price FROM part),
-t AS (SELECT * FROM p WHERE p_partkey < 500 AND brand <> 'Brand#7'),
+t AS (SELECT * FROM p WHERE kind <> 'SMALL' AND brand <> 'Brand#7'),
 b AS (SELECT brand, row_number() OVER (ORDER BY brand) - 1 AS code FROM (SELECT DISTINCT brand FROM t)),
 k AS (SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS code FROM (SELECT DISTINCT kind FROM t))
 SELECT p_partkey, b.code AS brand, k.code AS kind, price
