@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relpoint.session import reliable
@@ -17,30 +17,50 @@ from relpoint.session import reliable
 SLICES = 64
 
 
-def sliced_by(df: DataFrame, order: str, slices: int = SLICES) -> DataFrame:
-    """Add a monotone ``__slice`` of a numeric column, balanced over its values."""
+def sliced_by(df: DataFrame, order: str, slices: int = SLICES, seen: DataFrame | None = None) -> DataFrame:
+    """Add a monotone ``__slice`` of a numeric column, balanced over its values.
+
+    ``seen`` may name a cheaper table with the same column to take quantiles from.
+    """
     steps = F.array(*(F.lit(i / slices) for i in range(1, slices)))
-    bounds = df.select(F.percentile_approx(F.col(order).cast("double"), steps, F.lit(10_000))).scalar()
-    x = F.col(order).cast("double")
-    below = F.aggregate("__bounds", F.lit(0), lambda n, bound: n + F.when(bound < x, 1).otherwise(0))
-    return df.withColumn("__bounds", bounds).withColumn("__slice", below).drop("__bounds")
+    source = df if seen is None else seen
+    bounds = source.select(F.percentile_approx(F.col(order).cast("double"), steps, F.lit(10_000))).scalar()
+    x = F.col("__x")
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        above = F.get(F.col("__bounds"), F.lit(mid)) < x
+        return F.when(above, tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    ready = df.withColumns({"__bounds": bounds, "__x": F.col(order).cast("double")})
+    return ready.withColumn("__slice", tree(0, slices - 1)).drop("__bounds", "__x")
 
 
 def running_totals(
-    df: DataFrame, groups: Sequence[str], order: str, values: Sequence[str], slices: int = SLICES
+    df: DataFrame,
+    groups: Sequence[str],
+    order: str,
+    values: Sequence[str],
+    slices: int = SLICES,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``<value>_before``: the sum over rows of the group with a smaller order.
+    """Add ``<value>_before``, the sum over smaller orders of the group, and ``<value>_total``.
 
     ``order`` must be numeric and unique within a group. A group is never sorted in
     one task; only its (at most ``slices``) slice totals are.
     """
-    sliced = sliced_by(df, order, slices)
+    sliced = sliced_by(df, order, slices, seen)
     keys = list(groups)
     totals = sliced.groupBy(*keys, "__slice").agg(*(F.sum(v).alias(v) for v in values))
-    anchor = keys or [F.lit(0)]
-    outer = Window.partitionBy(*anchor).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    lower = whole.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "__slice", *(F.coalesce(F.sum(v).over(outer), F.lit(0)).alias(f"__off_{v}") for v in values)
+        *keys,
+        "__slice",
+        *(F.coalesce(F.sum(v).over(lower), F.lit(0)).alias(f"__off_{v}") for v in values),
+        *(F.sum(v).over(whole).alias(f"{v}_total") for v in values),
     )
     inner = (
         Window.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -50,23 +70,19 @@ def running_totals(
     )
     joined = local.join(offsets, [*keys, "__slice"])
     return joined.select(
-        *df.columns, *((F.col(f"__loc_{v}") + F.col(f"__off_{v}")).alias(f"{v}_before") for v in values)
+        *df.columns,
+        *((F.col(f"__loc_{v}") + F.col(f"__off_{v}")).alias(f"{v}_before") for v in values),
+        *(f"{v}_total" for v in values),
     )
 
 
 def running_share(
-    df: DataFrame, groups: Sequence[str], order: str, weight: str, name: str
+    df: DataFrame, groups: Sequence[str], order: str, weight: str, name: str, seen: DataFrame | None = None
 ) -> DataFrame:
     """Share of the group's weight at or below each order value (cumulative distribution)."""
-    totals = df.groupBy(*groups).agg(F.sum(weight).alias("__total"))
-    before = running_totals(df, groups, order, [weight])
-    return before.join(totals, list(groups)).select(
-        *groups,
-        order,
-        (
-            (F.col(f"{weight}_before") + F.col(weight)).cast("double") / F.col("__total").cast("double")
-        ).alias(name),
-    )
+    before = running_totals(df, groups, order, [weight], seen=seen)
+    reached = (F.col(f"{weight}_before") + F.col(weight)).cast("double")
+    return before.select(*groups, order, (reached / F.col(f"{weight}_total").cast("double")).alias(name))
 
 
 def with_row_id(df: DataFrame, order_by: Sequence[str], name: str = "row_id", partitions: int | None = None) -> DataFrame:

@@ -22,6 +22,9 @@ from pyspark.sql import types as T
 
 PANE, FROM, TO, CUT = "__pane", "__from", "__to", "__cut"
 
+# Up to this many copies per row, copying before the (map-side combined) aggregation
+# is cheaper than a separate aggregation per pane and its extra shuffle.
+FEW_COPIES = 4
 # Edges on day boundaries are found by a day-indexed array up to this span; beyond
 # it (or for finer edges) a binary decision tree over the edges is used instead.
 MAX_DAY_TABLE = 65_536
@@ -112,6 +115,16 @@ class CutoffGrid:
         last = [bisect.bisect_left(low, p) - 1 for p in range(len(edges) + 1)]
         return first, last
 
+    @property
+    def copies(self) -> int:
+        """Largest number of cutoffs that see one row."""
+        return max(b - a + 1 for a, b in zip(*self.ranges()))
+
+    @property
+    def folds_first(self) -> bool:
+        """Whether partial results per pane pay off before they are copied."""
+        return self.copies > FEW_COPIES
+
     def pane(self, t: Column, dtype: T.DataType | None = None) -> Column:
         """Number of edges the row lies behind."""
         edges = self.edges
@@ -158,16 +171,24 @@ class CutoffGrid:
         if len(self) == 1 and entered is None:
             return df.withColumn(FROM, F.lit(0)).withColumn(TO, F.lit(0))
         floor_pane = F.col(PANE) if entered is None else self.pane(F.col(entered), dtype)
-        return (
-            df.withColumn(FROM, F.element_at(int_array(first), F.col(PANE) + 1))
-            .withColumn(TO, F.element_at(int_array(last), floor_pane + 1))
-            .where(F.col(FROM) <= F.col(TO))
+        located = df.withColumns(
+            {
+                FROM: F.element_at(int_array(first), F.col(PANE) + 1),
+                TO: F.element_at(int_array(last), floor_pane + 1),
+            }
         )
+        # Without holes between windows the literal bounds above already decide.
+        holes = any(first[p] > last[p] for p in range(self.lookback_days is not None, len(first)) if first[p] < len(self))
+        if entered is None and not holes:
+            return located
+        return located.where(F.col(FROM) <= F.col(TO))
 
     def spread(self, located: DataFrame) -> DataFrame:
         """One copy per cutoff that sees the row or partial result."""
         if len(self) == 1:
             return located.withColumn(CUT, F.lit(0))
+        if self.copies == 1:
+            return located.withColumn(CUT, F.col(FROM))
         return located.withColumn(CUT, F.explode(F.sequence(F.col(FROM), F.col(TO))))
 
     def in_window(self, days: int) -> Column:

@@ -30,8 +30,10 @@ def latest_record_at(
     record = F.struct(F.col(time_col), F.col(tie), *(F.col(c) for c in columns if c not in (time_col, tie)))
     dtype = df.schema[time_col].dataType
     located = grid.locate(df.where(F.col(key).isNotNull()), time_col)
-    cells = located.groupBy(key, PANE, FROM, TO).agg(F.max(record).alias("__r"))
-    merged = grid.spread(cells).groupBy(CUT, key).agg(F.max("__r").alias("__r"))
+    if grid.folds_first:
+        located = located.groupBy(key, PANE, FROM, TO).agg(F.max(record).alias("__r"))
+        record = F.col("__r")
+    merged = grid.spread(located).groupBy(CUT, key).agg(F.max(record).alias("__r"))
     return merged.select(grid.stamp(dtype).alias("cutoff"), key, "__r.*")
 
 

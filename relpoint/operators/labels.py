@@ -67,15 +67,19 @@ def window_measures(
         row_sums[f"{m.name}__n"] = F.when(seen & value.isNotNull(), 1).otherwise(0).cast("bigint")
         if m.kind in ("sum", "avg"):
             row_sums[f"{m.name}__s"] = F.when(seen, value)
-    cells = located.groupBy(key, PANE, FROM, TO).agg(*(F.sum(c).alias(n) for n, c in row_sums.items()))
-    merged = grid.spread(cells).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in row_sums))
+    cells = located
+    if grid.folds_first:
+        cells = located.groupBy(key, PANE, FROM, TO).agg(*(F.sum(c).alias(n) for n, c in row_sums.items()))
+        row_sums = {n: F.col(n) for n in row_sums}
+    merged = grid.spread(cells).groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in row_sums.items()))
 
     for m in measures:
         if m.kind != "nunique":
             continue
         rows = located if m.where is None else located.where(m.where)
         named = rows.withColumn("__value", m.value).where(F.col("__value").isNotNull())
-        once = named.select(key, PANE, FROM, TO, "__value").distinct()
+        once = named.select(key, PANE, FROM, TO, "__value")
+        once = once.distinct() if grid.folds_first else once
         distinct = grid.spread(once).select(CUT, key, "__value").distinct()
         counted = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias(m.name))
         merged = merged.join(counted, keys, "left")

@@ -22,19 +22,15 @@ def ranking_scores(predictions: DataFrame, truth: str, score: str) -> DataFrame:
     folded = predictions.groupBy(s.alias("s")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
     )
-    totals = folded.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     ordered = running_totals(folded, [], "s", ["pos", "neg"])
     pos, neg = F.col("pos"), F.col("neg")
-    p = totals.select("p").scalar()
-    ordered = ordered.withColumn("p", p).withColumn("n", totals.select("n").scalar())
+    p, n = F.col("pos_total").cast("double"), F.col("neg_total").cast("double")
     won = pos.cast("double") * (F.col("neg_before") + neg / F.lit(2.0))
-    above = F.col("p") - F.col("pos_before")
-    at_or_above = above + F.col("n") - F.col("neg_before")
+    above = F.col("pos_total") - F.col("pos_before")
+    at_or_above = above + F.col("neg_total") - F.col("neg_before")
     return ordered.agg(
-        F.try_divide(F.sum(won), F.max(F.col("p").cast("double") * F.col("n"))).alias("auroc"),
-        F.try_divide(
-            F.sum(pos * ratio(above, at_or_above)), F.max(F.col("p").cast("double"))
-        ).alias("average_precision"),
+        F.try_divide(F.sum(won), F.max(p * n)).alias("auroc"),
+        F.try_divide(F.sum(pos * ratio(above, at_or_above)), F.max(p)).alias("average_precision"),
     )
 
 

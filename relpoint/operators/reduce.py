@@ -86,7 +86,7 @@ class Scope:
     def of(cls, grid: CutoffGrid, time_col: str | None, strategy: str, masks: dict[str, str] | None = None) -> Scope:
         if time_col is None:
             return cls(None, None, False)
-        bucket = not masks and (strategy == "bucket" or (strategy == "auto" and len(grid) > 1))
+        bucket = not masks and (strategy == "bucket" or (strategy == "auto" and grid.folds_first))
         return cls(grid, time_col, bucket, masks or {})
 
     @property
@@ -540,7 +540,7 @@ def context_profile(
             filled = kept.where(F.col(x).isNotNull()).withColumn("__peer", group).withColumn("x", F.col(x))
             mine = plain.counted(filled, ["__peer", "x"], {"m": F.lit(1).cast("bigint")})
             histogram = mine.groupBy(CUT, "__peer", "x").agg(F.sum("m").alias("m"))
-            shares = running_share(histogram, [CUT, "__peer"], "x", "m", "share")
+            shares = running_share(histogram, [CUT, "__peer"], "x", "m", "share", seen=filled)
             ranked = mine.join(shares, [CUT, "__peer", "x"])
             part = ranked.groupBy(CUT, KEY).agg(
                 ratio(F.sum(F.col("share") * F.col("m")), F.sum("m")).alias(f"{x}_peer_rank")
