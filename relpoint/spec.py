@@ -76,8 +76,12 @@ class Relation:
             if column.lower() not in lowered:
                 raise ValueError(f"{self.name}: no column {column!r}")
 
+    def role(self, name: str, prefix: str) -> Relation:
+        """The same source in another place of the graph."""
+        return replace(self, name=name, prefix=prefix)
+
     def col(self, column: str) -> str:
-        return f"{self.prefix}_{column}".lower()
+        return re.sub(r"\W+", "_", f"{self.prefix}_{column}".lower())
 
     @property
     def pk_col(self) -> str:
@@ -170,7 +174,7 @@ class CompressionGraph:
         for edge in self.edges:
             self.relation(edge.parent), self.relation(edge.child)
         if len({e.child for e in self.edges}) != len(self.edges):
-            raise ValueError("a relation role can be the child of one edge only; add another role")
+            raise ValueError("a role can be the child of one edge only; add one with Relation.role")
 
     def relation(self, name: str) -> Relation:
         for relation in self.relations:
