@@ -44,21 +44,21 @@ def modes(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
     distinct value of a key in one buffer.
     """
     pairs = F.array(
-        *(F.struct(F.lit(i).alias("i"), v.cast("string").alias("v")) for i, v in enumerate(columns.values()))
+        *(F.struct(F.lit(i).alias("__i"), v.cast("string").alias("__v")) for i, v in enumerate(columns.values()))
     )
     counts = (
         df.select(key, F.inline(pairs))
-        .where(F.col("v").isNotNull())
-        .groupBy(key, "i", "v")
-        .agg(F.count(F.lit(1)).alias("m"))
+        .where(F.col("__v").isNotNull())
+        .groupBy(key, "__i", "__v")
+        .agg(F.count(F.lit(1)).alias("__m"))
     )
     best = counts.groupBy(key).agg(
         *(
-            F.min(F.when(F.col("i") == i, F.struct((-F.col("m")).alias("m"), F.col("v")))).alias(name)
+            F.min(F.when(F.col("__i") == i, F.struct((-F.col("__m")).alias("__m"), F.col("__v")))).alias(name)
             for i, name in enumerate(columns)
         )
     )
-    return best.select(key, *(F.col(f"{name}.v").alias(name) for name in columns))
+    return best.select(key, *(F.col(f"{name}.__v").alias(name) for name in columns))
 
 
 def collapse_bridge(

@@ -20,11 +20,11 @@ def prediction_name(dataset: str, task: str) -> str:
 def key_cover(predictions: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Missing, extra and duplicated keys as one row of counts."""
     # Presence per key from one shuffle of both sides together.
-    sides = predictions.select(*keys, F.lit(1).alias("p"), F.lit(0).alias("e")).unionByName(
-        expected.select(*keys, F.lit(0).alias("p"), F.lit(1).alias("e"))
+    sides = predictions.select(*keys, F.lit(1).alias("__made"), F.lit(0).alias("__due")).unionByName(
+        expected.select(*keys, F.lit(0).alias("__made"), F.lit(1).alias("__due"))
     )
-    seen = sides.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("e").alias("e"))
-    p, e = F.col("p"), F.col("e")
+    seen = sides.groupBy(*keys).agg(F.sum("__made").alias("__made"), F.sum("__due").alias("__due"))
+    p, e = F.col("__made"), F.col("__due")
     return seen.agg(
         F.count_if((p == 0) & (e > 0)).alias("missing"),
         F.count_if((p > 0) & (e == 0)).alias("extra"),
