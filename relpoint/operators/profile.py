@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relpoint.functions.timegrid import timestamp_literal
+from relpoint.spec import CompressionGraph
 
 # Fixed values of the profiling feature.
 SAMPLE_ROWS = 10_000
@@ -18,6 +19,8 @@ MAX_CATEGORICAL = 8
 MAX_GATED_NUMERIC = 4
 GATED_TOP_K = 5
 
+HASH_DIGITS = 4
+
 
 def stacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value) pairs of the non-null values of several columns."""
@@ -32,8 +35,6 @@ def ranked_values(df: DataFrame, columns: Sequence[str], k: int, threshold: int
 
     With a threshold, columns with more distinct values are left out.
     """
-    from pyspark.sql import Window
-
     counts = stacked(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     if threshold is not None:
         small = counts.groupBy("column").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") <= threshold)
@@ -56,12 +57,24 @@ def top_values(
 def profile_sample(
     df: DataFrame, pk: str, time_col: str | None, before: datetime, rows: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """Reproducible sample of rows strictly before a cutoff, ordered by key hash."""
+    """Reproducible sample of rows strictly before a cutoff: the smallest key hashes.
+
+    A histogram over hash prefixes first finds how far the sample reaches. Only rows
+    up to that prefix are sorted, so the final merge sees about the sample and not
+    one sample per input partition.
+    """
     if rows < 1:
         raise ValueError("sample size must be positive")
     if time_col is not None:
         df = df.where(F.col(time_col) < timestamp_literal(before, df.schema[time_col].dataType))
-    return df.orderBy(F.md5(F.col(pk).cast("string")), F.col(pk)).limit(rows)
+    digest = F.md5(F.col(pk).cast("string"))
+    prefix = F.substring(digest, 1, HASH_DIGITS)
+    counts = df.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    # At most 16 ** HASH_DIGITS rows enter this window.
+    lower = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    reached = counts.withColumn("lower", F.coalesce(F.sum("n").over(lower), F.lit(0)))
+    last = reached.where(F.col("lower") < rows).agg(F.max("p")).scalar()
+    return df.where(prefix <= last).orderBy(digest, F.col(pk)).limit(rows)
 
 
 def column_statistics(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -156,11 +169,44 @@ def manifest_summary(manifest_df: DataFrame) -> DataFrame:
 
 
 def manifest_columns(manifest_df: DataFrame) -> tuple[str, ...]:
-    """Graph columns of a manifest (one row per source column reaches the driver)."""
-    return tuple(r["column"] for r in manifest_df.where(F.col("role") != "dropped").collect())
-
+    """Graph columns of a manifest, at most MAX_CATEGORICAL of them categorical.
 
-def samples_for(
-    sources: Mapping[str, tuple[DataFrame, ManifestSource]], before: datetime, rows: int = SAMPLE_ROWS
-) -> dict[str, DataFrame]:
-    return {n: profile_sample(df, s.pk, s.time_col, before, rows) for n, (df, s) in sources.items()}
+    One row per source column reaches the driver.
+    """
+    roles = {r["column"]: r["role"] for r in manifest_df.where(F.col("role") != "dropped").collect()}
+    text = [c for c, role in roles.items() if role == "categorical"]
+    return tuple(c for c in roles if c not in text[MAX_CATEGORICAL:])
+
+
+def with_manifests(
+    graph: CompressionGraph,
+    sources: Mapping[str, ManifestSource],
+    before: datetime,
+    role_sources: Mapping[str, str] | None = None,
+    rows: int = SAMPLE_ROWS,
+) -> CompressionGraph:
+    """Narrow relations to the columns their source profile keeps.
+
+    Each source is profiled once on rows before ``before``; roles that share a
+    source (``role_sources``) share the profile. Relations without one stay as is.
+    """
+    kept: dict[str, tuple[str, ...]] = {}
+    relations = []
+    for relation in graph.relations:
+        name = (role_sources or {}).get(relation.name, relation.name)
+        if name not in sources:
+            relations.append(relation)
+            continue
+        source = sources[name]
+        if name not in kept:
+            sample = profile_sample(relation.df, source.pk, source.time_col, before, rows)
+            kept[name] = manifest_columns(manifest(sample, source))
+        relations.append(
+            replace(
+                relation,
+                columns=tuple(c for c in relation.df.columns if c in kept[name]),
+                gated_numeric=MAX_GATED_NUMERIC,
+                gated_top_k=GATED_TOP_K,
+            )
+        )
+    return replace(graph, relations=tuple(relations))

@@ -21,6 +21,7 @@ from relpoint.operators.reduce import (
     reduce_hops,
     reduce_rows,
 )
+from relpoint.sources.tables import assert_unique
 from relpoint.spec import CompressionGraph, Edge, Relation
 
 
@@ -266,6 +267,18 @@ def _export(df: DataFrame, name: str):
     return F.col(name)
 
 
+def assert_keys(graph: CompressionGraph) -> None:
+    """Keys that must be unique: the entity's, those looked up, and declared primary keys."""
+    entity = graph.relation(graph.entity)
+    assert_unique(entity.prepared(graph.keys_of(entity.name)), [entity.pk_col])
+    for edge in graph.edges:
+        child = graph.relation(edge.child)
+        if not edge.reduce:
+            assert_unique(child.prepared([edge.child_key]), [child.col(edge.child_key)])
+        elif child.unique_pk and child.pk != edge.child_key:
+            assert_unique(child.prepared([edge.child_key]), [child.pk_col])
+
+
 def shared_columns(schemas: Sequence[Sequence[str]]) -> list[str]:
     """Columns present in every frame, in the first frame's order."""
     if not schemas:

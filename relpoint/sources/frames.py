@@ -14,8 +14,12 @@ from relpoint.functions.timegrid import timestamp_literal
 
 
 def write_frame(frame: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write partitioned by cutoff; an overwrite replaces only the cutoffs written."""
-    writer = frame.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    """Write partitioned by cutoff; an overwrite replaces only the cutoffs written.
+
+    Rows are rebalanced by cutoff first: tasks then write few cutoffs each, and a
+    cutoff too big for one task is split by AQE.
+    """
+    writer = frame.hint("rebalance", F.col("cutoff")).write.mode(mode).option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("cutoff").parquet(path)
 
 

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from relpoint import CompressionGraph, Edge, FrozenPlan, Relation, compile_graph
-from relpoint.plans.compiler import frame, shared_columns
+from relpoint.operators.profile import ManifestSource, with_manifests
+from relpoint.plans.compiler import assert_keys, frame, shared_columns
 from relpoint.spec import FAMILIES, normalize_families
 
 START = datetime(2020, 1, 1)
@@ -209,3 +210,29 @@ def test_plan_shape(spark, sf):
     assert "LessThan(o_orderdate" in plan
     assert "o_orderpriority" not in plan
     assert df.select(F.count(F.lit(1))).first()[0] > 0
+
+
+def test_keys_are_checked(spark):
+    base = graph(spark, make_rows())
+    assert_keys(base)
+    doubled = make_rows() + make_rows()[:1]
+    with pytest.raises(ValueError, match="not unique"):
+        assert_keys(graph(spark, doubled))
+
+
+def test_manifests_narrow_relations(spark):
+    rows = make_rows()
+    base = graph(spark, rows)
+    fact = base.relation("facts")
+    wide = replace(fact, df=fact.df.withColumn("constant", F.lit(1)), columns=None)
+    again = wide.role("again", "g")
+    both = replace(
+        base,
+        relations=(base.relation("users"), wide, again),
+        edges=(*base.edges, Edge("users", "again", "uid", "k")),
+    )
+    source = ManifestSource("id", "t", ("k",), excluded=("episode",))
+    narrowed = with_manifests(both, {"facts": source}, CUTS[2], {"again": "facts"})
+    for name in ("facts", "again"):
+        assert set(narrowed.relation(name).columns) == {"id", "k", "t", "x", "kind", "ok", "peer"}
+        assert narrowed.relation(name).gated_numeric == 4
