@@ -75,13 +75,26 @@ def churn_labels(spark: SparkSession, folder: str, cutoffs) -> DataFrame:
 
 
 def training_frame(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels with their features, one-to-one, class weights, usable cutoffs only."""
-    labels = trainable_rows(churn_labels(spark, folder, LABEL_CUTOFFS), "target")
-    # Stored once: the features below and the final join both start from these keys.
-    labels = reliable(with_class_weights(coerce_keys(labels, "customer"), "target"))
-    features = frame(order_graph(spark, folder, LABEL_CUTOFFS), keys=labels.select("cutoff", "customer"))
-    return align_labels(features, labels, "cus_c_custkey", "customer")
+    """Labels with their features, class weights, usable cutoffs only.
 
+    The labels are the frame's base, so the features are joined once.
+    """
+    # A label table is stored once; cutoff filter, weights and frame all read it.
+    labels = reliable(coerce_keys(churn_labels(spark, folder, LABEL_CUTOFFS), "customer"))
+    labels = with_class_weights(trainable_rows(labels, "target"), "target")
+    rows = frame(order_graph(spark, folder, LABEL_CUTOFFS), keys=labels, how="left")
+    return rows.withColumnRenamed("cus_c_custkey", "customer")
+
+
+def aligned_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels joined to a finished frame, keys compared as text."""
+    labels = churn_labels(spark, folder, ORDER_CUTOFFS)
+    features = frame(order_graph(spark, folder, ORDER_CUTOFFS[:2]))
+    aligned = align_labels(features, labels, "cus_c_custkey", "customer", as_text=True)
+    return aligned.select("cutoff", "customer", "target", "ord_n_rows", "ord_o_totalprice_sum")
+
+
+_ALIGNED_FEATURES = f"cutoff <> {stamp(ORDER_CUTOFFS[2])}"
 
 _CHURN = f"""
 SELECT cutoff, c_custkey, CAST(count(o_orderkey) = 0 AS INTEGER) AS target
@@ -109,6 +122,15 @@ LEFT JOIN f ON f.cutoff = kept.cutoff AND f.k = kept.c_custkey
 """
 
 
+_ALIGNED_SQL = f"""
+WITH {cuts(ORDER_CUTOFFS)}, l AS ({_CHURN}), f AS ({_FEATURES})
+SELECT l.cutoff, CAST(c_custkey AS VARCHAR) AS customer, target,
+  CASE WHEN l.{_ALIGNED_FEATURES} THEN COALESCE(n, 0) END AS ord_n_rows,
+  CASE WHEN l.{_ALIGNED_FEATURES} THEN s END AS ord_o_totalprice_sum
+FROM l LEFT JOIN f ON f.cutoff = l.cutoff AND f.k = c_custkey
+"""
+
+
 def label_alignment_faults(spark: SparkSession, folder: str) -> DataFrame:
     """Duplicated keys found on real data: two orders of one customer on one date."""
     orders = table(spark, folder, "orders").select(F.col("o_orderdate").alias("cutoff"), "o_custkey")
@@ -302,6 +324,7 @@ GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
 
 QUERIES = {
     "training_frame": training_frame,
+    "aligned_labels": aligned_labels,
     "label_alignment_faults": label_alignment_faults,
     "frame_round_trip": frame_round_trip,
     "training_frame_statistics": training_frame_statistics,
@@ -318,6 +341,7 @@ QUERIES = {
 
 SQL = {
     "training_frame": _TRAINING_SQL,
+    "aligned_labels": _ALIGNED_SQL,
     "label_alignment_faults": _FAULTS_SQL,
     "frame_round_trip": _ROUND_TRIP_SQL,
     "training_frame_statistics": _STATS_SQL,

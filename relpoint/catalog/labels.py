@@ -197,7 +197,7 @@ def active_any_source(spark: SparkSession, folder: str) -> DataFrame:
     ]
     # Cutoffs early in the history, so that the filter really removes customers.
     moments = (*_EARLY, EVENT_CUTOFFS[0])
-    return keep_active(customer_keys(spark, folder, moments), "c_custkey", active_by(sources, moments))
+    return keep_active(customer_keys(spark, folder, moments), "c_custkey", sources)
 
 
 _EARLY = tuple(c.replace(year=1995, month=m) for m, c in zip((3, 6), ORDER_CUTOFFS))
@@ -212,8 +212,7 @@ WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate <
 def active_customers(spark: SparkSession, folder: str) -> DataFrame:
     """Existence filter on one source, strictly before the cutoff."""
     sources = [(table(spark, folder, "orders"), "o_custkey", "o_orderdate")]
-    active = active_by(sources, _EARLY, inclusive=False)
-    return keep_active(customer_keys(spark, folder, _EARLY), "c_custkey", active)
+    return keep_active(customer_keys(spark, folder, _EARLY), "c_custkey", sources, inclusive=False)
 
 
 _ACTIVE_ONE_SQL = f"""
@@ -270,6 +269,17 @@ FROM (
 GROUP BY l_suppkey
 """
 
+def active_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The same existence as a key set: every (cutoff, customer) seen so far."""
+    sources = [(table(spark, folder, "orders"), "o_custkey", "o_orderdate")]
+    return active_by(sources, _EARLY, name="c_custkey")
+
+
+_ACTIVE_KEYS_SQL = f"""
+WITH {cuts(_EARLY)}
+SELECT DISTINCT cutoff, o_custkey AS c_custkey FROM cuts JOIN orders ON o_orderdate <= cutoff
+"""
+
 QUERIES = {
     "label_churn": label_churn,
     "label_ltv": label_ltv,
@@ -280,6 +290,7 @@ QUERIES = {
     "label_item_ltv": label_item_ltv,
     "active_any_source": active_any_source,
     "active_customers": active_customers,
+    "active_keys": active_keys,
     "asof_click_flag": asof_click_flag,
     "amount_fallback": amount_fallback,
 }
@@ -294,6 +305,7 @@ SQL = {
     "label_item_ltv": _ITEM_LTV_SQL,
     "active_any_source": _ACTIVE_SQL,
     "active_customers": _ACTIVE_ONE_SQL,
+    "active_keys": _ACTIVE_KEYS_SQL,
     "asof_click_flag": _ASOF_SQL,
     "amount_fallback": _AMOUNT_SQL,
 }

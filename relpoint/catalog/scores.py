@@ -17,7 +17,7 @@ from relpoint.operators.metrics import (
     ranking_scores,
     threshold_scores,
 )
-from relpoint.operators.model_inputs import InputLayout, align_labels, coerce_keys, select_features, with_class_weights
+from relpoint.operators.model_inputs import InputLayout, coerce_keys, select_features, with_class_weights
 from relpoint.plans.compiler import frame
 from relpoint.plans.cutoffs import split_cutoffs
 from relpoint.session import reliable, shared_folder
@@ -211,10 +211,9 @@ def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
     every = sorted({c for s in splits.values() for c in s})
     labels = coerce_keys(churn_labels(spark, folder, every), "customer")
     spend = _spend(spark, folder, every).select("cutoff", F.col("c_custkey").alias("customer"), F.col("truth").alias("amount"))
-    features = frame(order_graph(spark, folder, every))
-    rows = align_labels(features, labels.join(spend, ["cutoff", "customer"]), "cus_c_custkey", "customer")
-    rows = reliable(rows)
-    columns = select_features([rows.schema], "target", ["amount", "customer"])
+    labels = labels.join(spend, ["cutoff", "customer"])
+    rows = frame(order_graph(spark, folder, every), keys=labels, how="left")
+    columns = select_features([rows.schema], "target", ["amount", "cus_c_custkey"])
     layout = InputLayout.fit(rows.schema, columns)
     data = reliable(layout.apply(rows, keep=["cutoff", "target", "amount"]))
     train, val, test = (

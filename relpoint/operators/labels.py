@@ -56,7 +56,11 @@ def window_measures(
         grid = CutoffGrid.future(cutoffs, horizon)
     dtype = events.schema[time_col].dataType
     located = grid.locate(events.where(F.col(key).isNotNull()), time_col)
-    keys = [CUT, key]
+    # Grouping by the timestamp itself keeps the partitioning usable for later joins.
+    keys = ["cutoff", key]
+
+    def spread(df: DataFrame) -> DataFrame:
+        return grid.spread(df).withColumn("cutoff", grid.stamp(dtype, cutoffs))
 
     row_sums: dict[str, Column] = {"__n": F.lit(1).cast("bigint")}
     for m in measures:
@@ -71,7 +75,7 @@ def window_measures(
     if grid.folds_first:
         cells = located.groupBy(key, PANE, FROM, TO).agg(*(F.sum(c).alias(n) for n, c in row_sums.items()))
         row_sums = {n: F.col(n) for n in row_sums}
-    merged = grid.spread(cells).groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in row_sums.items()))
+    merged = spread(cells).groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in row_sums.items()))
 
     for m in measures:
         if m.kind != "nunique":
@@ -80,7 +84,7 @@ def window_measures(
         named = rows.withColumn("__value", m.value).where(F.col("__value").isNotNull())
         once = named.select(key, PANE, FROM, TO, "__value")
         once = once.distinct() if grid.folds_first else once
-        distinct = grid.spread(once).select(CUT, key, "__value").distinct()
+        distinct = spread(once).select(*keys, "__value").distinct()
         counted = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias(m.name))
         merged = merged.join(counted, keys, "left")
 
@@ -96,7 +100,7 @@ def window_measures(
             out.append(ratio(F.col(f"{m.name}__s"), F.col(f"{m.name}__n")).alias(m.name))
         else:
             raise ValueError(f"unknown measure kind {m.kind!r}")
-    return merged.select(grid.stamp(dtype, cutoffs).alias("cutoff"), key, *out)
+    return merged.select(*keys, *out)
 
 
 def entity_cutoffs(
@@ -132,33 +136,40 @@ def eligible(
     return window_measures(events, key, time_col, cutoffs, delta, [], past=True)
 
 
-def active_by(
-    sources: Sequence[tuple[DataFrame, str, str]],
-    cutoffs: Sequence[datetime],
-    inclusive: bool = True,
-    name: str = "key",
-) -> DataFrame:
-    """(cutoff, key) with any earlier row in any source.
+Sources = Sequence[tuple[DataFrame, str, str]]
+
+
+def first_seen(sources: Sources, name: str = "key") -> DataFrame:
+    """(key, __first): first timestamp of a key in any source.
 
-    Existence up to a cutoff only needs the first timestamp of a key, so each source
-    shrinks to one row per key before the sources are combined.
+    Existence up to a cutoff needs nothing else, so each source shrinks to one row
+    per key before the sources are combined.
     """
     firsts = [
         df.where(F.col(k).isNotNull()).groupBy(F.col(k).alias(name)).agg(F.min(t).alias("__first"))
         for df, k, t in sources
     ]
-    first = reduce(DataFrame.unionByName, firsts).groupBy(name).agg(F.min("__first").alias("__first"))
+    if len(firsts) == 1:
+        return firsts[0]
+    return reduce(DataFrame.unionByName, firsts).groupBy(name).agg(F.min("__first").alias("__first"))
+
+
+def active_by(
+    sources: Sources, cutoffs: Sequence[datetime], inclusive: bool = True, name: str = "key"
+) -> DataFrame:
+    """(cutoff, key) with any earlier row in any source."""
+    first = first_seen(sources, name)
     grid = CutoffGrid(tuple(sorted(set(cutoffs))), inclusive)
     dtype = first.schema["__first"].dataType
     return grid.spread(grid.locate(first, "__first")).select(grid.stamp(dtype).alias("cutoff"), name)
 
 
-def keep_active(frame: DataFrame, entity: str, active: DataFrame, key: str = "key") -> DataFrame:
-    """Existence filter on (cutoff, entity)."""
-    right = active.withColumnsRenamed({key: "__entity", "cutoff": "__cutoff"})
-    return frame.join(
-        right, (frame["cutoff"] == right["__cutoff"]) & (frame[entity] == right["__entity"]), "left_semi"
-    )
+def keep_active(frame: DataFrame, entity: str, sources: Sources, inclusive: bool = True) -> DataFrame:
+    """Existence filter: the entity has an earlier row in any source. One join on the key."""
+    first = first_seen(sources, "__entity")
+    seen, at = first["__first"], frame["cutoff"]
+    earlier = (seen <= at) if inclusive else (seen < at)
+    return frame.join(first, (frame[entity] == first["__entity"]) & earlier, "left_semi")
 
 
 def drop_dangling(labels: DataFrame, entity: str, entities: DataFrame, pk: str) -> DataFrame:

@@ -212,38 +212,39 @@ def frame(
     frozen: FrozenPlan | None = None,
     keys: DataFrame | None = None,
     cutoff_col: str = "cutoff",
+    how: str = "inner",
 ) -> DataFrame:
     """One row per (cutoff, entity) with every relation below it compressed.
 
-    ``keys`` (cutoff, entity) restricts the rows, e.g. to a label table; otherwise
-    every entity visible at a cutoff gets a row.
+    ``keys`` (cutoff, entity, further columns) restricts the rows, e.g. to a label
+    table, and carries its further columns through, so that labels need no second
+    join with the wide frame. ``how="left"`` keeps keys without a visible entity.
+    Without keys, every entity visible at a cutoff gets a row.
     """
     frozen = frozen or compile_graph(graph)
     grid = CutoffGrid(graph.cutoffs, graph.inclusive, graph.lookback_days)
+    everyone = CutoffGrid(graph.cutoffs, graph.inclusive)
     entity = graph.relation(graph.entity)
     node = _build(graph, frozen, grid, graph.entity, 0)
     pk = entity.pk_col
-    rows = node.rows.where(F.col(pk).isNotNull())
-    everyone = CutoffGrid(graph.cutoffs, graph.inclusive)
+    node.rows = node.rows.where(F.col(pk).isNotNull())
+    carried: list[str] = []
+    stamp = grid.stamp(None if entity.time is None else node.rows.schema[entity.time].dataType)
     if keys is not None:
-        stamp_type = keys.schema[cutoff_col].dataType
-        slot = F.array_position(timestamp_array(graph.cutoffs, stamp_type), F.col(cutoff_col)) - 1
-        wanted = keys.select(slot.cast("int").alias(CUT), F.col(keys.columns[1]).alias("__wanted"))
-        wanted = wanted.where(F.col(CUT) >= 0)
-        rows = wanted.join(rows, F.col("__wanted") == F.col(pk))
-        if entity.time is not None:
-            rows = rows.where(everyone.sees(F.col(entity.time), rows.schema[entity.time].dataType))
+        rows, carried = _keyed(node, everyone, keys, cutoff_col, how)
+        stamp = F.col("__stamp")
     elif entity.time is not None:
-        rows = everyone.spread(everyone.locate(rows, entity.time))
+        rows = everyone.spread(everyone.locate(node.rows, entity.time))
     else:
         last = len(grid) - 1
-        rows = everyone.spread(rows.withColumns({FROM: F.lit(0), TO: F.lit(last)}))
+        rows = everyone.spread(node.rows.withColumns({FROM: F.lit(0), TO: F.lit(last)}))
     for column, seen_at in node.masks.items():
         visible = everyone.sees(F.col(seen_at), rows.schema[seen_at].dataType)
         rows = rows.withColumn(column, F.when(visible, F.col(column)))
-    attributes = [*node.plan.numeric, *node.plan.categorical, *node.plan.flags]
-    carried = [k for _, k in node.dynamic]
-    base = rows.select(CUT, *dict.fromkeys([pk, *attributes, *carried]))
+    attributes = [c for c in (*node.plan.numeric, *node.plan.categorical, *node.plan.flags) if c != pk]
+    links = [k for _, k in node.dynamic]
+    stamps = [] if keys is None else ["__stamp"]
+    base = rows.select(CUT, *dict.fromkeys([*stamps, pk, *carried, *attributes, *links]))
     features: list[Feature] = []
     for reduction, key in node.dynamic:
         right = reduction.df.withColumnRenamed(KEY, "__right").withColumnRenamed(CUT, "__rcut")
@@ -251,15 +252,39 @@ def frame(
             right, (base[CUT] == right["__rcut"]) & (base[key] == right["__right"]), "left"
         ).drop("__right", "__rcut")
         features += reduction.features
-    dtype = None if entity.time is None else node.rows.schema[entity.time].dataType
-    out = [grid.stamp(dtype).alias("cutoff"), F.col(pk)]
-    out += [_export(base, a) for a in attributes if a != pk]
+    out = [stamp.alias("cutoff"), F.col(pk), *(F.col(c) for c in carried)]
+    out += [_export(base, a) for a in attributes]
     for f in features:
         column = _export(base, f.name)
         out.append(F.coalesce(column, F.lit(0)).alias(f.name) if f.kind == "count" else column)
     return base.select(*out)
 
 
+def _keyed(
+    node: _Node, everyone: CutoffGrid, keys: DataFrame, cutoff_col: str, how: str
+) -> tuple[DataFrame, list[str]]:
+    """Entity rows for given (cutoff, entity) keys, plus the names of carried columns."""
+    entity = node.relation
+    pk, time = entity.pk_col, entity.time
+    entity_col = next(c for c in keys.columns if c != cutoff_col)
+    carried = [c for c in keys.columns if c not in (cutoff_col, entity_col)]
+    known = timestamp_array(everyone.cutoffs, keys.schema[cutoff_col].dataType)
+    wanted = keys.select(
+        F.col(cutoff_col).alias("__stamp"),
+        (F.array_position(known, F.col(cutoff_col)) - 1).cast("int").alias(CUT),
+        F.col(entity_col).alias("__wanted"),
+        *carried,
+    )
+    condition = F.col("__wanted") == F.col(pk)
+    if time is not None:
+        seen, at = F.col(time), F.col("__stamp")
+        condition = condition & ((seen <= at) if everyone.inclusive else (seen < at))
+    if how == "inner":
+        wanted = wanted.where(F.col(CUT) >= 0)
+    rows = wanted.join(node.rows, condition, how)
+    return rows.withColumn(pk, F.col("__wanted")), carried
+
+
 def _export(df: DataFrame, name: str):
     """Decimals stay exact while they are summed and leave the engine as doubles."""
     if isinstance(df.schema[name].dataType, T.DecimalType):

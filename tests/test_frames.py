@@ -236,3 +236,14 @@ def test_manifests_narrow_relations(spark):
     for name in ("facts", "again"):
         assert set(narrowed.relation(name).columns) == {"id", "k", "t", "x", "kind", "ok", "peer"}
         assert narrowed.relation(name).gated_numeric == 4
+
+
+def test_labels_are_carried(spark):
+    base = graph(spark, make_rows())
+    labels = [(CUTS[1], 2, 0.5), (CUTS[4], 99, 1.0), (START, 1, 2.0)]
+    keys = spark.createDataFrame(labels, "cutoff timestamp_ntz, uid bigint, y double")
+    whole, got = rows_of(frame(base)), rows_of(frame(base, keys=keys, how="left"))
+    assert {k: r["y"] for k, r in got.items()} == {(c, e): y for c, e, y in labels}
+    assert got[CUTS[4], 99]["f_n_rows"] == 0 and got[START, 1]["f_x_sum"] is None
+    assert_same({k: {c: v for c, v in r.items() if c != "y"} for k, r in got.items() if k in whole},
+                {k: whole[k] for k in got if k in whole})

@@ -84,14 +84,15 @@ def test_entities_appear_when_created(spark):
 def test_existence(spark):
     rows, df = events(spark)
     other = spark.createDataFrame([(7, DENSE[3])], "k bigint, t timestamp_ntz")
-    active = active_by([(df.where("k = 2"), "k", "t"), (other, "k", "t")], DENSE)
+    sources = [(df.where("k = 2"), "k", "t"), (other, "k", "t")]
+    active = active_by(sources, DENSE)
     first = min(r[2] for r in rows if r[1] == 2)
     want = {(c, 2) for c in DENSE if first <= c} | {(c, 7) for c in DENSE[3:]}
     assert {(r["cutoff"], r["key"]) for r in active.collect()} == want
     strict = active_by([(other, "k", "t")], DENSE, inclusive=False)
     assert strict.count() == len(DENSE) - 4
     frame = spark.createDataFrame([(DENSE[0], 7), (DENSE[5], 7)], "cutoff timestamp_ntz, e bigint")
-    assert [r["cutoff"] for r in keep_active(frame, "e", active).collect()] == [DENSE[5]]
+    assert [r["cutoff"] for r in keep_active(frame, "e", sources).collect()] == [DENSE[5]]
     assert eligible(df, "k", "t", DENSE, WEEK).columns == ["cutoff", "k"]
 
 
