@@ -425,16 +425,17 @@ def gap_profile(rows: DataFrame, prefix: str, scope: Scope) -> Reduction:
 
     A gap belongs to every cutoff that sees both of its end points, so gaps are
     found once, not per cutoff. Equal timestamps collapse to one row with a
-    multiplicity first; consecutive timestamps are then paired inside hour slices
+    multiplicity first; consecutive timestamps are then paired inside minute slices
     of the key, and slices are linked through their first and last timestamp. A
-    heavy key is thereby split over its hours instead of being sorted in one task.
+    heavy key is thereby split over its minutes; the link step holds at most one
+    row per minute of history.
     """
     t, grid = F.col("t"), scope.grid
     dtype = rows.schema[scope.time_col].dataType
     visible = rows.where(grid.bounds(F.col(scope.time_col), dtype))
     times = visible.groupBy(KEY, F.col(scope.time_col).alias("t")).agg(F.count(F.lit(1)).alias("m"))
-    hour = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date")) * 24 + F.hour(t)
-    times = times.withColumn("slice", hour)
+    day = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date"))
+    times = times.withColumn("slice", (day * 24 + F.hour(t)) * 60 + F.minute(t))
     inner = Window.partitionBy(KEY, "slice").orderBy("t")
     paired = times.withColumn("prev", F.lag("t").over(inner)).where(F.col("prev").isNotNull())
     ends = times.groupBy(KEY, "slice").agg(F.min("t").alias("first"), F.max("t").alias("last"))
