@@ -12,6 +12,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relpoint.sources.tables import load_tables
+
 ORDER_CUTOFFS = (datetime(1999, 1, 1), datetime(2000, 1, 1), datetime(2001, 1, 1))
 EVENT_CUTOFFS = (datetime(2024, 1, 8), datetime(2024, 1, 15), datetime(2024, 1, 22))
 VALIDATION, TEST = datetime(2000, 1, 1), datetime(2001, 1, 1)
@@ -30,7 +32,7 @@ MONEY = {
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    df = load_tables(spark, folder, [name])[name]
     exact = {c: F.col(c).cast("decimal(12,2)") for c in MONEY.get(name, ())}
     return df.withColumns(exact) if exact else df
 

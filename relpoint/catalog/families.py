@@ -296,7 +296,7 @@ def _gated_sql() -> str:
     for x in ("l_quantity", "l_extendedprice"):
         for v in "ANR":
             name, test = f"li_{x}_if_li_l_returnflag_{v.lower()}", f"l_returnflag = '{v}'"
-            items += [f"{dsum(x, test)} AS {name}_sum", f"{dsum(x, test)} / NULLIF(count({x}) FILTER (WHERE {test}), 0) AS {name}_avg"]
+            items += [f"{dsum(x, test)} AS {name}_sum", f"{davg(x, test)} AS {name}_avg"]
             names += [f"{name}_sum", f"{name}_avg"]
     return f"""
 WITH {cuts(ORDER_CUTOFFS)},

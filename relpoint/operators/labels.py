@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 
 from relpoint.functions.scalars import ratio
 from relpoint.functions.timegrid import (
-    CUT,
     FROM,
     PANE,
     TO,
     CutoffGrid,
-    timestamp_array,
     timestamp_literal,
 )
 
@@ -214,7 +212,3 @@ def before(df: DataFrame, time_col: str, moment: datetime, inclusive: bool = Fal
     """Visibility filter with a literal of the column's own type (pushed to the scan)."""
     bound = timestamp_literal(moment, df.schema[time_col].dataType)
     return df.where(F.col(time_col) <= bound if inclusive else F.col(time_col) < bound)
-
-
-def cutoff_column(cutoffs: Sequence[datetime]) -> Column:
-    return F.explode(timestamp_array(tuple(cutoffs)))

@@ -17,7 +17,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relpoint.functions.scalars import day_difference, indicator, ratio
+from relpoint.functions.scalars import day_difference, ratio
 from relpoint.functions.timegrid import CUT, FROM, PANE, TO, CutoffGrid, epoch_micros
 from relpoint.spec import Relation
 
@@ -84,8 +84,11 @@ class Scope:
 
     @classmethod
     def of(cls, grid: CutoffGrid, time_col: str | None, strategy: str, masks: dict[str, str] | None = None) -> Scope:
-        if time_col is None:
+        if time_col is None and not masks:
             return cls(None, None, False)
+        if time_col is None:
+            # No clock of its own, but looked-up columns that appear over time.
+            return cls(grid, None, False, masks)
         bucket = not masks and (strategy == "bucket" or (strategy == "auto" and grid.folds_first))
         return cls(grid, time_col, bucket, masks or {})
 
@@ -102,7 +105,12 @@ class Scope:
         return [KEY, PANE, FROM, TO]
 
     def located(self, rows: DataFrame) -> DataFrame:
-        return self.grid.locate(rows, self.time_col) if self.timed else rows
+        if not self.timed:
+            return rows
+        if self.time_col is None:
+            whole = {PANE: F.lit(0), FROM: F.lit(0), TO: F.lit(len(self.grid) - 1)}
+            return rows.withColumns(whole)
+        return self.grid.locate(rows, self.time_col)
 
     def spread(self, located: DataFrame) -> DataFrame:
         """Copies per cutoff; looked-up columns not yet visible there become NULL."""
@@ -308,7 +316,7 @@ def _rollup(rows: DataFrame, relation: Relation, plan: ColumnPlan, scope: Scope)
         blank = F.coalesce(words, F.lit(0)).eqNullSafe(F.lit(0)).cast("bigint")
         emit(f"{text}_blank_share", ratio(atoms.need(f"{text}__blank", blank), n))
 
-    if scope.timed and "recency" in stats:
+    if scope.time_col and "recency" in stats:
         t = F.col(scope.time_col)
         last, first = atoms.need("__last", t, "max"), atoms.need("__first", t, "min")
         stamp = scope.grid.stamp(rows.schema[scope.time_col].dataType)
@@ -559,9 +567,9 @@ def reduce_hops(
 ) -> Reduction:
     """Fold features that already depend on the cutoff one level further up."""
     keys = list(dict.fromkeys(k for _, k in dynamic))
-    time_cols = [scope.time_col] if scope.timed else []
+    time_cols = [scope.time_col] if scope.time_col else []
     narrow = rows.select(KEY, *time_cols, *[k for k in keys if k not in time_cols])
-    if scope.timed:
+    if scope.time_col:
         spread = grid.spread(grid.locate(narrow, scope.time_col))
     else:
         spread = narrow.withColumn(CUT, F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))

@@ -239,7 +239,7 @@ def frame(
         last = len(grid) - 1
         rows = everyone.spread(node.rows.withColumns({FROM: F.lit(0), TO: F.lit(last)}))
     for column, seen_at in node.masks.items():
-        visible = everyone.sees(F.col(seen_at), rows.schema[seen_at].dataType)
+        visible = (F.col(seen_at) <= stamp) if graph.inclusive else (F.col(seen_at) < stamp)
         rows = rows.withColumn(column, F.when(visible, F.col(column)))
     attributes = [c for c in (*node.plan.numeric, *node.plan.categorical, *node.plan.flags) if c != pk]
     links = [k for _, k in node.dynamic]

@@ -247,3 +247,29 @@ def test_labels_are_carried(spark):
     assert got[CUTS[4], 99]["f_n_rows"] == 0 and got[START, 1]["f_x_sum"] is None
     assert_same({k: {c: v for c, v in r.items() if c != "y"} for k, r in got.items() if k in whole},
                 {k: whole[k] for k in got if k in whole})
+
+
+@pytest.mark.parametrize("clock", [None, "at"])
+def test_looked_up_columns_appear_with_their_own_time(spark, clock):
+    """A lookup is masked until it is visible, also below a relation without a clock."""
+    users = spark.createDataFrame([(1, 10), (2, 11)], "uid bigint, home bigint")
+    links = spark.createDataFrame([(1, 10, START), (1, 11, START), (2, 10, START)], "u bigint, p bigint, at timestamp_ntz")
+    places = spark.createDataFrame([(10, CUTS[0], 5.0), (11, CUTS[2], 7.0)], "pid bigint, born timestamp_ntz, size double")
+    user = Relation("users", users, "uid", "u", columns=())
+    link = Relation("links", links, "u", "l", clock, columns=(), stats=("count", "sum"))
+    place = Relation("places", places, "pid", "p", "born", columns=("size",))
+    home = place.role("home", "h")
+    edges = (
+        Edge("users", "links", "uid", "u"),
+        Edge("links", "places", "p", "pid", reduce=False),
+        Edge("users", "home", "home", "pid", reduce=False),
+    )
+    full = CompressionGraph("users", (user, link, place, home), edges, CUTS[:4], hops_back=2)
+    keys = spark.createDataFrame([(CUTS[1], 1), (START, 2)], "cutoff timestamp_ntz, uid bigint")
+    for strategy in ("auto", "bucket"):
+        got = rows_of(frame(replace(full, strategy=strategy)))
+        size = {k: (r["l_n_rows"], r["p_size_sum"], r["h_size"]) for k, r in got.items()}
+        assert [size[c, 1] for c in CUTS[:4]] == [(2, None, None), (2, 5.0, 5.0), (2, 5.0, 5.0), (2, 12.0, 5.0)]
+        assert [size[c, 2][2] for c in CUTS[:4]] == [None, None, None, 7.0]
+    left = rows_of(frame(full, keys=keys, how="left"))
+    assert left[CUTS[1], 1]["h_size"] == 5.0 and left[START, 2]["h_size"] is None
