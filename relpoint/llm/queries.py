@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("digest_index",)
+MODULES = ("decontaminate", "simhash", "digest_index", "packing", "quality")
 
 
 def _all(table: str) -> dict:
