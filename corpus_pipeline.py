@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from relpoint.llm.common import read, store
+from relpoint.llm.decontaminate import decontaminate
 from relpoint.llm.digest_index import drop_exact
+from relpoint.llm.packing import pack_documents, public_tokenizer
+from relpoint.llm.quality import keep_good
+from relpoint.llm.simhash import drop_near
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels of this table, doesn't reject."""
+    return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +22,31 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays: the one with the smallest doc_id."""
+    return drop_near(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark; those with one go as a whole."""
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents left, each with its token ids and its place in a sequence."""
+    packed = pack_documents(docs, public_tokenizer(), with_ids=True)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", leaks),
+    ("packing", packing),
+]
 
-#: The classifier and the tokenizer can't be stated in SQL.
+#: The classifier, the fingerprints and the tokenizer can't be stated in SQL.
 ORACLE_SQL = None
 
 
