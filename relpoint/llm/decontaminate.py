@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -189,10 +188,6 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def item_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-
-
 QUERIES = {"op3_decontaminate": op3_decontaminate}
 #: Overlapping windows of whole texts against all items are too slow in SQL on whole tables.
 SQL: dict[str, str] = {}

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "simhash", "digest_index", "packing", "quality")
+MODULES = (
+    "line_dedup",
+    "language_model",
+    "decontaminate",
+    "simhash",
+    "paragraph_dedup",
+    "licenses",
+    "digest_index",
+    "packing",
+    "quality",
+    "url_filter",
+)
 
 
 def _all(table: str) -> dict:

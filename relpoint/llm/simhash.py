@@ -156,13 +156,14 @@ def drop_near(docs: DataFrame, segments: int = SEGMENTS, cell: int = CELL) -> Da
     told apart by fingerprint, and of rows equal in both one stays.
     """
     groups = store(near_groups(docs, segments=segments, cell=cell), "simhash-groups")
+    fp, gone, gone_fp = fresh(docs, "fp", "gone", "gone_fp")
     drop = groups.where(~F.col("id").eqNullSafe(F.col("component")))
+    drop = drop.select(F.col("id").alias(gone), F.col("fp").alias(gone_fp)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(gone))
     if groups.groupBy("id").count().where("count > 1").isEmpty():
-        return docs.join(drop.select("id"), docs["doc_id"].eqNullSafe(F.col("id")), "left_anti")
-    [fp] = fresh(docs, "fp")
+        return docs.join(drop, same, "left_anti")
     keyed = with_fingerprint(docs, fp)
-    drop = drop.select("id", F.col("fp").alias("drop_fp")).distinct()
-    same = keyed["doc_id"].eqNullSafe(drop["id"]) & (keyed[fp] == drop["drop_fp"])
+    same = keyed["doc_id"].eqNullSafe(F.col(gone)) & (F.col(fp) == F.col(gone_fp))
     return keyed.join(drop, same, "left_anti").dropDuplicates(["doc_id", fp]).drop(fp)
 
 
