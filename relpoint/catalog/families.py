@@ -283,7 +283,7 @@ def lineitem_gated(spark: SparkSession, folder: str) -> DataFrame:
         columns=("l_quantity", "l_extendedprice", "l_returnflag"),
         stats=("count",),
         categories={"l_returnflag": ("A", "N", "R")},
-        gated_numeric=4,
+        gated=(("l_quantity", "l_returnflag"), ("l_extendedprice", "l_returnflag")),
     )
     graph = CompressionGraph(
         "supplier", (supplier, items), (Edge("supplier", "lineitem", "s_suppkey", "l_suppkey"),), ORDER_CUTOFFS

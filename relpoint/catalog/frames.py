@@ -41,7 +41,9 @@ def base_graph(spark: SparkSession, folder: str) -> CompressionGraph:
         "ord",
         "o_orderdate",
         columns=("o_totalprice", "o_orderstatus"),
+        stats=FULL,
         categories={"o_orderstatus": STATUSES},
+        unique_pk=True,
     )
     edge = Edge("customer", "orders", "c_custkey", "o_custkey")
     return CompressionGraph("customer", (customer, orders), (edge,), ORDER_CUTOFFS)
@@ -148,7 +150,6 @@ def customer_frame_multihop(spark: SparkSession, folder: str) -> DataFrame:
         "l_shipdate",
         columns=("l_quantity",),
         stats=("count", "sum", "max"),
-        unique_pk=False,
     )
     part = Relation("part", table(spark, folder, "part"), "p_partkey", "prt", columns=("p_size", "p_brand"))
     edges = (
@@ -216,7 +217,6 @@ def lineitem_via_part(spark: SparkSession, folder: str) -> DataFrame:
         "l_shipdate",
         columns=("l_quantity",),
         stats=("count", "sum", "max"),
-        unique_pk=False,
     )
     part = Relation(
         "part", table(spark, folder, "part"), "p_partkey", "prt", columns=("p_size",), stats=("count", "sum")
@@ -255,7 +255,6 @@ def timed_lookup(spark: SparkSession, folder: str) -> DataFrame:
         "l_shipdate",
         columns=(),
         stats=("count", "sum", "avg", "nunique", "mode"),
-        unique_pk=True,
     )
     orders = Relation(
         "orders", table(spark, folder, "orders"), "o_orderkey", "ord", "o_orderdate",
@@ -272,19 +271,20 @@ def timed_lookup(spark: SparkSession, folder: str) -> DataFrame:
 _TIMED_LOOKUP_SQL = f"""
 WITH {cuts(ORDER_CUTOFFS)},
 vis AS (
-  SELECT cutoff, l_suppkey, CASE WHEN o_orderdate < cutoff THEN o_totalprice END AS o_totalprice,
+  SELECT cutoff, l_suppkey, l_orderkey, CASE WHEN o_orderdate < cutoff THEN o_totalprice END AS o_totalprice,
     CASE WHEN o_orderdate < cutoff THEN o_orderstatus END AS st
   FROM cuts JOIN lineitem ON l_shipdate < cutoff LEFT JOIN orders ON o_orderkey = l_orderkey),
 agg AS (
   SELECT cutoff, l_suppkey AS k, count(*) AS li_n_rows,
-    {numeric_sql("o_totalprice", "ord", ("sum", "avg"))}, count(DISTINCT st) AS ord_o_orderstatus_nunique
+    {numeric_sql("o_totalprice", "ord", ("sum", "avg"))}, count(DISTINCT st) AS ord_o_orderstatus_nunique,
+    count(DISTINCT l_orderkey) AS li_pk_nunique
   FROM vis GROUP BY cutoff, l_suppkey),
 ranked AS (
   SELECT cutoff, l_suppkey AS k, st,
     row_number() OVER (PARTITION BY cutoff, l_suppkey ORDER BY count(*) DESC, st) AS r
   FROM vis WHERE st IS NOT NULL GROUP BY cutoff, l_suppkey, st)
-SELECT c.cutoff, s_suppkey AS sup_s_suppkey, {zero("li_n_rows", "ord_o_orderstatus_nunique")},
-  COALESCE(li_n_rows, 0) AS li_pk_nunique, ord_o_totalprice_sum, ord_o_totalprice_avg,
+SELECT c.cutoff, s_suppkey AS sup_s_suppkey, {zero("li_n_rows", "ord_o_orderstatus_nunique", "li_pk_nunique")},
+  ord_o_totalprice_sum, ord_o_totalprice_avg,
   ranked.st AS ord_o_orderstatus_mode
 FROM (SELECT cutoff, s_suppkey FROM cuts, supplier) c
 LEFT JOIN agg ON agg.cutoff = c.cutoff AND agg.k = s_suppkey
@@ -292,13 +292,70 @@ LEFT JOIN ranked ON ranked.cutoff = c.cutoff AND ranked.k = s_suppkey AND ranked
 """
 
 
+def hops_below_timed_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """supplier <- lineitem -> orders <- lineitem: what lies below an order counts once the order is visible."""
+    supplier = Relation("supplier", table(spark, folder, "supplier"), "s_suppkey", "sup", columns=())
+    lineitem = Relation(
+        "lineitem", table(spark, folder, "lineitem"), "l_orderkey", "li", "l_shipdate", columns=(), stats=("count", "sum")
+    )
+    orders = Relation(
+        "orders", table(spark, folder, "orders"), "o_orderkey", "ord", "o_orderdate", columns=("o_totalprice",),
+        stats=("count", "sum"),
+    )
+    other = replace(
+        lineitem.role("other", "oth"), columns=("l_quantity", "l_returnflag"), stats=("count", "sum", "mode")
+    )
+    edges = (
+        Edge("supplier", "lineitem", "s_suppkey", "l_suppkey"),
+        Edge("lineitem", "orders", "l_orderkey", "o_orderkey", reduce=False),
+        Edge("orders", "other", "o_orderkey", "l_orderkey"),
+    )
+    graph = CompressionGraph(
+        "supplier", (supplier, lineitem, orders, other), edges, ORDER_CUTOFFS, hops_back=3, hop_stats=("sum", "max")
+    )
+    return frame(graph)
+
+
+_BELOW_LOOKUP_SQL = f"""
+WITH {cuts(ORDER_CUTOFFS)},
+seen AS (SELECT cutoff, lineitem.* FROM cuts JOIN lineitem ON l_shipdate < cutoff),
+per_flag AS (SELECT cutoff, l_orderkey AS k, l_returnflag AS f,
+    row_number() OVER (PARTITION BY cutoff, l_orderkey ORDER BY count(*) DESC, l_returnflag) AS r
+  FROM seen WHERE l_returnflag IS NOT NULL GROUP BY cutoff, l_orderkey, l_returnflag),
+items AS (
+  SELECT a.*, f FROM (SELECT cutoff, l_orderkey AS k, count(*) AS n, sum({dec("l_quantity")}) AS s
+    FROM seen GROUP BY cutoff, l_orderkey) a
+  LEFT JOIN per_flag p ON p.cutoff = a.cutoff AND p.k = a.k AND r = 1),
+vis AS (
+  SELECT v.cutoff, l_suppkey, CASE WHEN o_orderdate < v.cutoff THEN o_totalprice END AS price,
+    CASE WHEN o_orderdate < v.cutoff THEN n END AS n, CASE WHEN o_orderdate < v.cutoff THEN s END AS s,
+    CASE WHEN o_orderdate < v.cutoff THEN f END AS f
+  FROM seen v LEFT JOIN orders ON o_orderkey = l_orderkey
+  LEFT JOIN items ON items.cutoff = v.cutoff AND items.k = l_orderkey),
+agg AS (
+  SELECT cutoff, l_suppkey AS k, count(*) AS li_n_rows, {dsum("price")} AS ord_o_totalprice_sum,
+    CAST(sum(COALESCE(n, 0)) AS BIGINT) AS oth_n_rows_sum, max(COALESCE(n, 0)) AS oth_n_rows_max,
+    CAST(sum(s) AS DOUBLE) AS oth_l_quantity_sum_sum, CAST(max(s) AS DOUBLE) AS oth_l_quantity_sum_max
+  FROM vis GROUP BY cutoff, l_suppkey),
+ranked AS (SELECT cutoff, l_suppkey AS k, f,
+    row_number() OVER (PARTITION BY cutoff, l_suppkey ORDER BY count(*) DESC, f) AS r
+  FROM vis WHERE f IS NOT NULL GROUP BY cutoff, l_suppkey, f)
+SELECT c.cutoff, s_suppkey AS sup_s_suppkey, {zero("li_n_rows")}, ord_o_totalprice_sum,
+  COALESCE(oth_n_rows_sum, 0) AS oth_n_rows_sum, oth_n_rows_max, oth_l_quantity_sum_sum, oth_l_quantity_sum_max,
+  ranked.f AS oth_l_returnflag_mode_mode
+FROM (SELECT cutoff, s_suppkey FROM cuts, supplier) c
+LEFT JOIN agg ON agg.cutoff = c.cutoff AND agg.k = s_suppkey
+LEFT JOIN ranked ON ranked.cutoff = c.cutoff AND ranked.k = s_suppkey AND ranked.r = 1
+"""
+
+
 def role_playing_nations(spark: SparkSession, folder: str) -> DataFrame:
     """nation twice: customers of it, suppliers of it, and the nation of each customer."""
     nation = table(spark, folder, "nation")
     entity = Relation("nation", nation, "n_nationkey", "nat", columns=("n_name",))
     customer = Relation(
         "customer", table(spark, folder, "customer"), "c_custkey", "cus", columns=("c_acctbal",),
-        stats=("count", "sum", "avg", "nunique"),
+        stats=("count", "sum", "avg", "nunique"), unique_pk=True,
     )
     supplier = Relation(
         "supplier", table(spark, folder, "supplier"), "s_suppkey", "sup", columns=("s_acctbal",),
@@ -357,6 +414,7 @@ QUERIES = {
     "customer_frame_multihop": customer_frame_multihop,
     "lineitem_via_part": lineitem_via_part,
     "timed_lookup": timed_lookup,
+    "hops_below_timed_lookup": hops_below_timed_lookup,
     "role_playing_nations": role_playing_nations,
     "custom_reduction": custom_reduction,
 }
@@ -370,6 +428,7 @@ SQL = {
     "customer_frame_multihop": _MULTIHOP_SQL,
     "lineitem_via_part": _VIA_PART_SQL,
     "timed_lookup": _TIMED_LOOKUP_SQL,
+    "hops_below_timed_lookup": _BELOW_LOOKUP_SQL,
     "role_playing_nations": _ROLES_SQL,
     "custom_reduction": _CUSTOM_SQL,
 }

@@ -16,6 +16,7 @@ from relpoint.operators.history import (
     star,
 )
 from relpoint.operators.labels import before
+from relpoint.session import reliable
 
 CUTOFF = ORDER_CUTOFFS[1]
 
@@ -71,10 +72,7 @@ def order_part_bridge(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey",
         "l_partkey",
         "p_partkey",
-        [
-            F.countDistinct("l_partkey").alias("part_count"),
-            F.countDistinct(returned).alias("returned_part_count"),
-        ],
+        {"part_count": F.col("l_partkey"), "returned_part_count": returned},
         {"brand": F.col("p_brand"), "part_type": F.col("p_type"), "line_status": F.col("l_linestatus")},
     )
 
@@ -122,22 +120,25 @@ def supplier_history_star(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey",
         "l_partkey",
         "p_partkey",
-        [F.countDistinct("l_partkey").alias("part_count")],
+        {"part_count": F.col("l_partkey")},
         {"order_brand": F.col("p_brand")},
     )
-    # One flag per (order, ship date), then the share of good dates per order.
-    tested = lines.where(differs_or_null(F.col("l_returnflag"), "N") & F.col("l_discount").between(0, 0.1))
-    dated = tested.groupBy("l_orderkey", "l_shipdate").agg(
-        F.min(indicator(F.col("l_tax") < 0.05)).alias("is_good")
+    # One flag per (order, ship date), then the share of good dates per order, and the volume with it.
+    tested = differs_or_null(F.col("l_returnflag"), "N") & F.col("l_discount").between(0, 0.1)
+    dated = lines.groupBy("l_orderkey", "l_shipdate").agg(
+        F.min(F.when(tested, indicator(F.col("l_tax") < 0.05))).alias("is_good"),
+        F.count(F.lit(1)).alias("lines"),
+        F.sum("l_quantity").alias("quantity"),
     )
-    success = dated.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("outcome_count"), F.avg("is_good").alias("good_rate")
-    )
-    volume = lines.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("line_count"), F.sum("l_quantity").alias("quantity")
+    volume = dated.groupBy("l_orderkey").agg(
+        F.nullif(F.count("is_good"), F.lit(0)).alias("outcome_count"),
+        F.avg("is_good").alias("good_rate"),
+        F.sum("lines").alias("line_count"),
+        F.sum("quantity").alias("quantity"),
     )
     fact = lines.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
-    rows = star(fact, base, "l_orderkey", [bridge, success, volume])
+    # Two aggregations read the star's rows; they are stored once.
+    rows = reliable(star(fact, base, "l_orderkey", [bridge, volume]))
 
     order = (F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"))
     weight = F.col("good_rate") * F.col("outcome_count")

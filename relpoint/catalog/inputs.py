@@ -36,6 +36,7 @@ from relpoint.operators.profile import (
     manifest,
     manifest_summary,
     profile_sample,
+    visible_before,
     ranked_values,
 )
 from relpoint.plans.compiler import frame
@@ -243,16 +244,16 @@ FROM p LEFT JOIN b ON b.brand = p.brand LEFT JOIN k ON k.kind = p.kind
 _ORDER_SOURCE = ManifestSource("o_orderkey", "o_orderdate", ("o_custkey",), ("o_orderpriority",))
 
 
-def _sample(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").withColumn("constant", F.lit("x")).withColumn(
+def _orders(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").withColumn("constant", F.lit("x")).withColumn(
         "note", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))
     )
-    return profile_sample(orders, "o_orderkey", "o_orderdate", VALIDATION)
 
 
 def profile_orders_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Reproducible 10,000-row sample strictly before validation."""
-    return _sample(spark, folder).select("o_orderkey", "o_orderdate", "o_orderstatus")
+    sample = profile_sample(_orders(spark, folder), "o_orderkey", "o_orderdate", VALIDATION, 10_000)
+    return sample.select("o_orderkey", "o_orderdate", "o_orderstatus")
 
 
 _SAMPLE_SQL = f"""
@@ -262,7 +263,8 @@ ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 10000
 
 
 def profile_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return manifest(_sample(spark, folder), _ORDER_SOURCE)
+    """Roles from all rows before validation."""
+    return manifest(visible_before(_orders(spark, folder), "o_orderdate", VALIDATION), _ORDER_SOURCE)
 
 
 def _manifest_sql() -> str:
@@ -276,11 +278,11 @@ def _manifest_sql() -> str:
         f"count(DISTINCT {values.get(c, c)}) AS n_distinct, '{r}' AS role FROM s"
         for c, r in roles.items()
     ]
-    return f"WITH s AS ({_SAMPLE_SQL}) " + " UNION ALL ".join(parts)
+    return f"WITH s AS (SELECT * FROM orders WHERE o_orderdate < {stamp(VALIDATION)}) " + " UNION ALL ".join(parts)
 
 
 def profile_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return manifest_summary(manifest(_sample(spark, folder), _ORDER_SOURCE))
+    return manifest_summary(profile_manifest(spark, folder))
 
 
 def part_column_statistics(spark: SparkSession, folder: str) -> DataFrame:

@@ -192,7 +192,7 @@ GROUP BY cutoff, l_partkey
 def active_any_source(spark: SparkSession, folder: str) -> DataFrame:
     """Customers with an order or an event up to the cutoff."""
     sources = [
-        (table(spark, folder, "orders").where("o_orderstatus = 'P'"), "o_custkey", "o_orderdate"),
+        (table(spark, folder, "orders"), "o_custkey", "o_orderdate"),
         (table(spark, folder, "events"), "user_id", "ts"),
     ]
     # Cutoffs early in the history, so that the filter really removes customers.
@@ -204,7 +204,7 @@ _EARLY = tuple(c.replace(year=1995, month=m) for m, c in zip((3, 6), ORDER_CUTOF
 _ACTIVE_SQL = f"""
 WITH {cuts((*_EARLY, EVENT_CUTOFFS[0]))}
 SELECT cutoff, c_custkey FROM cuts, customer
-WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate <= cutoff AND o_orderstatus = 'P')
+WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate <= cutoff)
    OR EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND ts <= cutoff)
 """
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relpoint.catalog.common import DELTA, TEST, VALIDATION, davg, dsum, rounded, stamp, table
 from relpoint.catalog.inputs import churn_labels, order_graph
-from relpoint.operators.fit import fit_classifier, fit_regressor, score_probability, score_regression
+from relpoint.operators.fit import GRID, fit_classifier, fit_regressor, score_probability, score_regression
 from relpoint.operators.labels import Measure, entity_cutoffs, label_table, window_measures
 from relpoint.operators.metrics import (
     apply_candidate,
@@ -133,9 +133,9 @@ def candidate_errors(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(scores, ["mae"], 9)
 
 
-_ERRORS = f"""SELECT 'mae_regression' AS candidate, avg(abs(y - r)) AS mae FROM ({_bounded_sql(VALIDATION)})
-UNION ALL SELECT 'cross_entropy_probability', avg(abs(y - p)) FROM ({_bounded_sql(VALIDATION)})
-UNION ALL SELECT 'equal_weight_blend', avg(abs(y - 0.5::DOUBLE * (r + p))) FROM ({_bounded_sql(VALIDATION)})"""
+_ERRORS = f"""SELECT 'clipped_value' AS candidate, avg(abs(y - r)) AS mae FROM ({_bounded_sql(VALIDATION)})
+UNION ALL SELECT 'probability', avg(abs(y - p)) FROM ({_bounded_sql(VALIDATION)})
+UNION ALL SELECT 'mean_of_both', avg(abs(y - 0.5::DOUBLE * (r + p))) FROM ({_bounded_sql(VALIDATION)})"""
 
 
 def candidate_select(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,8 +148,8 @@ def candidate_select(spark: SparkSession, folder: str) -> DataFrame:
 
 _SELECT_SQL = f"""
 WITH b AS (SELECT candidate FROM ({_ERRORS}) ORDER BY mae LIMIT 1)
-SELECT cutoff, c_custkey, candidate, CASE candidate WHEN 'mae_regression' THEN r
-  WHEN 'cross_entropy_probability' THEN p ELSE 0.5::DOUBLE * (r + p) END AS prediction
+SELECT cutoff, c_custkey, candidate, CASE candidate WHEN 'clipped_value' THEN r
+  WHEN 'probability' THEN p ELSE 0.5::DOUBLE * (r + p) END AS prediction
 FROM ({_bounded_sql(TEST)}), b
 """
 
@@ -206,7 +206,11 @@ def _splits(spark: SparkSession, folder: str) -> dict[str, list]:
 
 
 def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Churn classifier and spend regressor fitted and scored on the test split."""
+    """Churn classifier and spend regressor fitted on the engine's grid: one row per test customer.
+
+    A row tells how often the customer was scored, whether the probability lies in the unit interval and
+    the value is a number, and whether the chosen configurations have the best validation scores.
+    """
     splits = _splits(spark, folder)
     every = sorted({c for s in splits.values() for c in s})
     labels = coerce_keys(churn_labels(spark, folder, every), "customer")
@@ -215,21 +219,33 @@ def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
     rows = frame(order_graph(spark, folder, every), keys=labels, how="left")
     columns = select_features([rows.schema], "target", ["amount", "cus_c_custkey"])
     layout = InputLayout.fit(rows.schema, columns)
-    data = reliable(layout.apply(rows, keep=["cutoff", "target", "amount"]))
+    data = reliable(layout.apply(rows, keep=["cutoff", "cus_c_custkey", "target", "amount"]))
     train, val, test = (
         data.where(F.col("cutoff").isin(*(F.expr(stamp(c).replace("TIMESTAMP ", "TIMESTAMP_NTZ ")) for c in splits[s])))
         for s in ("train", "val", "test")
     )
-    grid = ({"maxDepth": 3, "maxIter": 5, "stepSize": 0.2}, {"maxDepth": 4, "maxIter": 5, "stepSize": 0.1})
-    churn = fit_classifier(with_class_weights(train, "target"), val, columns, "target", "weight", grid)
-    value = fit_regressor(train, val, columns, "amount", grid)
-    ranks = ranking_scores(score_probability(churn.model, test), "target", "score")
-    errors = error_scores(score_regression(value.model, test), "amount", "score", train, "amount")
-    return ranks.withColumns({c: errors.select(c).scalar() for c in ("mae", "nmae")}).withColumns(
-        {"val_auroc": F.lit(churn.score), "val_mae": F.lit(value.score)}
+    churn = fit_classifier(with_class_weights(train, "target"), val, columns, "target", "weight")
+    value = fit_regressor(train, val, columns, "amount")
+    best = [
+        GRID.index(churn.config) == max(range(len(GRID)), key=lambda i: churn.scores[i]),
+        GRID.index(value.config) == min(range(len(GRID)), key=lambda i: value.scores[i]),
+    ]
+    keys = ["cutoff", "cus_c_custkey"]
+    ranks = score_probability(churn.model, test).groupBy(*keys).agg(
+        F.count("score").alias("n_scores"), F.min(F.col("score").between(0, 1).cast("int")).alias("in_range")
+    )
+    amounts = score_regression(value.model, test).groupBy(*keys).agg(
+        F.count("score").alias("n_amounts"), F.min((~F.isnan("score")).cast("int")).alias("is_number")
     )
+    return ranks.join(amounts, keys).withColumn("best_of_grid", F.lit(int(all(best))))
 
 
+_GBT_SQL = f"""
+SELECT {stamp(TEST)} AS cutoff, c_custkey AS cus_c_custkey, CAST(1 AS BIGINT) AS n_scores, 1 AS in_range,
+  CAST(1 AS BIGINT) AS n_amounts, 1 AS is_number, 1 AS best_of_grid
+FROM customer
+"""
+
 QUERIES = {
     "metrics_classification": metrics_classification,
     "metrics_regression": metrics_regression,
@@ -247,4 +263,5 @@ SQL = {
     "candidate_select": _SELECT_SQL,
     "prediction_checks": _CHECKS_SQL,
     "prediction_table": _TABLE_SQL,
+    "gbt_scores": _GBT_SQL,
 }

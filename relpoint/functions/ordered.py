@@ -14,14 +14,20 @@ from pyspark.sql import functions as F
 
 from relpoint.session import reliable
 
+#: Slices at least; more where the session shuffles into more partitions.
 SLICES = 64
 
 
-def sliced_by(df: DataFrame, order: str, slices: int = SLICES, seen: DataFrame | None = None) -> DataFrame:
+def slices_of(df: DataFrame) -> int:
+    return max(SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def sliced_by(df: DataFrame, order: str, slices: int | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Add a monotone ``__slice`` of a numeric column, balanced over its values.
 
     ``seen`` may name a cheaper table with the same column to take quantiles from.
     """
+    slices = slices or slices_of(df)
     steps = F.array(*(F.lit(i / slices) for i in range(1, slices)))
     source = df if seen is None else seen
     bounds = source.select(F.percentile_approx(F.col(order).cast("double"), steps, F.lit(10_000))).scalar()
@@ -43,13 +49,13 @@ def running_totals(
     groups: Sequence[str],
     order: str,
     values: Sequence[str],
-    slices: int = SLICES,
+    slices: int | None = None,
     seen: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``<value>_before``, the sum over smaller orders of the group, and ``<value>_total``.
 
     ``order`` must be numeric and unique within a group. A group is never sorted in
-    one task; only its (at most ``slices``) slice totals are.
+    one task; only its slice totals are.
     """
     sliced = sliced_by(df, order, slices, seen)
     keys = list(groups)

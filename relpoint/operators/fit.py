@@ -7,7 +7,7 @@ scores are therefore comparable in kind, not digit for digit.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -29,6 +29,8 @@ class Fitted:
     model: PipelineModel
     config: dict
     score: float
+    #: Validation score of each configuration of the grid, in its order.
+    scores: tuple[float | None, ...] = ()
 
 
 def _fit(estimator, features: Sequence[str], train: DataFrame) -> PipelineModel:
@@ -57,16 +59,18 @@ def fit_classifier(
 ) -> Fitted:
     """Best model of the grid by validation AUROC; the first one wins a tie."""
     best: Fitted | None = None
+    scores: list[float | None] = []
     for config in grid:
         tree = GBTClassifier(labelCol=target, seed=SEED, **config)
         tree = tree.setWeightCol(weight) if weight else tree
         model = _fit(tree, features, train)
         auroc = ranking_scores(score_probability(model, validation), target, "score").first()["auroc"]
+        scores.append(auroc)
         if auroc is not None and (best is None or auroc > best.score):
             best = Fitted(model, dict(config), auroc)
     if best is None:
         raise RuntimeError("no configuration gave a validation score")
-    return best
+    return replace(best, scores=tuple(scores))
 
 
 def fit_regressor(
@@ -74,15 +78,17 @@ def fit_regressor(
 ) -> Fitted:
     """Best model of the grid by validation MAE; the first one wins a tie."""
     best: Fitted | None = None
+    scores: list[float | None] = []
     for config in grid:
         tree = GBTRegressor(labelCol=target, seed=SEED, lossType="absolute", **config)
         model = _fit(tree, features, train)
         mae = score_regression(model, validation).agg(absolute_error(target, "score")).first()[0]
+        scores.append(mae)
         if mae is not None and (best is None or mae < best.score):
             best = Fitted(model, dict(config), mae)
     if best is None:
         raise RuntimeError("no configuration gave a validation score")
-    return best
+    return replace(best, scores=tuple(scores))
 
 
 def soft_label_rows(train: DataFrame, target: str, label: str = "__label", weight: str = "__weight") -> DataFrame:
@@ -104,12 +110,14 @@ def fit_fractional(
     """Probability model for a target in [0, 1], chosen by validation MAE."""
     rows = soft_label_rows(train, target)
     best: Fitted | None = None
+    scores: list[float | None] = []
     for config in grid:
         tree = GBTClassifier(labelCol="__label", weightCol="__weight", seed=SEED, **config)
         model = _fit(tree, features, rows)
         mae = score_probability(model, validation).agg(absolute_error(target, "score")).first()[0]
+        scores.append(mae)
         if mae is not None and (best is None or mae < best.score):
             best = Fitted(model, dict(config), mae)
     if best is None:
         raise RuntimeError("no configuration gave a validation score")
-    return best
+    return replace(best, scores=tuple(scores))

@@ -37,12 +37,15 @@ def latest_record_at(
     return merged.select(grid.stamp(dtype).alias("cutoff"), key, "__r.*")
 
 
-def modes(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
-    """Most frequent value per key and column, ties to the smallest value.
+def value_summary(
+    df: DataFrame, key: str, modes: dict[str, Column], distinct: dict[str, Column] | None = None
+) -> DataFrame:
+    """Most frequent value (ties to the smallest) and number of distinct values per key and column.
 
-    Values are counted per (key, column, value) first; ``mode`` would hold every
-    distinct value of a key in one buffer.
+    Values are counted per (key, column, value) first, so nothing holds the values of a key and several
+    distinct counts don't multiply the rows. Keys without any value in these columns have no row.
     """
+    columns = {**modes, **(distinct or {})}
     pairs = F.array(
         *(F.struct(F.lit(i).alias("__i"), v.cast("string").alias("__v")) for i, v in enumerate(columns.values()))
     )
@@ -52,13 +55,20 @@ def modes(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
         .groupBy(key, "__i", "__v")
         .agg(F.count(F.lit(1)).alias("__m"))
     )
-    best = counts.groupBy(key).agg(
-        *(
-            F.min(F.when(F.col("__i") == i, F.struct((-F.col("__m")).alias("__m"), F.col("__v")))).alias(name)
-            for i, name in enumerate(columns)
-        )
-    )
-    return best.select(key, *(F.col(f"{name}.__v").alias(name) for name in columns))
+    best, sizes = [], []
+    for i, name in enumerate(columns):
+        mine = F.col("__i") == i
+        if name in modes:
+            best.append(F.min(F.when(mine, F.struct((-F.col("__m")).alias("__m"), F.col("__v")))).alias(name))
+        else:
+            sizes.append(F.count(F.when(mine, 1)).alias(name))
+    found = counts.groupBy(key).agg(*best, *sizes)
+    return found.select(key, *(F.col(f"{n}.__v").alias(n) for n in modes), *(distinct or {}))
+
+
+def modes(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
+    """Most frequent value per key and column, ties to the smallest value."""
+    return value_summary(df, key, columns)
 
 
 def collapse_bridge(
@@ -67,15 +77,16 @@ def collapse_bridge(
     owner: str,
     link: str,
     link_pk: str,
-    aggregates: Sequence[Column],
+    distinct: dict[str, Column],
     mode_columns: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Many-to-many relation reduced to the owner's grain before anything fans out."""
+    """Many-to-many relation reduced to the owner's grain before anything fans out, in one pass.
+
+    The owner counts as a value of its own, so that each one has a row.
+    """
     joined = bridge.join(dimension, bridge[link] == dimension[link_pk], "left")
-    summary = joined.groupBy(owner).agg(*aggregates)
-    if mode_columns:
-        summary = summary.join(modes(joined, owner, mode_columns), owner, "left")
-    return summary
+    summary = value_summary(joined, owner, mode_columns or {}, {**distinct, "__any": F.col(owner)})
+    return summary.drop("__any")
 
 
 def star(

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from relpoint.functions.ordered import running_totals
 from relpoint.functions.scalars import amount_target, clip_unit, ratio
 
-# Candidate names, in order of preference on ties.
-CANDIDATES = ("mae_regression", "cross_entropy_probability", "equal_weight_blend")
+#: In order of preference on ties.
+CANDIDATES = ("clipped_value", "probability", "mean_of_both")
 
 
 def ranking_scores(predictions: DataFrame, truth: str, score: str) -> DataFrame:

@@ -13,13 +13,9 @@ from pyspark.sql import types as T
 from relpoint.functions.timegrid import timestamp_literal
 from relpoint.spec import CompressionGraph
 
-# Fixed values of the profiling feature.
-SAMPLE_ROWS = 10_000
-MAX_CATEGORICAL = 8
-MAX_GATED_NUMERIC = 4
-GATED_TOP_K = 5
-
 HASH_DIGITS = 4
+#: Share by which an approximate distinct count may pass a threshold and still be counted exactly.
+MARGIN = 0.25
 
 
 def stacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -44,18 +40,34 @@ def ranked_values(df: DataFrame, columns: Sequence[str], k: int, threshold: int
 
 
 def top_values(
-    df: DataFrame, columns: Sequence[str], k: int, threshold: int
-) -> dict[str, tuple[str, ...]]:
-    """Frozen category values per column. At most k values per column reach the driver."""
+    df: DataFrame, columns: Sequence[str], k: int, threshold: int | None
+) -> tuple[dict[str, tuple[str, ...]], tuple[str, ...]]:
+    """Frozen category values per column, and the columns left out for having too many.
+
+    Approximate distinct counts first rule out columns far above the threshold, so that the values of
+    free text are never shuffled. At most k values per column reach the driver.
+    """
+    left = list(columns)
+    if threshold is not None:
+        sizes = df.agg(*(F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(c) for c in columns)).first()
+        left = [c for c in columns if sizes[c] <= threshold * (1 + MARGIN)]
     found: dict[str, list[str]] = {}
-    rows = ranked_values(df, columns, k, threshold).orderBy("column", "rank").collect()
+    rows = ranked_values(df, left, k, threshold).orderBy("column", "rank").collect() if left else []
     for row in rows:
         found.setdefault(row["column"], []).append(row["value"])
-    return {c: tuple(v) for c, v in found.items()}
+    with_values = df.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in left)).first() if left else {}
+    out = tuple(c for c in columns if c not in left or (c not in found and with_values[c]))
+    return {c: tuple(v) for c, v in found.items()}, out
+
+
+def visible_before(df: DataFrame, time_col: str | None, before: datetime) -> DataFrame:
+    if time_col is None:
+        return df
+    return df.where(F.col(time_col) < timestamp_literal(before, df.schema[time_col].dataType))
 
 
 def profile_sample(
-    df: DataFrame, pk: str, time_col: str | None, before: datetime, rows: int = SAMPLE_ROWS
+    df: DataFrame, pk: str, time_col: str | None, before: datetime, rows: int
 ) -> DataFrame:
     """Reproducible sample of rows strictly before a cutoff: the smallest key hashes.
 
@@ -65,8 +77,7 @@ def profile_sample(
     """
     if rows < 1:
         raise ValueError("sample size must be positive")
-    if time_col is not None:
-        df = df.where(F.col(time_col) < timestamp_literal(before, df.schema[time_col].dataType))
+    df = visible_before(df, time_col, before)
     digest = F.md5(F.col(pk).cast("string"))
     prefix = F.substring(digest, 1, HASH_DIGITS)
     counts = df.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
@@ -78,7 +89,10 @@ def profile_sample(
 
 
 def column_statistics(df: DataFrame, exact: bool = True) -> DataFrame:
-    """One aggregation over all columns, unpivoted to one row per column."""
+    """One aggregation over all columns, unpivoted to one row per column.
+
+    Approximate distinct counts are exact about none, one and more than one value.
+    """
     aggs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
     columns = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
     if exact:
@@ -98,7 +112,10 @@ def column_statistics(df: DataFrame, exact: bool = True) -> DataFrame:
         )
     for c in columns:
         aggs.append(F.count(F.col(f"`{c}`")).alias(f"{c}__filled"))
-        aggs.append(F.approx_count_distinct(F.col(f"`{c}`")).alias(f"{c}__distinct"))
+        values = F.col(f"`{c}`")
+        several = (F.min(values) != F.max(values)).cast("int")
+        size = F.greatest(F.approx_count_distinct(values), F.lit(2))
+        aggs.append(F.when(several == 1, size).when(F.count(values) > 0, 1).otherwise(0).alias(f"{c}__distinct"))
     flat = df.agg(*aggs)
     pairs = F.array(
         *(
@@ -125,7 +142,7 @@ class ManifestSource:
     cardinality_threshold: int = 1_000
 
 
-def manifest(sample: DataFrame, source: ManifestSource) -> DataFrame:
+def manifest(rows: DataFrame, source: ManifestSource, exact: bool = True) -> DataFrame:
     """Role of each column: key, time, numeric, categorical, flag or dropped.
 
     Keys and time stay in the graph whatever they hold. Constants, excluded columns
@@ -133,7 +150,7 @@ def manifest(sample: DataFrame, source: ManifestSource) -> DataFrame:
     """
     keys = {source.pk, *source.foreign_keys}
     types = {}
-    for f in sample.schema:
+    for f in rows.schema:
         if isinstance(f.dataType, T.BooleanType):
             types[f.name] = "flag"
         elif isinstance(f.dataType, T.NumericType):
@@ -155,7 +172,7 @@ def manifest(sample: DataFrame, source: ManifestSource) -> DataFrame:
         .when(kind[column] == "other", "dropped")
         .otherwise(kind[column])
     )
-    return column_statistics(sample).withColumn("role", role)
+    return column_statistics(rows, exact).withColumn("role", role)
 
 
 def manifest_summary(manifest_df: DataFrame) -> DataFrame:
@@ -169,13 +186,8 @@ def manifest_summary(manifest_df: DataFrame) -> DataFrame:
 
 
 def manifest_columns(manifest_df: DataFrame) -> tuple[str, ...]:
-    """Graph columns of a manifest, at most MAX_CATEGORICAL of them categorical.
-
-    One row per source column reaches the driver.
-    """
-    roles = {r["column"]: r["role"] for r in manifest_df.where(F.col("role") != "dropped").collect()}
-    text = [c for c, role in roles.items() if role == "categorical"]
-    return tuple(c for c in roles if c not in text[MAX_CATEGORICAL:])
+    """Graph columns of a manifest. One row per source column reaches the driver."""
+    return tuple(r["column"] for r in manifest_df.where(F.col("role") != "dropped").collect())
 
 
 def with_manifests(
@@ -183,12 +195,12 @@ def with_manifests(
     sources: Mapping[str, ManifestSource],
     before: datetime,
     role_sources: Mapping[str, str] | None = None,
-    rows: int = SAMPLE_ROWS,
 ) -> CompressionGraph:
     """Narrow relations to the columns their source profile keeps.
 
-    Each source is profiled once on rows before ``before``; roles that share a
-    source (``role_sources``) share the profile. Relations without one stay as is.
+    Each source is profiled once, on all its rows before ``before`` in one mergeable pass (a distinct
+    count near the threshold is approximate); roles that share a source (``role_sources``) share the
+    profile. Relations without one stay as they are.
     """
     kept: dict[str, tuple[str, ...]] = {}
     relations = []
@@ -199,14 +211,7 @@ def with_manifests(
             continue
         source = sources[name]
         if name not in kept:
-            sample = profile_sample(relation.df, source.pk, source.time_col, before, rows)
-            kept[name] = manifest_columns(manifest(sample, source))
-        relations.append(
-            replace(
-                relation,
-                columns=tuple(c for c in relation.df.columns if c in kept[name]),
-                gated_numeric=MAX_GATED_NUMERIC,
-                gated_top_k=GATED_TOP_K,
-            )
-        )
+            rows = visible_before(relation.df, source.time_col, before)
+            kept[name] = manifest_columns(manifest(rows, source, exact=False))
+        relations.append(replace(relation, columns=tuple(c for c in relation.df.columns if c in kept[name])))
     return replace(graph, relations=tuple(relations))

@@ -62,6 +62,7 @@ class ColumnPlan:
     flags: tuple[str, ...] = ()
     text: tuple[str, ...] = ()
     categories: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    left_out: tuple[str, ...] = ()
 
     def merged(self, other: ColumnPlan) -> ColumnPlan:
         return ColumnPlan(
@@ -70,6 +71,7 @@ class ColumnPlan:
             self.flags + other.flags,
             self.text + other.text,
             {**self.categories, **other.categories},
+            self.left_out + other.left_out,
         )
 
 
@@ -230,11 +232,9 @@ def reduce_rows(rows: DataFrame, relation: Relation, plan: ColumnPlan, scope: Sc
         result = _ratios_of_counts(result, relation)
     if "sequence" in relation.families and scope.timed:
         result = result.join(gap_profile(rows, relation.prefix.lower(), scope))
-    if "context" in relation.families and relation.context_keys and scope.timed:
-        own = [c for c in plan.numeric if c not in scope.masks]
-        if own:
-            peers = [relation.col(k) for k in relation.context_keys]
-            result = result.join(context_profile(rows, own, peers, scope, relation.context_rank))
+    if "context" in relation.families and relation.context_keys and scope.time_col and plan.numeric:
+        peers = [relation.col(k) for k in relation.context_keys]
+        result = result.join(context_profile(rows, plan.numeric, peers, scope, relation.context_rank))
     return result
 
 
@@ -298,14 +298,13 @@ def _rollup(rows: DataFrame, relation: Relation, plan: ColumnPlan, scope: Scope)
         for w in relation.windows:
             emit(f"{p}_n_rows_{w}d", _count(atoms.need("n", F.lit(1), "sum", w)), "count")
 
-    for x in plan.numeric[: relation.gated_numeric]:
-        for g, values in plan.categories.items():
-            for value, part in list(slugs(values).items())[: relation.gated_top_k]:
-                gated = F.when(F.col(g) == F.lit(value), F.col(x))
-                total = atoms.need(f"{g}_{part}_{x}__s", gated)
-                filled = atoms.need(f"{g}_{part}_{x}__n", gated.isNotNull().cast("bigint"))
-                emit(f"{x}_if_{g}_{part}_sum", total)
-                emit(f"{x}_if_{g}_{part}_avg", ratio(total, filled))
+    for x, g in ((relation.col(a), relation.col(b)) for a, b in relation.gated):
+        for value, part in slugs(plan.categories.get(g, ())).items():
+            gated = F.when(F.col(g) == F.lit(value), F.col(x))
+            total = atoms.need(f"{g}_{part}_{x}__s", gated)
+            filled = atoms.need(f"{g}_{part}_{x}__n", gated.isNotNull().cast("bigint"))
+            emit(f"{x}_if_{g}_{part}_sum", total)
+            emit(f"{x}_if_{g}_{part}_avg", ratio(total, filled))
 
     for text in plan.text:
         c = F.col(text)
@@ -365,25 +364,36 @@ def value_profile(rows: DataFrame, columns: Sequence[ValueColumn], scope: Scope)
     The rows are counted per (key, column, value) first, so the second step only
     folds counters and never gathers the values of a key.
     """
-    pairs = F.array(
-        *(F.struct(F.lit(i).alias("i"), c.value.cast("string").alias("v")) for i, c in enumerate(columns))
-    )
-
-    def stack(df: DataFrame) -> DataFrame:
-        keep = [c for c in (KEY, PANE, FROM, TO, CUT) if c in df.columns]
-        return df.select(*keep, F.inline(pairs)).where(F.col("v").isNotNull())
-
     if scope.masks:
-        spread = stack(scope.spread(scope.located(rows)))
-        counted = spread.groupBy(*scope.out_keys, "i", "v").agg(F.count(F.lit(1)).alias("m"))
+        spread = scope.spread(scope.located(rows))
+        return _folded_values(spread, columns, scope.out_keys, scope.timed)
     else:
-        stacked = stack(scope.located(rows))
+        stacked = _stacked(scope.located(rows), columns)
         inner = Scope(scope.grid, scope.time_col, scope.bucket)
         if inner.bucket:
             cells = stacked.groupBy(*inner.cell_keys, "i", "v").agg(F.count(F.lit(1)).alias("m"))
             counted = inner.spread(cells).groupBy(*inner.out_keys, "i", "v").agg(F.sum("m").alias("m"))
         else:
             counted = inner.spread(stacked).groupBy(*inner.out_keys, "i", "v").agg(F.count(F.lit(1)).alias("m"))
+    return _profile_of_counts(counted, columns, scope.out_keys, scope.timed)
+
+
+def _stacked(df: DataFrame, columns: Sequence[ValueColumn]) -> DataFrame:
+    """(column number, value) pairs of the values that aren't null."""
+    pairs = F.array(
+        *(F.struct(F.lit(i).alias("i"), c.value.cast("string").alias("v")) for i, c in enumerate(columns))
+    )
+    keep = [c for c in (KEY, PANE, FROM, TO, CUT) if c in df.columns]
+    return df.select(*keep, F.inline(pairs)).where(F.col("v").isNotNull())
+
+
+def _folded_values(spread: DataFrame, columns: Sequence[ValueColumn], keys: list[str], timed: bool) -> Reduction:
+    counted = _stacked(spread, columns).groupBy(*keys, "i", "v").agg(F.count(F.lit(1)).alias("m"))
+    return _profile_of_counts(counted, columns, keys, timed)
+
+
+def _profile_of_counts(counted: DataFrame, columns: Sequence[ValueColumn], keys: list[str], timed: bool) -> Reduction:
+    """Features from the counts ``m`` per (keys, column number i, value v)."""
     aggs, out = [], {}
     m, v = F.col("m"), F.col("v")
     for i, column in enumerate(columns):
@@ -406,9 +416,9 @@ def value_profile(rows: DataFrame, columns: Sequence[ValueColumn], scope: Scope)
         if "top_share" in column.outputs:
             aggs.append(F.max(F.when(mine, m)).alias(f"{a}x"))
             out[f"{column.name}_top_share"] = (ratio(F.col(f"{a}x"), F.col(f"{a}t")), "value")
-    df = counted.groupBy(*scope.out_keys).agg(*aggs)
-    df = df.select(*scope.out_keys, *(value.alias(name) for name, (value, _) in out.items()))
-    return Reduction(df, tuple(Feature(name, kind) for name, (_, kind) in out.items()), scope.timed)
+    df = counted.groupBy(*keys).agg(*aggs)
+    df = df.select(*keys, *(value.alias(name) for name, (value, _) in out.items()))
+    return Reduction(df, tuple(Feature(name, kind) for name, (_, kind) in out.items()), timed)
 
 
 def _ratios_of_counts(result: Reduction, relation: Relation) -> Reduction:
@@ -498,9 +508,10 @@ def context_profile(
     """
     from relpoint.functions.ordered import running_share
 
-    kept = rows.select(KEY, scope.time_col, *peers, *numeric)
+    masks = {x: scope.masks[x] for x in numeric if x in scope.masks}
+    kept = rows.select(*dict.fromkeys([KEY, scope.time_col, *peers, *numeric, *masks.values()]))
     kept = kept.where(fold(lambda a, b: a & b, [F.col(p).isNotNull() for p in peers]))
-    plain = Scope(scope.grid, scope.time_col, scope.bucket)
+    plain = Scope(scope.grid, scope.time_col, scope.bucket, masks)
 
     atoms = Atoms()
     for x in numeric:
@@ -547,7 +558,8 @@ def context_profile(
     if rank:
         for x in numeric:
             filled = kept.where(F.col(x).isNotNull()).withColumn("__peer", group).withColumn("x", F.col(x))
-            mine = plain.counted(filled, ["__peer", "x"], {"m": F.lit(1).cast("bigint")})
+            one = Scope(scope.grid, scope.time_col, scope.bucket, {"x": masks[x]} if x in masks else {})
+            mine = one.counted(filled, ["__peer", "x"], {"m": F.lit(1).cast("bigint")}).where("x is not null")
             histogram = mine.groupBy(CUT, "__peer", "x").agg(F.sum("m").alias("m"))
             shares = running_share(histogram, [CUT, "__peer"], "x", "m", "share", seen=filled)
             ranked = mine.join(shares, [CUT, "__peer", "x"])
@@ -565,17 +577,20 @@ def reduce_hops(
     grid: CutoffGrid,
     stats: Sequence[str],
 ) -> Reduction:
-    """Fold features that already depend on the cutoff one level further up."""
+    """Fold features that already depend on the cutoff one level further up.
+
+    A key that a looked-up row carries leads to its own children only where that row is visible.
+    Text features fold to their most frequent value.
+    """
     keys = list(dict.fromkeys(k for _, k in dynamic))
+    masks = {k: scope.masks[k] for k in keys if k in scope.masks}
     time_cols = [scope.time_col] if scope.time_col else []
-    narrow = rows.select(KEY, *time_cols, *[k for k in keys if k not in time_cols])
-    if scope.time_col:
-        spread = grid.spread(grid.locate(narrow, scope.time_col))
-    else:
-        spread = narrow.withColumn(CUT, F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
+    narrow = rows.select(*dict.fromkeys([KEY, *time_cols, *keys, *masks.values()]))
+    own = Scope(grid, scope.time_col, False, masks)
+    spread = own.spread(own.located(narrow))
     aggs, out = [], {}
     for child, key in dynamic:
-        right = child.df.select(CUT, F.col(KEY).alias(key), *(f.name for f in child.features if f.kind != "text"))
+        right = child.df.select(CUT, F.col(KEY).alias(key), *(f.name for f in child.features))
         spread = spread.join(right, [CUT, key], "left")
         for f in child.features:
             if f.kind == "text":
@@ -594,4 +609,6 @@ def reduce_hops(
                     aggs.append(MERGE[stat](value).alias(f"{f.name}_{stat}"))
                     out[f"{f.name}_{stat}"] = (F.col(f"{f.name}_{stat}"), "value")
     df = spread.groupBy(CUT, KEY).agg(*aggs).select(CUT, KEY, *(v.alias(n) for n, (v, _) in out.items()))
-    return Reduction(df, tuple(Feature(n, k) for n, (_, k) in out.items()), True)
+    folded = Reduction(df, tuple(Feature(n, k) for n, (_, k) in out.items()), True)
+    modes = [ValueColumn(f.name, F.col(f.name), ("mode",)) for c, _ in dynamic for f in c.features if f.kind == "text"]
+    return folded.join(_folded_values(spread, modes, [CUT, KEY], True)) if modes else folded

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +22,7 @@ from relpoint.operators.reduce import (
     reduce_hops,
     reduce_rows,
 )
-from relpoint.sources.tables import assert_unique
+from relpoint.sources.tables import assert_unique, repeated_keys
 from relpoint.spec import CompressionGraph, Edge, Relation
 
 
@@ -40,6 +41,7 @@ class FrozenPlan:
                     "flags": p.flags,
                     "text": p.text,
                     "categories": p.categories,
+                    "left_out": p.left_out,
                 }
                 for name, p in self.columns.items()
             },
@@ -56,6 +58,7 @@ class FrozenPlan:
                     tuple(p["flags"]),
                     tuple(p["text"]),
                     {k: tuple(v) for k, v in p["categories"].items()},
+                    tuple(p.get("left_out", ())),
                 )
                 for name, p in json.loads(text).items()
             }
@@ -63,7 +66,7 @@ class FrozenPlan:
 
 
 def column_roles(graph: CompressionGraph, relation: Relation) -> ColumnPlan:
-    """Numeric, categorical, flag and text columns in schema order, capped per kind."""
+    """Numeric, categorical, flag and text columns in schema order."""
     keys = graph.keys_of(relation.name)
     df = relation.prepared(keys)
     used = {relation.pk, relation.time_col, *keys, *relation.context_keys, *relation.episode_keys}
@@ -83,32 +86,36 @@ def column_roles(graph: CompressionGraph, relation: Relation) -> ColumnPlan:
             numeric.append(f.name)
         elif isinstance(f.dataType, T.StringType):
             categorical.append(f.name)
-    cap = relation.max_columns
     categories = {relation.col(c): tuple(v) for c, v in relation.categories.items()}
-    return ColumnPlan(tuple(numeric[:cap]), tuple(categorical[:cap]), tuple(flags), text, categories)
+    return ColumnPlan(tuple(numeric), tuple(categorical), tuple(flags), text, categories)
 
 
-def compile_graph(graph: CompressionGraph) -> FrozenPlan:
-    """Resolve roles and freeze top categories on rows visible at the first cutoff.
+def compile_graph(graph: CompressionGraph, at: datetime | None = None) -> FrozenPlan:
+    """Resolve roles and freeze top categories on rows visible at ``at``.
 
-    Category values come from one aggregation per relation that needs them; columns
-    above the cardinality threshold get none.
+    That is the newest cutoff of the graph unless given: compile the graph of the training cutoffs and
+    replay the plan on the others. Category values come from one aggregation per relation that needs
+    them. Columns above the cardinality threshold get none and are listed in ``left_out``; a relation
+    without a visible row is an error, since its columns would be missing at every cutoff.
     """
-    first = CutoffGrid(graph.cutoffs[:1], graph.inclusive, graph.lookback_days)
+    newest = CutoffGrid((at or graph.cutoffs[-1],), graph.inclusive, graph.lookback_days)
     columns = {}
     for name in _reachable(graph):
         relation = graph.relation(name)
         plan = column_roles(graph, relation)
-        wants = ("topk" in relation.stats and "base" in relation.families) or (
-            "conditional" in relation.families or relation.gated_numeric
-        )
-        open_columns = [c for c in plan.categorical if c not in plan.categories]
-        if wants and open_columns and relation.top_k > 0 and name != graph.entity:
+        gated = {relation.col(g) for _, g in relation.gated}
+        wants = ("topk" in relation.stats and "base" in relation.families) or "conditional" in relation.families
+        open_columns = [c for c in plan.categorical if c not in plan.categories and (wants or c in gated)]
+        if open_columns and name != graph.entity:
+            if relation.top_k is None:
+                raise ValueError(f"{name}: top_k is needed for the categories of {open_columns}")
             rows = relation.prepared(graph.keys_of(name))
             if relation.time is not None:
-                rows = first.locate(rows, relation.time)
-            found = top_values(rows, open_columns, relation.top_k, relation.cardinality_threshold)
-            plan = plan.merged(ColumnPlan(categories=found))
+                rows = newest.locate(rows, relation.time)
+            found, left_out = top_values(rows, open_columns, relation.top_k, relation.cardinality_threshold)
+            if not found and not left_out and rows.isEmpty():
+                raise ValueError(f"{name}: no row is visible at the cutoff that freezes its categories")
+            plan = plan.merged(ColumnPlan(categories=found, left_out=left_out))
         columns[name] = plan
     return FrozenPlan(columns)
 
@@ -160,7 +167,10 @@ def _attach_reduction(graph, frozen, grid, node: _Node, edge: Edge, depth: int)
 
 
 def _attach_lookup(graph, frozen, grid, node: _Node, edge: Edge, depth: int) -> None:
-    """Left join parent attributes. Catalyst and AQE choose broadcast by measured size."""
+    """Left join parent attributes. Catalyst and AQE choose broadcast by measured size.
+
+    A key that occurs twice would multiply the child's rows; the plan raises an error for it.
+    """
     child = _build(graph, frozen, grid, edge.child, depth + 1)
     key, target = node.relation.col(edge.parent_key), child.relation.col(edge.child_key)
     carried = [k for _, k in child.dynamic]
@@ -184,6 +194,8 @@ def _attach_lookup(graph, frozen, grid, node: _Node, edge: Edge, depth: int) ->
     right = child.rows.where(F.col(target).isNotNull()).select(
         F.col(target).alias("__right"), *(c for c in columns)
     )
+    source = child.relation.prepared(graph.keys_of(edge.child)).select(F.col(target).alias("__right"))
+    right = right.unionByName(repeated_keys(source, "__right", edge.child), allowMissingColumns=True)
     node.rows = node.rows.join(right, node.rows[key] == right["__right"], "left").drop("__right")
     node.plan = node.plan.merged(
         ColumnPlan(child.plan.numeric, child.plan.categorical, child.plan.flags, (), child.plan.categories)
@@ -219,7 +231,8 @@ def frame(
     ``keys`` (cutoff, entity, further columns) restricts the rows, e.g. to a label
     table, and carries its further columns through, so that labels need no second
     join with the wide frame. ``how="left"`` keeps keys without a visible entity.
-    Without keys, every entity visible at a cutoff gets a row.
+    Keys at a cutoff outside the graph and repeated keys are errors. Without keys, every
+    entity visible at a cutoff gets a row.
     """
     frozen = frozen or compile_graph(graph)
     grid = CutoffGrid(graph.cutoffs, graph.inclusive, graph.lookback_days)
@@ -269,22 +282,31 @@ def _keyed(
     entity_col = next(c for c in keys.columns if c != cutoff_col)
     carried = [c for c in keys.columns if c not in (cutoff_col, entity_col)]
     known = timestamp_array(everyone.cutoffs, keys.schema[cutoff_col].dataType)
+    place = F.array_position(known, F.col(cutoff_col))
+    unknown = F.raise_error(F.concat(F.lit("key at a cutoff the graph lacks: "), _shown(cutoff_col)))
     wanted = keys.select(
         F.col(cutoff_col).alias("__stamp"),
-        (F.array_position(known, F.col(cutoff_col)) - 1).cast("int").alias(CUT),
+        F.when(place > 0, (place - 1).cast("int")).otherwise(unknown.cast("int")).alias(CUT),
         F.col(entity_col).alias("__wanted"),
         *carried,
     )
+    # One to one: a key may not occur twice. The window holds the rows of one key.
+    same = F.count(F.lit(1)).over(Window.partitionBy(CUT, "__wanted"))
+    doubled = F.raise_error(F.concat(F.lit("key given more than once: "), _shown("__wanted")))
+    wanted = wanted.withColumn("__same", F.when(F.col("__wanted").isNull(), 1).otherwise(same))
+    wanted = wanted.where(F.when(F.col("__same") > 1, doubled.cast("boolean")).otherwise(True)).drop("__same")
     condition = F.col("__wanted") == F.col(pk)
     if time is not None:
         seen, at = F.col(time), F.col("__stamp")
         condition = condition & ((seen <= at) if everyone.inclusive else (seen < at))
-    if how == "inner":
-        wanted = wanted.where(F.col(CUT) >= 0)
     rows = wanted.join(node.rows, condition, how)
     return rows.withColumn(pk, F.col("__wanted")), carried
 
 
+def _shown(column: str):
+    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+
+
 def _export(df: DataFrame, name: str):
     """Decimals stay exact while they are summed and leave the engine as doubles."""
     if isinstance(df.schema[name].dataType, T.DecimalType):

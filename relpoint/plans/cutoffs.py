@@ -3,7 +3,7 @@ derive them from the data."""
 
 from __future__ import annotations
 
-import random
+import hashlib
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 from functools import reduce
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from relpoint.functions.timegrid import timestamp_literal
 
 Item = TypeVar("Item")
-# Fixed value: seed of the reproducible schedule sample.
-SAMPLE_SEED = 42
 
 
 def time_bounds(tables: Sequence[tuple[DataFrame, str]]) -> DataFrame:
@@ -99,17 +97,23 @@ def single_cutoff_rows(task: DataFrame, time_col: str, split: str, wanted: datet
     return task.where(t == chosen)
 
 
-def stratified_sample(values: Sequence[Item], limit: int, seed: int = SAMPLE_SEED) -> list[Item]:
-    """One seeded pick per chronological stratum; the last value is always kept."""
+def stratified_sample(values: Sequence[datetime], limit: int) -> list[datetime]:
+    """One cutoff per chronological stratum, that of the smallest hash; the newest is always kept.
+
+    The same pick as ``sampled_schedule`` makes on a table.
+    """
     if limit < 1:
         raise ValueError("the limit must be positive")
-    *history, newest = values
-    if len(history) < limit:
-        return list(values)
-    draw = random.Random(seed)
-    strata = limit - 1
-    cuts = [len(history) * i // strata for i in range(strata + 1)] if strata else []
-    return [history[draw.randrange(a, b)] for a, b in zip(cuts, cuts[1:])] + [newest]
+    values, last, strata = sorted(values), len(values) - 1, limit - 1
+    if len(values) <= limit:
+        return values
+    chosen: dict[int, tuple[str, datetime]] = {}
+    for i, value in enumerate(values[:-1]):
+        if strata:
+            own = (hashlib.md5(f"{value:%Y-%m-%d %H:%M:%S}".encode()).hexdigest(), value)
+            stratum = ((i + 1) * strata - 1) // last
+            chosen[stratum] = min(own, chosen.get(stratum, own))
+    return [value for _, (_, value) in sorted(chosen.items())] + [values[-1]]
 
 
 def even_sample(values: Sequence[Item], limit: int | None) -> list[Item]:

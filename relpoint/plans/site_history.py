@@ -38,8 +38,7 @@ def study_history(tables: Mapping[str, DataFrame], cutoff: datetime) -> DataFram
 
     def bridge(table: str, key: str, count: str, modes: dict) -> DataFrame:
         dimension = tables[table].withColumnRenamed(key, "__pk")
-        distinct = F.countDistinct(key).alias(count)
-        return collapse_bridge(seen(f"{table}_studies"), dimension, "nct_id", key, "__pk", [distinct], modes)
+        return collapse_bridge(seen(f"{table}_studies"), dimension, "nct_id", key, "__pk", {count: F.col(key)}, modes)
 
     analyses, outcomes = seen("outcome_analyses"), tables["outcomes"]
     primary = outcomes.where("outcome_type = 'Primary'").select(F.col("id").alias("outcome_id"))
@@ -52,20 +51,20 @@ def study_history(tables: Mapping[str, DataFrame], cutoff: datetime) -> DataFram
         latest_record(seen("eligibilities"), "nct_id", "date", "id", (*ELIGIBILITY_TEXT, *ELIGIBILITY_FLAGS)).drop(
             "date", "id"
         ),
-        bridge("interventions", "intervention_id", "intervention_count", {"intervention_mesh_term": F.col("mesh_term")}),
-        bridge("conditions", "condition_id", "condition_count", {"condition_mesh_term": F.col("mesh_term")}),
+        bridge("interventions", "intervention_id", "intervention_count", {"intervention_mesh": F.col("mesh_term")}),
+        bridge("conditions", "condition_id", "condition_count", {"condition_mesh": F.col("mesh_term")}),
         bridge(
             "sponsors",
             "sponsor_id",
             "sponsor_count",
             {
                 "sponsor_name": F.col("name"),
-                "sponsor_agency_class": F.col("agency_class"),
+                "sponsor_class": F.col("agency_class"),
                 "sponsor_role": F.col("lead_or_collaborator"),
             },
         ),
         per_date.groupBy("nct_id").agg(
-            F.count(F.lit(1)).alias("historical_outcome_count"), F.avg("success").alias("historical_success_rate")
+            F.count(F.lit(1)).alias("dated_outcomes"), F.avg("success").alias("success_share")
         ),
         seen("reported_event_totals").groupBy("nct_id").agg(
             F.count(F.lit(1)).alias("reported_event_count"),
@@ -89,15 +88,15 @@ def site_history(tables: Mapping[str, DataFrame], cutoff: datetime) -> DataFrame
     for c in STUDY_NUMBERS:
         aggs += [F.avg(c).alias(f"{c}_avg"), F.max(c).alias(f"{c}_max")]
     texts = (*STUDY_TEXT, *DESIGN_TEXT, *ELIGIBILITY_TEXT)
-    texts += ("intervention_mesh_term", "condition_mesh_term", "sponsor_name", "sponsor_agency_class", "sponsor_role")
-    aggs += [latest_value(F.col(c), *order).alias(f"latest_{c}") for c in texts]
+    texts += ("intervention_mesh", "condition_mesh", "sponsor_name", "sponsor_class", "sponsor_role")
+    aggs += [latest_value(F.col(c), *order).alias(f"{c}_latest") for c in texts]
     for c in (*STUDY_FLAGS, *DESIGN_FLAGS, *ELIGIBILITY_FLAGS):
-        aggs.append(F.avg(indicator(F.col(c))).alias(f"{c.removeprefix('is_')}_share"))
-    sums = ("intervention_count", "condition_count", "sponsor_count", "historical_outcome_count")
+        aggs.append(F.avg(indicator(F.col(c))).alias(f"{c}_share"))
+    sums = ("intervention_count", "condition_count", "sponsor_count", "dated_outcomes")
     aggs += [F.sum(c).alias(c) for c in (*sums, "reported_event_count", "subjects_affected", "subjects_at_risk")]
-    weighted = F.sum(F.col("historical_success_rate") * F.col("historical_outcome_count"))
-    aggs.append(ratio(weighted, F.sum("historical_outcome_count")).alias("historical_success_rate"))
-    aggs.append(day_difference(hi, F.max("date")).alias("days_since_latest_study"))
+    weighted = F.sum(F.col("success_share") * F.col("dated_outcomes"))
+    aggs.append(ratio(weighted, F.sum("dated_outcomes")).alias("success_share"))
+    aggs.append(day_difference(hi, F.max("date")).alias("age_days"))
     return rows.groupBy("facility_id").agg(*aggs)
 
 

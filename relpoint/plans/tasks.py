@@ -1,29 +1,32 @@
 """The 21 prediction tasks as graphs over their public datasets.
 
-A task names its entity, the relations below it and how each one is compressed.
-``task_graph`` binds a task to tables the caller has loaded (any case of column
-names); ``task_frame`` also applies the task's entity filter.
+A task names its entity, the relations below it and how each one is compressed, the
+cutoffs it trains on and, where public code defines one, its label. ``task_graph``
+binds a task to tables the caller has loaded (any case of column names);
+``task_frame`` also applies the task's entity filter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from relpoint.operators.labels import active_by
+from relpoint.operators.labels import Measure, active_by, label_table, window_measures
 from relpoint.plans.compiler import FrozenPlan, frame
+from relpoint.plans.cutoffs import even_sample, stratified_sample, stride_sample
 from relpoint.sources.tables import pick_column
-from relpoint.spec import FAMILIES, CompressionGraph, Edge, Relation
+from relpoint.spec import BASE_STATS, FAMILIES, CompressionGraph, Edge, Relation
 
 
 @dataclass(frozen=True)
 class Node:
     """A role: source table, prefix, key, clock, and compression options.
 
-    A table without a key of its own names the key it is reduced by.
+    A table without a key of its own names the key it is reduced by, and says so.
     """
 
     table: str
@@ -31,11 +34,30 @@ class Node:
     pk: str
     time: str | None = None
     options: Mapping[str, object] = field(default_factory=dict)
+    own_key: bool = True
+
+
+@dataclass(frozen=True)
+class Label:
+    """Measure of a table's rows per entity in ``(cutoff, cutoff + horizon]``.
+
+    ``kind`` is that of the measure, or ``churn``: 1 without any row. ``where`` is SQL over the table.
+    """
+
+    table: str
+    key: str
+    time: str
+    kind: str
+    value: str | None = None
+    where: str | None = None
 
 
 @dataclass(frozen=True)
 class Task:
-    """Edges are (parent prefix, parent key, child prefix, child key, reduce)."""
+    """Edges are (parent prefix, parent key, child prefix, child key, reduce).
+
+    ``sampler`` chooses training cutoffs from a schedule: stratified or even with a limit, or a stride.
+    """
 
     nodes: tuple[Node, ...]
     edges: tuple[tuple[str, str, str, str, bool], ...]
@@ -44,34 +66,43 @@ class Task:
     inclusive: bool = True
     lookback_days: int | None = None
     active: tuple[tuple[str, str, str], ...] = ()
+    sampler: tuple[str, int] | None = None
+    label: Label | None = None
 
     @property
     def entity(self) -> str:
         return self.nodes[0].prefix
 
 
-ALL = {"families": FAMILIES}
-SMALL = {"max_columns": 4, "top_k": 5}
+# Categories of every node: at most so many values of a column, if it hasn't more than the threshold.
+CATEGORIES = {"stats": BASE_STATS, "top_k": 5, "cardinality_threshold": 50}
 
 # Tables, keys, clocks, windows and limits of the tasks.
 STACK_WINDOWS = (7, 30, 90, 180, 365, 730, 1825, 3650)
 SHOP_WINDOWS = (1, 7, 30, 90, 365)
 TRIAL_WINDOWS = (30, 90, 180, 365)
+EVENT_WINDOWS = (7, 30, 90)
+RACE_WINDOWS = (30, 90, 365)
+AD_WINDOWS = (1, 4, 14)
 AMAZON_HORIZON, AVITO_HORIZON, EVENT_HORIZON, HM_HORIZON = 91, 4, 7, 7
+STACK_CUTOFFS, RACE_STRIDE, SITE_CUTOFFS = ("stratified", 15), ("stride", 10), ("even", 5)
 
 
-def _amazon(entity: str) -> Task:
+def _amazon(entity: str, churn: bool) -> Task:
     nodes = {
         "customer": Node("customer", "cust", "customer_id"),
         "product": Node("product", "prod", "product_id"),
     }
-    review = Node("review", "rev", f"{entity}_id", "review_time", SMALL)
-    edge = (nodes[entity].prefix, f"{entity}_id", "rev", f"{entity}_id", True)
-    table, key = "review", f"{entity}_id"
-    return Task((nodes[entity], review), (edge,), 1, AMAZON_HORIZON, active=((table, key, "review_time"),))
+    key = f"{entity}_id"
+    review = Node("review", "rev", key, "review_time", {"columns": ("rating", "verified")}, own_key=False)
+    edge = (nodes[entity].prefix, key, "rev", key, True)
+    # A review is worth the price of its product.
+    label = Label("review", key, "review_time", "churn" if churn else "sum", None if churn else "price")
+    active = (("review", key, "review_time"),)
+    return Task((nodes[entity], review), (edge,), 1, AMAZON_HORIZON, active=active, label=label)
 
 
-def _avito_user() -> Task:
+def _avito_user(clicks: bool) -> Task:
     def ad(prefix: str) -> tuple[Node, ...]:
         return (
             Node("AdsInfo", prefix, "AdID"),
@@ -87,9 +118,9 @@ def _avito_user() -> Task:
 
     nodes = (
         Node("UserInfo", "usr", "UserID"),
-        Node("VisitStream", "vis", "AdID", "ViewDate", {"unique_pk": False}),
+        Node("VisitStream", "vis", "AdID", "ViewDate", own_key=False),
         Node("SearchInfo", "si", "SearchID", "SearchDate"),
-        Node("SearchStream", "ss", "SearchID", "SearchDate"),
+        Node("SearchStream", "ss", "SearchID", "SearchDate", own_key=False),
         *ad("visad"),
         *ad("ssad"),
     )
@@ -102,14 +133,16 @@ def _avito_user() -> Task:
         *below("visad"),
         *below("ssad"),
     )
-    return Task(nodes, edges, 3, AVITO_HORIZON)
+    # A visit that led to a click has a flag ``is_click``; see the as-of flag for how to make one.
+    label = Label("VisitStream", "UserID", "ViewDate", "nunique", "AdID", "is_click = 1" if clicks else None)
+    return Task(nodes, edges, 3, AVITO_HORIZON, label=label)
 
 
 def _avito_ad() -> Task:
-    stream = {**ALL, "max_columns": 1, "top_k": 1}
+    stream = {"families": FAMILIES, "windows": AD_WINDOWS, "columns": ("HistCTR", "ObjectType"), "top_k": 1}
     nodes = (
         Node("AdsInfo", "ad", "AdID"),
-        Node("SearchStream", "ss", "SearchID", "SearchDate", stream),
+        Node("SearchStream", "ss", "SearchID", "SearchDate", stream, own_key=False),
         Node("Category", "cat", "CategoryID"),
         Node("Location", "loc", "LocationID"),
     )
@@ -122,18 +155,18 @@ def _avito_ad() -> Task:
 
 
 def _event(same_user: bool = False, rich_interest: bool = False) -> Task:
+    wide = {"families": FAMILIES, "windows": EVENT_WINDOWS, "context_keys": ("event",)}
     attendees = {
-        **ALL,
-        **SMALL,
-        "context_keys": ("event",),
+        **wide,
+        "columns": ("status",),
         "annotations": {"is_attending": "{status} IN ('yes', 'maybe')", "is_declined": "{status} = 'no'"},
     }
-    interest = {**ALL, **SMALL, "context_keys": ("event",)} if rich_interest else {}
+    interest = {**(wide if rich_interest else {}), "columns": ("invited", "interested", "not_interested")}
     nodes = [
         Node("users", "usr", "user_id", "joinedAt"),
-        Node("event_attendees", "att", "event", "start_time", attendees),
-        Node("event_interest", "int", "event", "timestamp", interest),
-        Node("user_friends", "frd", "user"),
+        Node("event_attendees", "att", "event", "start_time", attendees, own_key=False),
+        Node("event_interest", "int", "event", "timestamp", interest, own_key=False),
+        Node("user_friends", "frd", "user", own_key=False),
         Node("events", "evt", "event_id", "start_time"),
         Node("events", "attevt", "event_id", "start_time"),
         Node("events", "intevt", "event_id", "start_time"),
@@ -152,8 +185,9 @@ def _event(same_user: bool = False, rich_interest: bool = False) -> Task:
     return Task(tuple(nodes), tuple(edges), 3, EVENT_HORIZON)
 
 
-def _f1(main: str, annotations: Mapping[str, str], horizon: int, capped: bool) -> Task:
-    rich = {**ALL, **(SMALL if capped else {}), "context_keys": ("raceId", "constructorId"), "annotations": annotations}
+def _f1(main: str, annotations: Mapping[str, str], horizon: int) -> Task:
+    keys = ("raceId", "constructorId")
+    rich = {"families": FAMILIES, "windows": RACE_WINDOWS, "context_keys": keys, "annotations": annotations}
     nodes = [
         Node("drivers", "drv", "driverId"),
         Node("results", "res", "resultId", "date", rich if main == "res" else {}),
@@ -175,20 +209,20 @@ def _f1(main: str, annotations: Mapping[str, str], horizon: int, capped: bool) -
             (race, "circuitId", circuit, "circuitId", False),
             (parent, "constructorId", team, "constructorId", False),
         ]
-    return Task(tuple(nodes), tuple(edges), 3, horizon)
+    return Task(tuple(nodes), tuple(edges), 3, horizon, sampler=RACE_STRIDE)
 
 
 def _hm_customer() -> Task:
     sales = {
         "families": ("base", "temporal"),
         "windows": SHOP_WINDOWS,
+        "columns": ("price", "sales_channel_id"),
         "cardinality_threshold": 5,
         "top_k": 2,
-        "max_columns": 8,
     }
     nodes = (
         Node("customer", "cust", "customer_id"),
-        Node("transactions", "txn", "customer_id", "t_dat", sales),
+        Node("transactions", "txn", "customer_id", "t_dat", sales, own_key=False),
         Node("article", "art", "article_id", None, {"cardinality_threshold": 5, "top_k": 2}),
     )
     edges = (
@@ -201,7 +235,7 @@ def _hm_customer() -> Task:
 def _hm_article() -> Task:
     nodes = (
         Node("article", "art", "article_id"),
-        Node("transactions", "txn", "article_id", "t_dat"),
+        Node("transactions", "txn", "article_id", "t_dat", own_key=False),
     )
     return Task(nodes, (("art", "article_id", "txn", "article_id", True),), 3, HM_HORIZON)
 
@@ -225,7 +259,7 @@ def _stack_node(table: str, prefix: str, windows: bool = False, filters: tuple[s
     time = "Date" if table == "badges" else "CreationDate"
     options = {"columns": STACK_COLUMNS[table], "filters": filters}
     if windows:
-        options["windows"] = STACK_WINDOWS
+        options |= {"families": ("base", "temporal"), "windows": STACK_WINDOWS}
     return Node(table, prefix, "Id", time, options)
 
 
@@ -251,7 +285,7 @@ def _stack_badge() -> Task:
         ("post", "Id", "votep", "PostId", True),
         ("post", "Id", "commp", "PostId", True),
     )
-    return Task(nodes, edges, 4, None, inclusive=False, lookback_days=3650)
+    return Task(nodes, edges, 4, None, inclusive=False, lookback_days=3650, sampler=STACK_CUTOFFS)
 
 
 def _stack_engagement() -> Task:
@@ -279,7 +313,8 @@ def _stack_engagement() -> Task:
         ("votes", "UserId", "CreationDate"),
         ("comments", "UserId", "CreationDate"),
     )
-    return Task(nodes, edges, 3, None, inclusive=False, lookback_days=3650, active=active)
+    settings = {"inclusive": False, "lookback_days": 3650, "active": active, "sampler": STACK_CUTOFFS}
+    return Task(nodes, edges, 3, None, **settings)
 
 
 def _stack_votes() -> Task:
@@ -301,22 +336,20 @@ def _stack_votes() -> Task:
         ("post", "OwnerUserId", "user", "Id", True),
         ("user", "Id", "bad", "UserId", True),
     )
-    return Task(nodes, edges, 4, None, inclusive=False, lookback_days=3650)
+    return Task(nodes, edges, 4, None, inclusive=False, lookback_days=3650, sampler=STACK_CUTOFFS)
 
 
 def _trial(rich: bool, horizon: int | None) -> Task:
     """``rich`` gives every dated relation all families; else only the two result tables."""
-    wide = {**ALL, "windows": TRIAL_WINDOWS, "top_k": 5, "max_columns": 8}
-    some = {**ALL, **SMALL}
+    wide = {"families": FAMILIES, "windows": TRIAL_WINDOWS}
     plain: dict = wide if rich else {}
-    result = wide if rich else some
     analyses = {
-        **result,
+        **wide,
         "context_keys": ("nct_id", "outcome_id"),
         "annotations": {"is_significant": "{p_value} >= 0 AND {p_value} <= 0.05"},
     }
     totals = {
-        **result,
+        **wide,
         "context_keys": ("nct_id",),
         "annotations": {"is_serious_or_death": "{event_type} IN ('serious', 'deaths')"},
     }
@@ -341,7 +374,7 @@ def _trial(rich: bool, horizon: int | None) -> Task:
         edges.append(("std", "nct_id", prefix, "nct_id", True))
     for table, prefix, dimension, key in bridges:
         nodes.append(Node(f"{table}_studies", prefix, "id", "date", plain))
-        nodes.append(Node(table, dimension, key, None, {"top_k": 5}))
+        nodes.append(Node(table, dimension, key))
         edges.append(("std", "nct_id", prefix, "nct_id", True))
         edges.append((prefix, key, dimension, key, True))
     return Task(tuple(nodes), tuple(edges), 2, horizon)
@@ -353,23 +386,23 @@ def _site() -> Task:
         Node("facilities", "fac", "facility_id", None, {"columns": ("city", "state", "zip", "country")}),
         Node("site_history", "hst", "facility_id"),
     )
-    return Task(nodes, (("fac", "facility_id", "hst", "facility_id", False),), 2, None)
+    return Task(nodes, (("fac", "facility_id", "hst", "facility_id", False),), 2, None, sampler=SITE_CUTOFFS)
 
 
 TASKS: dict[str, Task] = {
-    "amazon_user_churn": _amazon("customer"),
-    "amazon_item_churn": _amazon("product"),
-    "amazon_user_ltv": _amazon("customer"),
-    "amazon_item_ltv": _amazon("product"),
-    "avito_user_visits": _avito_user(),
-    "avito_user_clicks": _avito_user(),
+    "amazon_user_churn": _amazon("customer", True),
+    "amazon_item_churn": _amazon("product", True),
+    "amazon_user_ltv": _amazon("customer", False),
+    "amazon_item_ltv": _amazon("product", False),
+    "avito_user_visits": _avito_user(False),
+    "avito_user_clicks": _avito_user(True),
     "avito_ad_ctr": _avito_ad(),
     "event_user_attendance": _event(same_user=True),
     "event_user_ignore": _event(rich_interest=True),
     "event_user_repeat": _event(rich_interest=True),
-    "f1_driver_dnf": _f1("res", {"did_not_finish": "{statusId} != 1"}, 30, True),
-    "f1_driver_top3": _f1("qua", {"is_top3": "{position} <= 3"}, 30, True),
-    "f1_driver_position": _f1("res", {}, 60, False),
+    "f1_driver_dnf": _f1("res", {"did_not_finish": "{statusId} != 1"}, 30),
+    "f1_driver_top3": _f1("qua", {"is_top3": "{position} <= 3"}, 30),
+    "f1_driver_position": _f1("res", {}, 60),
     "hm_user_churn": _hm_customer(),
     "hm_item_sales": _hm_article(),
     "stack_user_badge": _stack_badge(),
@@ -395,7 +428,7 @@ def task_graph(
         df = tables[node.table]
         actual = {k: pick_column(df.columns, [k]) for k in (*keys[node.prefix], node.pk)}
         resolved |= {(node.prefix, k): v for k, v in actual.items()}
-        options = dict(node.options)
+        options = {**CATEGORIES, "unique_pk": node.own_key, **node.options}
         if "columns" in options:
             found = (pick_column(df.columns, [c], required=False) for c in options["columns"])
             options["columns"] = tuple(c for c in found if c)
@@ -416,6 +449,54 @@ def task_graph(
     return CompressionGraph(task.entity, tuple(relations), edges, tuple(cutoffs), **settings)
 
 
+def task_cutoffs(name: str, schedule: Sequence[datetime]) -> list[datetime]:
+    """Training cutoffs that the task takes from a whole schedule; all without a sampler."""
+    sampler, cutoffs = TASKS[name].sampler, sorted(set(schedule))
+    if sampler is None:
+        return cutoffs
+    kind, n = sampler
+    return {"stratified": stratified_sample, "even": even_sample, "stride": stride_sample}[kind](cutoffs, n)
+
+
+def task_labels(
+    name: str, tables: Mapping[str, DataFrame], cutoffs: Sequence[datetime], keys: DataFrame | None = None
+) -> DataFrame:
+    """(cutoff, entity, target) of a task that has a label.
+
+    ``keys`` (cutoff, entity) are the rows wanted: those active at the cutoff unless given, or those with
+    an event in the window for a task without an activity filter.
+    """
+    task = TASKS[name]
+    label = task.label
+    if label is None:
+        raise ValueError(f"{name}: its label is not defined in public code")
+    events = tables[label.table]
+    key, time = (pick_column(events.columns, [c]) for c in (label.key, label.time))
+    value = None if label.value is None else F.col(pick_column(events.columns, [label.value]))
+    events = events if label.where is None else events.where(label.where)
+    kind = "count" if label.kind == "churn" else label.kind
+    horizon = timedelta(days=task.horizon_days)
+    found = window_measures(events, key, time, cutoffs, horizon, [Measure("target", kind, value)])
+    if keys is None:
+        keys = _active_keys(task, tables, cutoffs)
+    if keys is not None:
+        entity = next(c for c in keys.columns if c != "cutoff")
+        found = label_table(keys, entity, found, key, ["target"])
+    if label.kind == "churn":
+        found = found.withColumn("target", (F.col("target") == 0).cast("int"))
+    return found
+
+
+def _active_keys(task: Task, tables: Mapping[str, DataFrame], cutoffs: Sequence[datetime]) -> DataFrame | None:
+    if not task.active:
+        return None
+    sources = [
+        (tables[t], pick_column(tables[t].columns, [k]), pick_column(tables[t].columns, [c]))
+        for t, k, c in task.active
+    ]
+    return active_by(sources, cutoffs)
+
+
 def task_frame(
     name: str,
     tables: Mapping[str, DataFrame],
@@ -426,10 +507,6 @@ def task_frame(
 ) -> DataFrame:
     """Feature frame of a task. Without keys, tasks with an activity filter keep active entities."""
     task, graph = TASKS[name], task_graph(name, tables, cutoffs, **overrides)
-    if keys is None and task.active:
-        sources = [
-            (tables[t], pick_column(tables[t].columns, [k]), pick_column(tables[t].columns, [c]))
-            for t, k, c in task.active
-        ]
-        keys = active_by(sources, graph.cutoffs)
+    if keys is None:
+        keys = _active_keys(task, tables, graph.cutoffs)
     return frame(graph, frozen, keys)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relpoint.functions.timegrid import timestamp_literal
+from relpoint.session import reliable
 
 
 def prediction_name(dataset: str, task: str) -> str:
@@ -64,8 +66,10 @@ def write_predictions(
 ) -> None:
     """Check keys and values, then write keys + target as CSV.
 
-    Spark's output commit makes the folder appear complete or not at all.
+    Predictions are stored once before they are checked. The folder is written beside the old one and
+    takes its place when it is complete; a failed write leaves the old one.
     """
+    predictions = reliable(predictions)
     cover = key_cover(predictions, expected, keys).first()
     if any(cover):
         raise ValueError(f"incomplete key coverage: {cover.asDict()}")
@@ -73,4 +77,22 @@ def write_predictions(
     if bad["non_finite"] or bad["out_of_range"]:
         raise ValueError(f"invalid predictions: {bad.asDict()}")
     out = predictions.select(*keys, F.col(prediction).cast("double").alias(target))
-    out.write.mode("overwrite").option("header", True).csv(path)
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    out.write.option("header", True).csv(new)
+    _take_place(out.sparkSession, new, path)
+
+
+def _take_place(spark: SparkSession, new: str, path: str) -> None:
+    """Rename ``new`` to ``path``; an old folder goes once the new one stands."""
+    named = spark._jvm.org.apache.hadoop.fs.Path
+    target, old = named(path), named(f"{new}.old")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    replaced = files.exists(target)
+    if replaced and not files.rename(target, old):
+        raise OSError(f"cannot move {path}")
+    if not files.rename(named(new), target):
+        if replaced:
+            files.rename(old, target)
+        raise OSError(f"cannot move {new} to {path}")
+    if replaced:
+        files.delete(old, True)

@@ -82,6 +82,13 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
+def repeated_keys(df: DataFrame, key: str, name: str) -> DataFrame:
+    """No rows; an error while the plan runs if a key occurs twice. Reads the key column alone."""
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    fault = F.concat(F.lit(f"{name} is looked up by a key that is not unique: "), F.col(key).cast("string"))
+    return counted.where(F.when(F.col("__n") > 1, F.raise_error(fault).cast("boolean")).otherwise(False)).drop("__n")
+
+
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
     if not duplicate_keys(df, keys).isEmpty():
         raise ValueError(f"key {list(keys)} is not unique")

@@ -11,11 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The vocabulary of the feature.
 FAMILIES = ("base", "semantic", "conditional", "temporal", "sequence", "episode", "context")
 BASE_STATS = (
     "count", "sum", "avg", "min", "max", "std", "nunique", "mode", "topk", "recency", "activity",
 )
 
+# Top categories need a number of values, so a caller asks for them.
+DEFAULT_STATS = tuple(s for s in BASE_STATS if s != "topk")
+WINDOWED = ("conditional", "temporal")
+
 Predicate = str | Callable[[], Column]
 
 
@@ -35,6 +40,10 @@ class Relation:
     Columns are exposed as ``<prefix>_<column>`` in lower case. ``filters`` and
     ``derived`` are SQL expressions over those names (or over ``{column}``
     templates); ``annotations`` are boolean templates evaluated before reduction.
+    ``top_k`` has to be given where category values are to be found in the data; with a
+    ``cardinality_threshold`` columns of more values get none (the plan names them).
+    ``gated`` lists (numeric, category) column pairs. ``unique_pk`` claims that ``pk``
+    tells rows apart, so that rows are counted instead of values.
     """
 
     name: str
@@ -47,19 +56,17 @@ class Relation:
     derived: Mapping[str, Predicate] = field(default_factory=dict)
     annotations: Mapping[str, Predicate] = field(default_factory=dict)
     families: tuple[str, ...] = ("base",)
-    stats: tuple[str, ...] = BASE_STATS
+    stats: tuple[str, ...] = DEFAULT_STATS
     windows: tuple[int, ...] = ()
-    top_k: int = 5
-    cardinality_threshold: int = 50
-    max_columns: int | None = None
+    top_k: int | None = None
+    cardinality_threshold: int | None = None
     categories: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     context_keys: tuple[str, ...] = ()
     context_rank: bool = False
     episode_keys: tuple[str, ...] = ()
     text_columns: tuple[str, ...] = ()
-    gated_numeric: int = 0
-    gated_top_k: int = 5
-    unique_pk: bool = True
+    gated: tuple[tuple[str, str], ...] = ()
+    unique_pk: bool = False
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "families", normalize_families(self.families))
@@ -69,6 +76,8 @@ class Relation:
             raise ValueError(f"unknown base statistics: {unknown}")
         if self.time_col is None and self.families != ("base",):
             object.__setattr__(self, "families", ("base",))
+        if bool(self.windows) != bool(set(WINDOWED) & set(self.families)):
+            raise ValueError(f"{self.name}: windows and the families {WINDOWED} need each other, and a clock")
         lowered = [c.lower() for c in self.df.columns]
         if len(lowered) != len(set(lowered)):
             raise ValueError(f"{self.name}: column names differ only by case")

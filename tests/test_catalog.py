@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as driver
 from tests.oracle import differences, duck_rows, spark_rows
 
-WITHOUT_SQL = {"gbt_scores"}
+WITHOUT_SQL: set[str] = set()
 SAMPLE = (
     "customer_frame_base", "customer_frame_multihop", "event_sequence", "label_conditional",
     "supplier_history_star", "training_frame", "metrics_classification", "schedule_train",

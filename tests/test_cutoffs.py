@@ -43,17 +43,19 @@ def test_schedule_frame_equals_lists(spark):
         assert got == split_cutoffs(split, VAL, TEST, DELTA, *times, eval_count=3)
 
 
-def test_stratified_sample():
-    values = list(range(46))
+def test_stratified_sample(spark):
+    values = [datetime(2001, 1, 1) + timedelta(days=91 * i) for i in range(46)]
     picked = stratified_sample(values, 15)
-    assert len(set(picked)) == 15 and picked == sorted(picked) and picked[-1] == 45
-    assert picked == stratified_sample(values, 15)
+    assert len(set(picked)) == 15 and picked == sorted(picked) and picked[-1] == values[-1]
     for i, value in enumerate(picked[:-1]):
-        assert i * 45 // 14 <= value < (i + 1) * 45 // 14
-    assert stratified_sample(values, 1) == [45]
+        assert values[i * 45 // 14] <= value < values[min(45, (i + 1) * 45 // 14 + 1)]
+    assert stratified_sample(values, 1) == values[-1:]
     assert stratified_sample(values[:3], 15) == values[:3]
     with pytest.raises(ValueError):
         stratified_sample(values, 0)
+    schedule = spark.createDataFrame([(v,) for v in values], "cutoff timestamp_ntz")
+    marked = sampled_schedule(schedule, 15, 10).where("stratified = 1").collect()
+    assert sorted(r["cutoff"] for r in marked) == picked
 
 
 def test_even_and_stride_samples():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from relpoint import CompressionGraph, Edge, FrozenPlan, Relation, compile_graph
 from relpoint.operators.profile import ManifestSource, with_manifests
 from relpoint.plans.compiler import assert_keys, frame, shared_columns
-from relpoint.spec import FAMILIES, normalize_families
+from relpoint.spec import BASE_STATS, FAMILIES, normalize_families
 
 START = datetime(2020, 1, 1)
 CUTS = tuple(START + timedelta(days=d) for d in (10, 20, 21, 30, 35, 40))
@@ -44,7 +44,11 @@ def graph(spark, rows, **options):
         context_keys=("peer",),
         context_rank=True,
         episode_keys=("episode", "peer"),
-        gated_numeric=2,
+        gated=(("x", "kind"),),
+        stats=BASE_STATS,
+        top_k=5,
+        cardinality_threshold=50,
+        unique_pk=True,
     )
     settings.update(options)
     fact = Relation("facts", facts, "id", "f", "t", **settings)
@@ -173,10 +177,17 @@ def test_options(spark):
     assert normalize_families(["temporal", "base", "temporal"]) == ("temporal", "base")
     with pytest.raises(ValueError):
         normalize_families(["base", "magic"])
-    base = graph(spark, make_rows(), max_columns=0)
-    assert compile_graph(base).columns["facts"].numeric == ()
-    static = Relation("s", spark.createDataFrame([(1,)], "a int"), "a", "s", families=FAMILIES)
+    with pytest.raises(ValueError, match="top_k"):
+        compile_graph(graph(spark, make_rows(), top_k=None))
+    narrow = compile_graph(graph(spark, make_rows(), cardinality_threshold=2)).columns["facts"]
+    assert narrow.left_out == ("f_kind",) and not narrow.categories
+    with pytest.raises(ValueError, match="no row is visible"):
+        compile_graph(graph(spark, make_rows()), at=START)
+    static = Relation("s", spark.createDataFrame([(1,)], "a int"), "a", "s", families=("base", "sequence"))
     assert static.families == ("base",)
+    for odd in ({"windows": ()}, {"families": ("base",)}):
+        with pytest.raises(ValueError, match="windows"):
+            graph(spark, make_rows(), **odd)
     with pytest.raises(ValueError):
         graph(spark, make_rows(), annotations={"bad": "{nothing} > 1"}).relation("facts").prepared()
     with pytest.raises(ValueError):
@@ -190,10 +201,67 @@ def test_hop_limit_prunes(spark):
 
 def test_keys_restrict_rows(spark):
     base = graph(spark, make_rows())
-    keys = spark.createDataFrame([(CUTS[1], 2), (CUTS[4], 0), (START, 1)], "cutoff timestamp_ntz, uid bigint")
+    schema = "cutoff timestamp_ntz, uid bigint"
+    keys = spark.createDataFrame([(CUTS[1], 2), (CUTS[4], 0), (CUTS[2], 99)], schema)
     whole, part = rows_of(frame(base)), rows_of(frame(base, keys=keys))
     assert set(part) == {(CUTS[1], 2), (CUTS[4], 0)}
     assert_same(part, {k: whole[k] for k in part})
+    for how in ("inner", "left"):
+        unknown = spark.createDataFrame([(CUTS[1], 2), (START, 1)], schema)
+        with pytest.raises(Exception, match="graph lacks"):
+            frame(base, keys=unknown, how=how).collect()
+        twice = spark.createDataFrame([(CUTS[1], 2), (CUTS[1], 3), (CUTS[1], 2)], schema)
+        with pytest.raises(Exception, match="more than once"):
+            frame(base, keys=twice, how=how).collect()
+
+
+def test_lookup_by_a_repeated_key_is_an_error(spark):
+    links = spark.createDataFrame([(1, 10, START)], "u bigint, p bigint, at timestamp_ntz")
+    places = spark.createDataFrame([(10, 1.0), (10, 2.0)], "pid bigint, size double")
+    users = spark.createDataFrame([(1,)], "uid bigint")
+    full = CompressionGraph(
+        "users",
+        (
+            Relation("users", users, "uid", "u"),
+            Relation("links", links, "u", "l", "at", columns=(), stats=("count",)),
+            Relation("places", places, "pid", "p", columns=("size",)),
+        ),
+        (Edge("users", "links", "uid", "u"), Edge("links", "places", "p", "pid", reduce=False)),
+        CUTS[:1],
+        hops_back=2,
+    )
+    with pytest.raises(Exception, match="not unique"):
+        frame(full).collect()
+
+
+@pytest.mark.parametrize("strategy", ["expand", "bucket"])
+def test_nothing_below_a_lookup_counts_before_it_is_visible(spark, strategy):
+    """entity <- child -> parent born later <- grandchildren."""
+    users = spark.createDataFrame([(1,)], "uid bigint")
+    links = spark.createDataFrame([(1, 10, START)], "u bigint, p bigint, at timestamp_ntz")
+    places = spark.createDataFrame([(10, CUTS[2], 5.0)], "pid bigint, born timestamp_ntz, size double")
+    visits = spark.createDataFrame([(1, 10, START, "x"), (2, 10, START, "y"), (3, 10, CUTS[3], "y")], "vid bigint, p bigint, at timestamp_ntz, kind string")
+    full = CompressionGraph(
+        "users",
+        (
+            Relation("users", users, "uid", "u"),
+            Relation("links", links, "u", "l", "at", columns=(), stats=("count", "sum")),
+            Relation("places", places, "pid", "p", "born", columns=("size",)),
+            Relation("visits", visits, "vid", "g", "at", columns=("kind",), stats=("count", "mode")),
+        ),
+        (
+            Edge("users", "links", "uid", "u"),
+            Edge("links", "places", "p", "pid", reduce=False),
+            Edge("places", "visits", "pid", "p"),
+        ),
+        CUTS,
+        hops_back=3,
+        strategy=strategy,
+    )
+    got = rows_of(frame(full))
+    seen = [(got[c, 1]["g_n_rows_sum"], got[c, 1]["g_kind_mode_mode"], got[c, 1]["p_size_sum"]) for c in CUTS]
+    late = [(2, "x", 5.0), (3, "y", 5.0), (3, "y", 5.0)]
+    assert seen == [(0, None, None)] * 3 + late
 
 
 def test_shared_columns():
@@ -235,16 +303,15 @@ def test_manifests_narrow_relations(spark):
     narrowed = with_manifests(both, {"facts": source}, CUTS[2], {"again": "facts"})
     for name in ("facts", "again"):
         assert set(narrowed.relation(name).columns) == {"id", "k", "t", "x", "kind", "ok", "peer"}
-        assert narrowed.relation(name).gated_numeric == 4
 
 
 def test_labels_are_carried(spark):
     base = graph(spark, make_rows())
-    labels = [(CUTS[1], 2, 0.5), (CUTS[4], 99, 1.0), (START, 1, 2.0)]
+    labels = [(CUTS[1], 2, 0.5), (CUTS[4], 99, 1.0), (CUTS[0], 1, 2.0)]
     keys = spark.createDataFrame(labels, "cutoff timestamp_ntz, uid bigint, y double")
     whole, got = rows_of(frame(base)), rows_of(frame(base, keys=keys, how="left"))
     assert {k: r["y"] for k, r in got.items()} == {(c, e): y for c, e, y in labels}
-    assert got[CUTS[4], 99]["f_n_rows"] == 0 and got[START, 1]["f_x_sum"] is None
+    assert got[CUTS[4], 99]["f_n_rows"] == 0 and got[CUTS[4], 99]["f_x_sum"] is None
     assert_same({k: {c: v for c, v in r.items() if c != "y"} for k, r in got.items() if k in whole},
                 {k: whole[k] for k in got if k in whole})
 
@@ -265,11 +332,11 @@ def test_looked_up_columns_appear_with_their_own_time(spark, clock):
         Edge("users", "home", "home", "pid", reduce=False),
     )
     full = CompressionGraph("users", (user, link, place, home), edges, CUTS[:4], hops_back=2)
-    keys = spark.createDataFrame([(CUTS[1], 1), (START, 2)], "cutoff timestamp_ntz, uid bigint")
+    keys = spark.createDataFrame([(CUTS[1], 1), (CUTS[0], 2)], "cutoff timestamp_ntz, uid bigint")
     for strategy in ("auto", "bucket"):
         got = rows_of(frame(replace(full, strategy=strategy)))
         size = {k: (r["l_n_rows"], r["p_size_sum"], r["h_size"]) for k, r in got.items()}
         assert [size[c, 1] for c in CUTS[:4]] == [(2, None, None), (2, 5.0, 5.0), (2, 5.0, 5.0), (2, 12.0, 5.0)]
         assert [size[c, 2][2] for c in CUTS[:4]] == [None, None, None, 7.0]
     left = rows_of(frame(full, keys=keys, how="left"))
-    assert left[CUTS[1], 1]["h_size"] == 5.0 and left[START, 2]["h_size"] is None
+    assert left[CUTS[1], 1]["h_size"] == 5.0 and left[CUTS[0], 2]["h_size"] is None

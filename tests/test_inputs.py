@@ -96,7 +96,7 @@ def test_profile(spark):
     rows = [(i, i % 7, datetime(2019 + i % 3, 1, 1), f"type {i % 2}", "same", f"value {i}") for i in range(1002)]
     schema = "id bigint, nct_id bigint, date timestamp_ntz, outcome_type string, constant string, high string"
     df = spark.createDataFrame(rows, schema)
-    sample = profile_sample(df, "id", "date", datetime(2020, 1, 1))
+    sample = profile_sample(df, "id", "date", datetime(2020, 1, 1), 10_000)
     assert sample.count() == 334 and sample.agg(F.max("date")).first()[0] < datetime(2020, 1, 1)
     with pytest.raises(ValueError):
         profile_sample(df, "id", "date", A, 0)
@@ -106,8 +106,8 @@ def test_profile(spark):
     assert tuple(manifest_summary(found).first()) == (6, 4, 1)
     approx = {r["column"]: r for r in column_statistics(df, exact=False).collect()}
     assert approx["constant"]["n_distinct"] == 1 and approx["id"]["n_rows"] == 1002
-    top = top_values(df, ["outcome_type", "high"], 1, 50)
-    assert top == {"outcome_type": ("type 0",)}
+    top, left_out = top_values(df, ["outcome_type", "high"], 1, 50)
+    assert top == {"outcome_type": ("type 0",)} and left_out == ("high",)
 
 
 def test_columns_and_views(spark):

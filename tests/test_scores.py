@@ -58,9 +58,9 @@ def test_normalized_error(spark):
 def test_candidates(spark):
     df = spark.createDataFrame([(-0.2, 0.1), (0.4, 0.6), (1.2, 0.9)], "reg double, prob double")
     long = candidates(df, "reg", "prob").collect()
-    blend = [r["prediction"] for r in long if r["candidate"] == "equal_weight_blend"]
+    blend = [r["prediction"] for r in long if r["candidate"] == "mean_of_both"]
     assert blend == pytest.approx([0.05, 0.5, 0.95])
-    assert [r["prediction"] for r in long if r["candidate"] == "mae_regression"] == [0.0, 0.4, 1.0]
+    assert [r["prediction"] for r in long if r["candidate"] == "clipped_value"] == [0.0, 0.4, 1.0]
 
 
 def test_candidate_choice(spark):
@@ -69,12 +69,12 @@ def test_candidate_choice(spark):
     )
     scores = candidate_scores(df, "y", "reg", "prob")
     mae = {r["candidate"]: r["mae"] for r in scores.collect()}
-    assert mae["cross_entropy_probability"] < mae["equal_weight_blend"] < mae["mae_regression"]
+    assert mae["probability"] < mae["mean_of_both"] < mae["clipped_value"]
     chosen = choose_candidate(scores)
-    assert chosen.first()["candidate"] == "cross_entropy_probability"
+    assert chosen.first()["candidate"] == "probability"
     assert sorted(r["prediction"] for r in apply_candidate(df, chosen, "reg", "prob").collect()) == [0.1, 0.5, 0.9]
     tie = spark.createDataFrame([(0.5, 0.5, 0.5)], "y double, reg double, prob double")
-    assert choose_candidate(candidate_scores(tie, "y", "reg", "prob")).first()["candidate"] == "mae_regression"
+    assert choose_candidate(candidate_scores(tie, "y", "reg", "prob")).first()["candidate"] == "clipped_value"
 
 
 def test_key_cover_and_sink(spark, tmp_path):

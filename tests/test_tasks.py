@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from relpoint.plans.compiler import compile_graph
 from relpoint.plans.site_history import site_frames
-from relpoint.plans.tasks import TASKS, task_frame, task_graph
+from relpoint.plans.tasks import TASKS, task_cutoffs, task_frame, task_graph, task_labels
 
 START = datetime(2020, 1, 1)
 CUTS = [START + timedelta(days=40), START + timedelta(days=60)]
@@ -19,7 +19,8 @@ EXTRA = {
     "results": "statusId int, position double",
     "qualifying": "position int",
     "standings": "points double",
-    "review": "rating double, verified boolean, summary string",
+    "review": "rating double, verified boolean, summary string, price double",
+    "VisitStream": "is_click int",
     "transactions": "price double, sales_channel_id int",
     "SearchStream": "IsClick int, Position int",
     "AdsInfo": "Price double",
@@ -96,25 +97,57 @@ def test_there_are_21_tasks():
         assert windows == [(7, 30, 90, 180, 365, 730, 1825, 3650)] * 9
 
 
-@pytest.mark.parametrize("name", sorted(set(TASKS) - {"amazon_user_ltv", "amazon_item_ltv", "avito_user_clicks"}))
-def test_task_compiles(spark, name):
-    tables = tiny_tables(spark, TASKS[name])
-    graph = task_graph(name, tables, CUTS)
-    frozen = compile_graph(graph)
-    df = task_frame(name, tables, CUTS, frozen)
-    assert len(df.columns) == len(set(df.columns)) > 3
+def test_samplers():
+    schedule = [START + timedelta(days=30 * i) for i in range(46)]
+    sizes = {name: len(task_cutoffs(name, schedule)) for name in TASKS}
+    assert sizes["stack_post_votes"] == 15 and sizes["f1_driver_top3"] == 6 and sizes["trial_site_success"] == 5
+    assert sizes["hm_item_sales"] == 46
+
+
+def windowed(name, columns):
+    """Each node's windows show in the names of its columns."""
+    for node in TASKS[name].nodes:
+        for days in node.options.get("windows", ()):
+            if node.prefix != TASKS[name].entity:
+                assert any(c.startswith(f"{node.prefix.lower()}_") and f"_{days}d" in c for c in columns), (node.prefix, days)
 
 
-@pytest.mark.parametrize("name", ["amazon_item_churn", "f1_driver_top3", "stack_user_engagement", "hm_user_churn"])
+@pytest.mark.parametrize("name", sorted(set(TASKS) - {"amazon_user_ltv", "amazon_item_ltv", "avito_user_clicks"}))
 def test_task_runs(spark, name):
     tables = tiny_tables(spark, TASKS[name])
-    df = task_frame(name, tables, CUTS)
+    df = task_frame(name, tables, CUTS, compile_graph(task_graph(name, tables, CUTS)))
+    assert len(df.columns) == len(set(df.columns)) > 3
+    windowed(name, df.columns)
     key = df.columns[1]
     rows = df.select("cutoff", key).collect()
     assert rows and len(rows) == len(set(rows)) and {r["cutoff"] for r in rows} <= set(CUTS)
     assert len(df.agg(*(F.max(c) for c in df.columns)).first()) == len(df.columns)
 
 
+@pytest.mark.parametrize("name", [n for n, t in TASKS.items() if t.label])
+def test_labels(spark, name):
+    task, tables = TASKS[name], tiny_tables(spark, TASKS[name])
+    label, horizon = task.label, timedelta(days=TASKS[name].horizon_days)
+    events = [r.asDict() for r in tables[label.table].collect()]
+    got = {(r[0], r[1]): r["target"] for r in task_labels(name, tables, CUTS).collect()}
+    expected = {}
+    for c in CUTS:
+        for key in {e[label.key] for e in events if e[label.key] is not None}:
+            own = [e for e in events if e[label.key] == key]
+            inside = [e for e in own if c < e[label.time] <= c + horizon]
+            if task.active and not any(e[label.time] <= c for e in own):
+                continue
+            if label.kind == "churn":
+                expected[c, key] = int(not inside)
+            elif label.kind == "sum":
+                expected[c, key] = sum(e[label.value] or 0 for e in inside)
+            else:
+                hits = [e for e in inside if label.where is None or e["is_click"] == 1]
+                if hits:
+                    expected[c, key] = len({e[label.value] for e in hits} - {None})
+    assert got == pytest.approx(expected) and expected
+
+
 def test_site_success_frames(spark):
     tables = {k: v for k, v in tiny_tables(spark, TASKS["trial_study_outcome"]).items()}
     rows = site_frames(tables, CUTS).collect()
