@@ -444,9 +444,9 @@ def gap_profile(rows: DataFrame, prefix: str, scope: Scope) -> Reduction:
     A gap belongs to every cutoff that sees both of its end points, so gaps are
     found once, not per cutoff. Equal timestamps collapse to one row with a
     multiplicity first; consecutive timestamps are then paired inside minute slices
-    of the key, and slices are linked through their first and last timestamp. A
-    heavy key is thereby split over its minutes; the link step holds at most one
-    row per minute of history.
+    of the key, slices are linked inside their day through their first and last
+    timestamp, and days are linked in the same way. A heavy key is thereby split over
+    its minutes; no link step holds more than the minutes of a day or one row a day.
     """
     t, grid = F.col("t"), scope.grid
     dtype = rows.schema[scope.time_col].dataType
@@ -457,13 +457,17 @@ def gap_profile(rows: DataFrame, prefix: str, scope: Scope) -> Reduction:
     inner = Window.partitionBy(KEY, "slice").orderBy("t")
     paired = times.withColumn("prev", F.lag("t").over(inner)).where(F.col("prev").isNotNull())
     ends = times.groupBy(KEY, "slice").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    outer = Window.partitionBy(KEY).orderBy("slice")
-    linked = ends.withColumn("prev", F.lag("last").over(outer)).where(F.col("prev").isNotNull())
+    ends = ends.withColumn("day", F.floor(F.col("slice") / 1440))
+    days = ends.groupBy(KEY, "day").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    links = []
+    for slices, group, order in ((ends, [KEY, "day"], "slice"), (days, [KEY], "day")):
+        outer = Window.partitionBy(*group).orderBy(order)
+        linked = slices.withColumn("prev", F.lag("last").over(outer)).where(F.col("prev").isNotNull())
+        links.append(linked.select(KEY, "prev", F.col("first").alias("t")))
     repeated = times.where(F.col("m") > 1).select(KEY, t.alias("prev"), "t", (F.col("m") - 1).alias("w"))
     one = F.lit(1).cast("bigint")
-    gaps = paired.select(KEY, "prev", "t", one.alias("w")).unionByName(
-        linked.select(KEY, "prev", F.col("first").alias("t"), one.alias("w"))
-    ).unionByName(repeated)
+    pairs = fold(DataFrame.unionByName, [paired.select(KEY, "prev", "t"), *links])
+    gaps = pairs.withColumn("w", one).unionByName(repeated)
     gaps = gaps.withColumn("g", epoch_micros(t) - epoch_micros(F.col("prev")))
 
     # Repeated timestamps contribute w gaps of length zero: their own sums are zero
