@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relpoint.llm.common import arrow_map, fresh, small_batches, store, texts
-from relpoint.llm.components import components
+from relpoint.llm.components import components, union_find
 
 #: Symbols hashed at once, and the bits of the filter that spares the join most texts.
 BLOCK = 1 << 17
 FILTER_BITS = 1 << 26
+#: Units of a bucket up to which those apart are compared pair by pair; units of a block beyond, and the
+#: shingles that two blocks are compared by at once.
+SMALL, PART, COLUMNS = 16, 256, 4096
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -226,13 +229,119 @@ def verified(pairs: DataFrame, known: DataFrame, how: Units) -> DataFrame:
     return arrow_map(joined, each, "same boolean", ["a", "b"]).where("same").select("a", "b")
 
 
+def central(members: DataFrame) -> DataFrame:
+    """``bucket`` and its ``centre``: the member that meets most others, over all of its buckets."""
+    weights = members.groupBy("key").agg(F.sum("n").alias("w"))
+    weighed = members.select("bucket", "key").join(weights.hint("merge"), "key")
+    best = F.max(F.struct("w", (-F.col("key")).alias("k")))
+    return store(weighed.groupBy("bucket").agg((-best["k"]).alias("centre")), "centres")
+
+
+def links_across(
+    members: DataFrame, parts: DataFrame, done: DataFrame, known: DataFrame, how: Units, block: int = PART
+) -> DataFrame:
+    """Verified pairs ``a``, ``b`` of units that share a bucket but not a part, enough to connect them.
+
+    Buckets of up to SMALL units are compared pair by pair. In larger ones, units outside the largest
+    part are dealt to blocks of about ``block`` by a hash, as are those of the largest part, and a task
+    compares two blocks at once: each pair of blocks of the former, and each of the former with each of
+    the latter. It returns a spanning forest of the links, so no list of pairs is ever made.
+    """
+    placed = members.join(parts.toDF("key", "part").hint("merge"), "key", "left")
+    placed = store(placed.withColumn("part", F.coalesce("part", "key")), "placed")
+    by_part = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("size"))
+    split = by_part.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "part")).alias("top")
+    )
+    split = split.where("parts > 1").select("bucket", "all", F.col("top.size").alias("most"), F.col("top.part").alias("top"))
+    apart = placed.select("bucket", "key", "part").join(store(split, "split").hint("merge"), "bucket")
+    apart = store(apart.withColumn("inside", F.col("part") == F.col("top")), "apart")
+
+    few = apart.where(F.col("all") <= SMALL)
+    one = few.where("not inside").select("bucket", F.col("key").alias("a"), F.col("part").alias("part_a"))
+    other = few.select("bucket", F.col("key").alias("b"), F.col("part").alias("part_b"), "inside")
+    across = (F.col("part_a") != F.col("part_b")) & (F.col("inside") | (F.col("a") < F.col("b")))
+    pairs = one.join(other.hint("merge"), "bucket").where(across)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of_few = verified(store(pairs.join(done.hint("merge"), ["a", "b"], "left_anti"), "across"), known, how)
+
+    many = apart.where(F.col("all") > SMALL).join(known.hint("merge"), "key")
+    blocks_in = F.ceil(F.col("most") / block).cast("int")
+    blocks_out = F.ceil((F.col("all") - F.col("most")) / block).cast("int")
+    number = F.xxhash64("key", F.lit(3))
+    own = F.pmod(number, F.when(F.col("inside"), blocks_in).otherwise(blocks_out)).cast("int")
+    many = many.withColumns({"own": own, "ins": blocks_in, "outs": blocks_out})
+    outside = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda j: F.struct(
+        F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), F.lit(False).alias("with_top")
+    ))
+    to_top = F.transform(F.sequence(F.lit(0), F.col("ins") - 1), lambda j: F.struct(
+        F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("with_top")
+    ))
+    from_top = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda i: F.struct(
+        i.alias("i"), F.col("own").alias("j"), F.lit(True).alias("with_top")
+    ))
+    meets = F.when(F.col("inside"), from_top).otherwise(F.concat(outside, to_top))
+    dealt = many.select("bucket", "key", "part", "text", F.col("own"), F.col("inside"), F.explode(meets).alias("m"))
+    second = F.when(F.col("m.with_top"), F.col("inside")).otherwise(F.col("own") == F.col("m.j"))
+    dealt = dealt.select("bucket", "m.i", "m.j", "m.with_top", "key", "part", "text", second.alias("second"))
+    found = dealt.groupBy("bucket", "i", "j", "with_top").applyInArrow(
+        lambda table: compared(table, how), "a long, b long"
+    )
+    return of_few.union(found)
+
+
+def compared(table: pa.Table, how: Units) -> pa.Table:
+    """Spanning forest of the links between two blocks (or inside one) of ``key, part, text, second``."""
+    keys, parts = (table[n].to_numpy() for n in ("key", "part"))
+    second = table["second"].to_numpy(zero_copy_only=False)
+    ids: dict = {}
+    sets = [
+        np.fromiter((ids.setdefault(s, len(ids)) for s in how.shingles(t)), np.int64)
+        for t in table["text"].to_pylist()
+    ]
+    right = np.flatnonzero(second)
+    left = right if second.all() else np.flatnonzero(~second)
+    sizes = np.array([len(s) for s in sets])
+    flat, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    both = np.ones(len(ids), dtype=bool)
+    for side in (left, right):
+        seen = np.zeros(len(ids), dtype=bool)
+        seen[flat[np.isin(owners, side)]] = True
+        both &= seen
+    column = np.cumsum(both) - 1
+    shared = both[flat]
+    flat, owners = column[flat[shared]], owners[shared]
+    row = np.full(len(sets), -1)
+    overlap = np.zeros((len(left), len(right)), dtype=np.float32)
+    for start in range(0, int(both.sum()), COLUMNS):
+        inside = (flat >= start) & (flat < start + COLUMNS)
+        sides = []
+        for side in (left, right):
+            row[:] = -1
+            row[side] = np.arange(len(side))
+            mine = inside & (row[owners] >= 0)
+            marks = np.zeros((len(side), COLUMNS), dtype=np.float32)
+            marks[row[owners[mine]], flat[mine] - start] = 1
+            sides.append(marks)
+        overlap += sides[0] @ sides[1].T
+    total = sizes[left][:, None] + sizes[right][None, :] - overlap
+    links = (overlap >= how.threshold * total) & (parts[left][:, None] != parts[right][None, :])
+    x, y = np.nonzero(links)
+    if len(x):
+        nodes, root = union_find(keys[left[x]], keys[right[y]])
+        nodes, root = nodes[nodes != root], root[nodes != root]
+    else:
+        nodes = root = np.zeros(0, dtype=np.int64)
+    return pa.table({"a": pa.array(root, pa.int64()), "b": pa.array(nodes, pa.int64())})
+
+
 def joined_units(docs: DataFrame, how: Units, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each unit: ``id, unit, key, class_key, first_id, first_unit, class_size, kept``.
 
-    Equal units have one key and are compared once. In each bucket all units are compared with its
-    smallest key, which joins families of copies at a cost in proportion to their size. Units of a bucket
-    that are then still apart are compared across the parts (all but the largest part against the rest), so
-    no link of a bucket between different parts is passed over, and no pairs inside a part are made.
+    Equal units have one key and are compared once. In each bucket all units are compared with a central
+    one, which joins families of copies at a cost in proportion to their size. Units of a bucket that are
+    then still apart are compared across the parts (``links_across``), so no link of a bucket is passed
+    over, and no pairs inside a part are made.
     A class is kept in the row with the smallest id and unit number (null ids come first).
     """
     small_batches(docs.sparkSession)
@@ -240,27 +349,18 @@ def joined_units(docs: DataFrame, how: Units, id_col: str = "doc_id", text_col:
     banded = units.select("key", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
     shared = store(shared.where("a < b"), "buckets")
-    members = banded.join(shared.where("n > 2").select("bucket", F.col("a").alias("pivot")).hint("merge"), "bucket")
+    members = banded.join(shared.where("n > 2").select("bucket", "n").hint("merge"), "bucket")
     members = store(members.distinct(), "members")
-    stars = shared.where("n = 2").select("a", "b").union(members.where("pivot <> key").select("pivot", "key"))
-    stars = store(stars.distinct(), "stars")
+    centres = central(members)
+    of_many = members.join(centres.hint("merge"), "bucket").where("key <> centre")
+    of_many = of_many.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
+    stars = store(shared.where("n = 2").select("a", "b").union(of_many).distinct(), "stars")
     keys = store(stars.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
     known = store(unit_texts(docs, keys, how, text_col), "texts")
     edges = store(verified(stars, known, how), "links")
     parts = store(components(edges), "parts")
 
-    placed = members.join(parts.toDF("key", "part"), "key", "left").withColumn("part", F.coalesce("part", "key"))
-    placed = store(placed, "placed")
-    by_part = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    split = by_part.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part")).alias("top"))
-    split = store(split.where("parts > 1").select("bucket", F.col("top.part").alias("top")), "split")
-    apart = store(placed.join(split.hint("merge"), "bucket").select("bucket", "key", "part", "top"), "apart")
-    one = apart.where("part <> top").select("bucket", F.col("key").alias("a"), F.col("part").alias("part_a"))
-    other = apart.select("bucket", F.col("key").alias("b"), F.col("part").alias("part_b"), "top")
-    across = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("top")) | (F.col("a") < F.col("b")))
-    pairs = one.join(other.hint("merge"), "bucket").where(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = store(pairs.distinct().join(stars.hint("merge"), ["a", "b"], "left_anti"), "across")
-    more = store(verified(pairs, known, how), "links")
+    more = store(links_across(members, parts, stars, known, how), "links")
     if not more.isEmpty():
         parts = store(components(edges.union(more)), "parts")
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from relpoint.llm import minhash
 from relpoint.llm.line_dedup import dedup_lines, line_classes, line_units, lines
 from relpoint.llm.minhash import minima, signatures
 from relpoint.llm.paragraph_dedup import dedup_paragraphs, paragraph_classes, paragraph_units, paragraphs
@@ -83,8 +84,10 @@ def test_classes_match_all_pairs(spark, classes, split, units):
     assert got == slow_classes(rows, split, units())
 
 
-def test_full_buckets_lose_no_link(spark):
+def test_full_buckets_lose_no_link(spark, monkeypatch):
     # One hash a band: most lines of a family meet in most buckets, with other families among them.
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash.links_across, "__defaults__", (7,))
     rows = families(4)
     got = {(r["id"], r["unit"]): ((r["first_id"], r["first_unit"]), r["class_size"]) for r in line_classes(documents(spark, rows), rows=1).collect()}
     assert got == slow_classes(rows, lines, line_units())
