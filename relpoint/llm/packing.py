@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -16,39 +17,91 @@ from relpoint.llm.common import parts, read, small_batches, store, texts
 
 CAPACITY = 2048
 #: Word pieces that a task remembers between texts.
-MEMORY = 400_000
+MEMORY = 500_000
 
 _SPACE = bytes.maketrans(b"\n\t\r", b"   ")
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Tokens:
     """Token ids of texts as little-endian 32-bit integers, by a tokenizer file.
 
-    The tokenizer drops white space and never joins what it parts, so a text is tokenized run by run and
-    each distinct run once (``whole`` false). With ``whole`` each text goes to the tokenizer as it is.
+    The tokenizer drops white space, ignores case and never joins what they part, so texts are tokenized
+    run by run and each distinct run once: the runs of a batch that are new go to it together. Marks
+    that follow a letter or digit are a run of their own. Special tokens are left as they stand.
     """
 
-    def __init__(self, path: str, whole: bool = False, memory: int = MEMORY):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole, self.memory, self.known = whole, memory, {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def ids(self, text: bytes) -> bytes:
-        if self.whole:
-            return self._encode([text.decode()])[0]
-        runs = text.translate(_SPACE).split(b" ")
+        self.memory, self.known = memory, {b"": b""}
+        size = self.tokenizer.get_vocab_size()
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _learn(self, runs: set[bytes]) -> None:
+        """Ids of runs that aren't known yet."""
+        known, ends, plain = self.known, {}, []
+        for run in runs:
+            base = run.rstrip(_MARKS)
+            if base and base != run and base[-1:].isalnum() and b"<|" not in run:
+                ends[run] = (base, run[len(base) :])
+            else:
+                plain.append(run)
+        plain += {part for pair in ends.values() for part in pair if part not in known and part not in runs}
+        words = [r for r in plain if one_word(r)]
+        self._keep(words, self._by_words(words))
+        others = [r for r in plain if r not in known]
+        self._keep(others, self._by_runs(others))
+        for run, (base, marks) in ends.items():
+            known[run] = known[base] + known[marks]
+
+    def _keep(self, runs: list[bytes], found: tuple[np.ndarray, np.ndarray] | None) -> None:
+        if found is not None:
+            ids, bounds = found
+            flat, places = ids.astype("<u4").tobytes(), bounds.tolist()
+            self.known.update((run, flat[4 * a : 4 * b]) for run, a, b in zip(runs, places, places[1:]))
+
+    def _by_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and bounds of runs that are one word each: every word ends with a token marked so."""
+        if not words:
+            return None
+        [found] = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(found.ids, dtype=np.int64)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        return (ids, np.r_[0, ends]) if len(ends) == len(words) and ends[-1] == len(ids) else None
+
+    def _by_runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and bounds of any runs, by the word that the tokenizer names for each token."""
+        if not runs:
+            return None
+        found = self.tokenizer.encode([r.decode() for r in runs], is_pretokenized=True, add_special_tokens=False)
+        owners = np.array(found.word_ids, dtype=np.int64)
+        return np.array(found.ids, dtype=np.int64), np.searchsorted(owners, np.arange(len(runs) + 1))
+
+    def ids(self, documents: list[bytes]) -> list[bytes]:
+        split = [(d if b"<|" in d else d.lower()).translate(_SPACE).split(b" ") for d in documents]
         if len(self.known) > self.memory:
             self.known = {b"": b""}
+        new = {r for runs in split for r in runs}.difference(self.known)
+        if new:
+            self._learn(new)
         known = self.known
-        known.setdefault(b"", b"")
-        if new := list({r for r in runs if r not in known}):
-            known.update(zip(new, self._encode([r.decode() for r in new])))
-        return b"".join([known[r] for r in runs])
+        return [b"".join([known[r] for r in runs]) for runs in split]
+
+
+def one_word(run: bytes) -> bool:
+    """Whether the run has letters of the Latin script only, which the tokenizer doesn't part."""
+    if run.isascii():
+        return run.isalpha()
+    text = run.decode()
+    return text.isalpha() and max(text) < "\u0250"
+
+
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> Tokens:
+    """One for each Python worker, which keeps what it has learned from task to task."""
+    return Tokens(path)
 
 
 def pieces(
@@ -66,11 +119,11 @@ def pieces(
     names = [f.name for f in fields]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer)
+        tokens = tokens_of(tokenizer)
         for batch in batches:
             source, found = [], []
-            for row, text in enumerate(texts(batch.column(1))):
-                ids = tokens.ids(text) + b"\0\0\0\0"
+            for row, ids in enumerate(tokens.ids(texts(batch.column(1)))):
+                ids += b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     source.append(row)

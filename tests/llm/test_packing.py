@@ -17,7 +17,7 @@ def tokenizer():
 
 
 ODD = ["", " ", "It's 12,5 km; don't!!", "é e\u0301 ﬁ ß ẞ İ ΑΣ", "tab\tand\x0bother\x0cspaces\u00a0\u2003\u0085x", "a\x00b \x1f"]
-ODD += ["<|endoftext|> <|startoftext|>x a<|endoftext|>b", "日本語 テキスト 🙂🏽 \u200d", "\r\n\r\n", "x" * 3000, "A.B.C U.S.A. #1 @me http://a.b/c?d=e"]
+ODD += ["<|endoftext|> <|startoftext|>x a<|endoftext|>b", "(a). b-c. d's, 'e' f'. g' 7. é. é! a_b_ <|endoftext|>. <|ENDOFTEXT|>, <|startoftext|>!", "日本語 テキスト 🙂🏽 \u200d", "\r\n\r\n", "x" * 3000, "A.B.C U.S.A. #1 @me http://a.b/c?d=e"]
 
 
 def test_runs_give_the_tokenizers_own_ids(tokenizer, sf):
@@ -25,9 +25,10 @@ def test_runs_give_the_tokenizers_own_ids(tokenizer, sf):
 
     texts = pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()
     tokens = Tokens(public_tokenizer(), memory=500)
-    for text in ODD + texts:
-        expected = tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(tokens.ids(text.encode()), dtype="<u4").tolist() == expected, text[:80]
+    for at in range(0, len(ODD + texts), 7):
+        part = (ODD + texts)[at : at + 7]
+        for text, ids in zip(part, tokens.ids([t.encode() for t in part]), strict=True):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:80]
 
 
 def test_pieces_hold_every_token(spark, tokenizer):
