@@ -28,11 +28,16 @@ _PLACES = CHUNK // HOP
 _SPAN = CHUNK + WIDTH
 
 
-def chunks(text: bytes) -> np.ndarray:
-    """Chunks of the text as rows of bytes, the last one filled up with zeros; an empty text has one."""
-    n = max(1, -(-(len(text) - CHUNK + STEP) // STEP))
+def chunk_count(text: bytes) -> int:
+    return max(1, -(-(len(text) - CHUNK + STEP) // STEP))
+
+
+def chunks(text: bytes, n: int | None = None) -> np.ndarray:
+    """The first n (or all) chunks of the text as rows of bytes, filled up with zeros; an empty text has one."""
+    n = n or chunk_count(text)
     flat = np.zeros(STEP * (n - 1) + _SPAN, dtype=np.uint8)
-    flat[: len(text)] = np.frombuffer(text, dtype=np.uint8)[: len(flat)]
+    part = text[: len(flat)]
+    flat[: len(part)] = np.frombuffer(part, dtype=np.uint8)
     return np.lib.stride_tricks.as_strided(flat, (n, _SPAN), (STEP, 1))
 
 
@@ -87,7 +92,7 @@ class Network:
             rows = owners[starts]
             mean[rows] += np.add.reduceat(active, starts, axis=0, dtype=np.float64)
             top[rows] = np.maximum(top[rows], np.maximum.reduceat(active, starts, axis=0))
-        count = np.array([max(1, -(-(len(d) - CHUNK + STEP) // STEP)) for d in documents])[:, None]
+        count = np.array([chunk_count(d) for d in documents])[:, None]
         logit = np.hstack([mean / count, top]) @ self.weights.astype(np.float64) + float(self.bias[0])
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
@@ -97,8 +102,9 @@ class Network:
         held, owners, n = [], [], 0
         for row, text in enumerate(documents):
             # A long text comes in pieces that start where a chunk does.
-            for at in range(0, max(1, len(text) - CHUNK + STEP), STEP * size):
-                own = chunks(text[at : at + STEP * (size - 1) + CHUNK])
+            total = chunk_count(text)
+            for at in range(0, total, size):
+                own = chunks(text[STEP * at : STEP * (at + size - 1) + _SPAN], min(size, total - at))
                 held.append(own)
                 owners.append(np.full(len(own), row))
                 n += len(own)
@@ -123,7 +129,10 @@ class Network:
         error = ((p - labels) / len(labels)).astype(np.float32)
         back = np.outer(error, self.weights)
         position = np.repeat(np.arange(len(labels)), sizes)
-        chunk = (back[:, :FILTERS] / sizes[:, None])[position] + back[position, FILTERS:] * (active == top[position])
+        # Chunks that share the maximum share its gradient.
+        at_top = (active == top[position]).astype(np.float32)
+        at_top /= np.add.reduceat(at_top, starts, axis=0)[position]
+        chunk = (back[:, :FILTERS] / sizes[:, None])[position] + back[position, FILTERS:] * at_top
         chunk = np.where(active > 0, chunk, 0).astype(np.float32)
         places = (np.arange(len(block))[:, None] * _PLACES + where).ravel()
         seen = inputs[places].reshape(len(block), FILTERS, -1)
