@@ -56,6 +56,27 @@ class Units:
             return set(zip(*(parts[i:] for i in range(self.size))))
         return {parts[i : i + self.size] for i in range(len(parts) - self.size + 1)}
 
+    def near(self, one: set, unit: bytes) -> bool:
+        """Whether the unit's shingles have a similarity of the threshold or more with those of ``one``.
+
+        More than ``one``'s size times (1 - t) / t shingles outside of it rule that out, so those of the
+        first part of the unit tell most dissimilar units.
+        """
+        parts = unit.split(b" ") if self.words else unit.decode()
+        places = max(1, len(parts) - self.size + 1)
+        if places < self.threshold * len(one) - 1e-6:
+            return False
+        outside = len(one) * (1 - self.threshold) / self.threshold
+        first = int(outside) + 16
+        if first + self.size < len(parts):
+            start = parts[: first + self.size - 1]
+            shingles = zip(*(start[i:] for i in range(self.size))) if self.words else (
+                start[i : i + self.size] for i in range(first)
+            )
+            if len(set(shingles) - one) > outside + 1e-6:
+                return False
+        return self.jaccard(one, self.shingles(unit)) >= self.threshold
+
     def jaccard(self, one: set, other: set) -> float:
         both = len(one & other)
         return both / (len(one) + len(other) - both)
@@ -213,17 +234,19 @@ def unit_texts(docs: DataFrame, keys: DataFrame, how: Units, text_col: str) -> D
 
 
 def verified(pairs: DataFrame, known: DataFrame, how: Units) -> DataFrame:
-    """The pairs ``a``, ``b`` whose units have a Jaccard similarity of the threshold or more."""
+    """The pairs ``a``, ``b`` whose units have a Jaccard similarity of the threshold or more.
+
+    The last join leaves pairs in the order of ``a``, whose shingles are then made once.
+    """
     a, b = (known.toDF(n, f"text_{n}") for n in "ab")
-    joined = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+    joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
-        # Pairs of one unit tend to stand together.
         last, own, found = None, set(), []
         for x, one, other in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
             if x != last:
                 last, own = x, how.shingles(one)
-            found.append(how.jaccard(own, how.shingles(other)) >= how.threshold)
+            found.append(how.near(own, other))
         return [pa.array(found)]
 
     return arrow_map(joined, each, "same boolean", ["a", "b"]).where("same").select("a", "b")
@@ -263,6 +286,7 @@ def links_across(
     across = (F.col("part_a") != F.col("part_b")) & (F.col("inside") | (F.col("a") < F.col("b")))
     pairs = one.join(other.hint("merge"), "bucket").where(across)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     of_few = verified(store(pairs.join(done.hint("merge"), ["a", "b"], "left_anti"), "across"), known, how)
 
     many = apart.where(F.col("all") > SMALL).join(known.hint("merge"), "key")
@@ -325,7 +349,7 @@ def compared(table: pa.Table, how: Units) -> pa.Table:
             sides.append(marks)
         overlap += sides[0] @ sides[1].T
     total = sizes[left][:, None] + sizes[right][None, :] - overlap
-    links = (overlap >= how.threshold * total) & (parts[left][:, None] != parts[right][None, :])
+    links = (overlap + 1e-6 >= how.threshold * total) & (parts[left][:, None] != parts[right][None, :])
     x, y = np.nonzero(links)
     if len(x):
         nodes, root = union_find(keys[left[x]], keys[right[y]])
@@ -349,11 +373,12 @@ def joined_units(docs: DataFrame, how: Units, id_col: str = "doc_id", text_col:
     banded = units.select("key", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
     shared = store(shared.where("a < b"), "buckets")
-    members = banded.join(shared.where("n > 2").select("bucket", "n").hint("merge"), "bucket")
+    # The buckets with several units are few beside all units' buckets: they are hashed, not sorted.
+    members = banded.join(shared.where("n > 2").select("bucket", "n").hint("shuffle_hash"), "bucket")
     members = store(members.distinct(), "members")
     centres = central(members)
     of_many = members.join(centres.hint("merge"), "bucket").where("key <> centre")
-    of_many = of_many.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
+    of_many = of_many.select(F.col("centre").alias("a"), F.col("key").alias("b"))
     stars = store(shared.where("n = 2").select("a", "b").union(of_many).distinct(), "stars")
     keys = store(stars.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
     known = store(unit_texts(docs, keys, how, text_col), "texts")

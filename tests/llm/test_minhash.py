@@ -22,6 +22,20 @@ def test_minima_are_shared_as_often_as_shingles():
     assert abs(share - exact) < 0.1 and (found[0] == found[4]).all() and (found[2] != found[3]).any()
 
 
+@pytest.mark.parametrize("how", [line_units(), paragraph_units(), line_units(threshold=0.5), line_units(shingle=1)])
+def test_early_rejection_is_exact(how):
+    rng = random.Random(7)
+    for _ in range(300):
+        one = words(rng, rng.randrange(1, 60), rng.choice([3, 50, 5000])).split()
+        other = list(one)
+        for _ in range(rng.randrange(12)):
+            other[rng.randrange(len(other))] = f"e{rng.randrange(99)}"
+        other = other[: rng.randrange(1, len(other) + 1)] + one[: rng.randrange(9)]
+        a, b = " ".join(one).encode(), " ".join(other).encode()
+        exact = how.jaccard(how.shingles(a), how.shingles(b)) >= how.threshold
+        assert how.near(how.shingles(a), b) == exact
+
+
 def test_long_units_are_hashed_in_blocks(monkeypatch):
     rng = random.Random(2)
     how = line_units()
