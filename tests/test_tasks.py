@@ -124,8 +124,8 @@ def test_task_runs(spark, name):
 
 @pytest.mark.parametrize("name", [n for n, t in TASKS.items() if t.label])
 def test_labels(spark, name):
-    task, tables = TASKS[name], tiny_tables(spark, TASKS[name])
-    label, horizon = task.label, timedelta(days=TASKS[name].horizon_days)
+    task, tables = TASKS[name], tiny_tables(spark, TASKS[name], rows=400)
+    label, horizon = task.label, timedelta(days=task.horizon_days)
     events = [r.asDict() for r in tables[label.table].collect()]
     got = {(r[0], r[1]): r["target"] for r in task_labels(name, tables, CUTS).collect()}
     expected = {}
