@@ -156,7 +156,7 @@ def buckets(found: np.ndarray, how: Units) -> np.ndarray:
 def with_units(docs: DataFrame, how: Units, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``unit`` (its number in the text), ``key`` (XXH64 of the unit) and ``bands``.
 
-    ``bands`` is null for a unit that its batch of rows already had.
+    ``bands`` is empty for a unit that its batch of rows already had.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("unit long, key long, bands array<long>").fields])
@@ -180,7 +180,6 @@ def with_units(docs: DataFrame, how: Units, id_col: str, text_col: str) -> DataF
             offsets = np.zeros(len(keys) + 1, dtype=np.int32)
             places = np.fromiter(first.values(), np.int64, len(first))
             offsets[places + 1] = how.bands
-            # An empty list stands for no bands.
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(own.ravel()))
             arrays = [
                 batch.column(0).take(pa.array(source)),
