@@ -1,7 +1,9 @@
-"""Substring dedup: paragraphs that repeat, exactly or nearly, by MinHash banding of word shingles."""
+"""Substring dedup: lines and passages that repeat, exactly or nearly, by MinHash banding of word shingles."""
 
 from __future__ import annotations
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,16 @@ from relpoint.llm.minhash import Units, joined_units, without_units
 #: Words of a shingle and the Jaccard similarity of a link. Ten bands of three hashes find a pair of that
 #: similarity with probability 0.9992.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 10, 3
-#: Words from which a line counts as a paragraph; shorter lines (headings, notices) are left alone.
-LEAST_WORDS = 30
+#: Words from which a line or text has units: those of a shingle. What is shorter has no shingle to compare.
+LEAST_WORDS = SHINGLE
+#: Passages: windows of WINDOW words that start where the hash of a shingle is the least of REACH ones in a row.
+#: Any run of WINDOW + REACH - 1 = 50 words that two texts share gives both the same window in it.
+WINDOW, REACH = 20, 31
+#: A window's shingles are 16, so a pair of the threshold is nearly equal; four bands of two find it with 0.98.
+PASSAGE_BANDS, PASSAGE_ROWS = 4, 2
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def paragraphs(text: bytes) -> list[tuple[int, bytes]]:
@@ -21,10 +31,42 @@ def paragraphs(text: bytes) -> list[tuple[int, bytes]]:
     return [(n, b" ".join(words)) for n, words in found if len(words) >= LEAST_WORDS]
 
 
+def anchors(words: list[bytes], window: int = WINDOW, reach: int = REACH, shingle: int = SHINGLE) -> list[int]:
+    """First words of the windows of a text; they depend on words near them only, not on lines or on the place."""
+    places = len(words) - window + 1
+    if places < 2:
+        return [0]
+    digest = xxhash.xxh64_intdigest
+    symbols = np.fromiter(map(digest, words), np.uint64, len(words))
+    rolled = symbols[:places].copy()
+    for j in range(1, shingle):
+        rolled *= _STEP
+        rolled += symbols[j : j + places]
+    rolled ^= rolled >> np.uint64(29)
+    rolled *= _MIX
+    if places <= reach:
+        return [int(rolled.argmin())]
+    least = np.lib.stride_tricks.sliding_window_view(rolled, reach).argmin(axis=1)
+    least += np.arange(len(least))
+    return least[np.r_[True, least[1:] != least[:-1]]].tolist()  # never falls, so equal ones are neighbours
+
+
+def passages(text: bytes) -> list[tuple[int, bytes]]:
+    """Windows over the words of the whole text, numbered by their first word; a short text is one window."""
+    words = text.lower().split()
+    if len(words) < LEAST_WORDS:
+        return []
+    return [(n, b" ".join(words[n : n + WINDOW])) for n in anchors(words)]
+
+
 def paragraph_units(shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> Units:
     return Units(paragraphs, shingle, True, bands, rows, threshold)
 
 
+def passage_units(bands: int = PASSAGE_BANDS, rows: int = PASSAGE_ROWS, threshold: float = THRESHOLD) -> Units:
+    return Units(passages, SHINGLE, True, bands, rows, threshold)
+
+
 def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Class of each paragraph; see ``joined_units`` for the columns.
 
@@ -35,15 +77,26 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return joined_units(docs, paragraph_units(**options), id_col, text_col)
 
 
+def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Class of each passage, as ``paragraph_classes``; ``unit`` is the passage's first word in the text."""
+    return joined_units(docs, passage_units(**options), id_col, text_col)
+
+
 def dedup_paragraphs(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one paragraph of each class, in the document with the smallest id; columns unchanged."""
     return without_units(docs, paragraph_classes(docs, **options))
 
 
 def op5_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every paragraph that others repeat: its class, the class's first place and size, and whether it stays."""
-    found = paragraph_classes(read(spark, folder, "documents")).where("class_size > 1")
-    return found.select(
+    """Every unit that others repeat: its class, the class's first place and size, and whether it stays.
+
+    ``paragraph`` is a line's number, or -1 - n for the passage that starts at word n, wherever lines break.
+    """
+    docs = read(spark, folder, "documents")
+    lines = paragraph_classes(docs).where("class_size > 1")
+    runs = passage_classes(docs).where("class_size > 1")
+    runs = runs.withColumns({"unit": -1 - F.col("unit"), "first_unit": -1 - F.col("first_unit")})
+    return lines.unionByName(runs).select(
         F.col("id").alias("doc_id"),
         F.col("unit").alias("paragraph"),
         F.col("first_id").alias("class_doc_id"),
