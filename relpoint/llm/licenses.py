@@ -15,6 +15,10 @@ from relpoint.llm.common import arrow_map, plain_offsets, plain_words, read, sma
 #: Words of a match that can stand in a chain, words between two matches of a chain, and the share of a
 #: template that a chain covers before it gives the template's label.
 MATCH, GAP, SHARE = 3, 8, 0.6
+#: Words from which a template without a name counts by its share; shorter ones have to be covered whole.
+LONG = 10
+#: Words that tell licences apart: a chain has to cover those of its template, whatever its share.
+NAMES = frozenset((b"mit", b"apache", b"bsd", b"gnu", b"cc", b"commons", b"mozilla", b"reserved"))
 
 # The phrases of the contract, each counted wherever it stands.
 PHRASES = {
@@ -72,12 +76,18 @@ class Span(NamedTuple):
 class Scanner:
     """Finds phrases and templates in a sequence of words."""
 
-    def __init__(self, phrases: dict[str, str] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES):
+    def __init__(
+        self,
+        phrases: dict[str, str] = PHRASES,
+        templates: Sequence[tuple[str, str]] = TEMPLATES,
+        names: frozenset[bytes] = NAMES,
+    ):
         pairs = [(plain_words(p.encode()), label) for p, label in phrases.items()]
         pairs += [(plain_words(t.encode()), label) for label, t in templates]
         self.items = [words for words, _ in pairs]
         self.labels = [label for _, label in pairs]
         self.phrases = len(phrases)
+        self.names = [[k for k, word in enumerate(words) if word in names] for words in self.items]
         self.automaton = SuffixAutomaton(self.items)
         short = [len(w) for w in self.items[: self.phrases]]
         self.least = min([MATCH, *short])
@@ -114,15 +124,20 @@ class Scanner:
 
     def _chains(self, runs: list[tuple[int, int, int]]) -> list[Span]:
         """Chains of the longest matches, in order in text and template, with small gaps in the text."""
-        open_: dict[int, list[int]] = {}  # template: first word, last word, place in the template, covered
+        # template: first word, last word, place in the template, covered, names covered
+        open_: dict[int, list[int]] = {}
         spans = []
 
         def close(number: int) -> None:
-            first, last, _, covered = open_.pop(number)
-            share = covered / len(self.items[number])
-            if share >= SHARE:
+            first, last, _, covered, named = open_.pop(number)
+            size, names = len(self.items[number]), len(self.names[number])
+            share = covered / size
+            if named == names and share >= (SHARE if names or size >= LONG else 1):
                 spans.append(Span(self.labels[number], first, last, covered, share))
 
+        def names(number: int, place: int, length: int) -> int:
+            return sum(place - length < k <= place for k in self.names[number])
+
         for at, state, length in runs:
             by_template: dict[int, list[int]] = {}
             for number, place in self.ends[state]:
@@ -134,11 +149,13 @@ class Scanner:
                     if later and at > chain[1]:
                         place = min(later)
                         gained = min(length, at - chain[1], place - chain[2])
-                        open_[number] = [chain[0], at, place, chain[3] + gained]
+                        named = chain[4] + names(number, place, gained)
+                        open_[number] = [chain[0], at, place, chain[3] + gained, named]
                         continue
                 if chain:
                     close(number)
-                open_[number] = [at - length + 1, at, min(where), length]
+                place = min(where)
+                open_[number] = [at - length + 1, at, place, length, names(number, place, length)]
         for number in list(open_):
             close(number)
         return sorted(spans, key=lambda s: (s.first, s.last, s.label))
