@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from relpoint.llm.common import arrow_map, fresh, read, small_batches, spaced_words, store, texts
 from relpoint.llm.components import components
+from relpoint.llm.minhash import Units, joined_units
 
 #: Words of a shingle; differing bits of a link. The grid's radius and the star links rest on 2.
 SHINGLE = 3
@@ -130,18 +131,45 @@ def links(fps: DataFrame, segments: int = SEGMENTS, cell: int = CELL) -> DataFra
     return of_two.union(of_some).union(of_many).distinct()
 
 
+def whole(text: bytes) -> list[tuple[int, bytes]]:
+    """The words of a text as one unit; none without words."""
+    words = spaced_words(text)
+    return [(0, b" ".join(words))] if words else []
+
+
+def similar_texts(shingle: int = 5, threshold: float = 0.8) -> Units:
+    return Units(whole, shingle, True, threshold=threshold)
+
+
+def similar_links(docs: DataFrame, how: Units, text_col: str = "text") -> DataFrame:
+    """Edges ``a``, ``b`` that connect the fingerprints of texts with similar shingles, at any bit distance."""
+    rows = docs.select(F.col(text_col).alias("text"))
+    found = joined_units(with_fingerprint(rows, "fp"), how, "fp", "text")
+    return found.where("id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b")).distinct()
+
+
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, cell: int = CELL
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    segments: int = SEGMENTS,
+    cell: int = CELL,
+    similar: Units | None = None,
 ) -> DataFrame:
     """``id``, ``fp`` and ``component`` (smallest id reachable over links) for each row of ``docs``.
 
     Equal fingerprints are linked, so the search runs on distinct ones only. Null and blank texts have
     fingerprint zero. A null id is passed over by the minimum (a group of nulls has component null);
     repeated rows share their group; an empty table gives no rows. Other columns are ignored.
+    With ``similar``, texts whose shingles have its Jaccard similarity are linked too: near copies differ in
+    more bits than cells of any small radius reach, so MinHash bands find them and exact counts decide.
     """
     rows = store(fingerprints(docs, id_col, text_col), "simhash-rows")
     fps = store(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fps")
-    joined = store(components(links(fps.select("fp"), segments, cell)), "simhash-joined")
+    edges = links(fps.select("fp"), segments, cell)
+    if similar:
+        edges = edges.union(similar_links(docs, similar, text_col))
+    joined = store(components(edges), "simhash-joined")
     named = fps.join(joined.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = store(named, "simhash-named")
     least = store(named.groupBy("root").agg(F.min("least").alias("component")), "simhash-least")
@@ -149,13 +177,15 @@ def near_groups(
     return rows.join(labels, "fp").select("id", "fp", "component")
 
 
-def drop_near(docs: DataFrame, segments: int = SEGMENTS, cell: int = CELL) -> DataFrame:
+def drop_near(
+    docs: DataFrame, segments: int = SEGMENTS, cell: int = CELL, similar: Units | None = None
+) -> DataFrame:
     """``docs`` with the smallest doc_id of each group, columns unchanged.
 
     A group whose ids are all null keeps one row for each fingerprint. Where rows share an id, they are
     told apart by fingerprint, and of rows equal in both one stays.
     """
-    groups = store(near_groups(docs, segments=segments, cell=cell), "simhash-groups")
+    groups = store(near_groups(docs, segments=segments, cell=cell, similar=similar), "simhash-groups")
     fp, gone, gone_fp = fresh(docs, "fp", "gone", "gone_fp")
     drop = groups.where(~F.col("id").eqNullSafe(F.col("component")))
     drop = drop.select(F.col("id").alias(gone), F.col("fp").alias(gone_fp)).distinct()
