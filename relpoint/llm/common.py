@@ -97,4 +97,6 @@ def arrow_map(
                 arrays = [*(batch.column(i) for i in place), *each(batch)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+    if any("." in c for c in df.columns):
+        df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # mapInArrow takes a dot for a field's
     return df.mapInArrow(run, schema)

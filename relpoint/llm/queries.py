@@ -16,6 +16,7 @@ MODULES = (
     "quality",
     "url_filter",
     "collocations",
+    "personal_data",
 )
 
 
