@@ -288,9 +288,13 @@ def listed(spans: Column) -> Column:
     )
 
 
+def _equals(kind: str) -> Callable[[Column], Column]:
+    return lambda x: x == kind
+
+
 def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = with_personal_data(read(spark, folder, "documents").select("doc_id", "text"))
-    counts = (F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS)
+    counts = (F.size(F.filter(F.col("base.kind"), _equals(k))).cast("long").alias(f"n_{k}") for k in KINDS)
     return found.select(
         "doc_id",
         *counts,
