@@ -8,6 +8,7 @@ word. Only groups travel: once per block and phrase, not once per occurrence.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -17,7 +18,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relpoint.llm.common import parts, read, store, texts
@@ -28,11 +29,14 @@ LEAST, LONGEST, TOP, COVER = 100, 5, 2000, 100
 #: Positions in the buffers of one task, distinct words in one buffer, and bytes of text that are split at once.
 BLOCK_WORDS, BLOCK_DISTINCT, CHUNK_BYTES = 1 << 22, 1 << 20, 1 << 23
 
+#: A group's number is a long: task (23 bits), block of the task (16 bits), place in the block (24 bits).
+BLOCK_BITS, PLACE_BITS = 16, 24
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 RELATION = "block long, lang string, own int, groups array<int>, entries array<struct<{}n:long>>"
 
 # Every separator becomes a full stop, which therefore is no word; A-Z to a-z, tabs to spaces.
-_MARK = b"."
+_MARK, _END = b".", re.compile(rb"[\x09-\x0d .,;:!?]")
 _FLAT = bytes(
     b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256)
 )
@@ -47,11 +51,12 @@ def chunks(text: bytes, size: int, ahead: int) -> Iterator[tuple[list[bytes], in
     """(words, number of own ones): a long text in parts that end between words, each with ``ahead`` more words."""
     start = 0
     while True:
-        stop = text.find(b" ", start + size)
-        if stop < 0:
+        end = _END.search(text, start + size)
+        if end is None:
             words = split(text[start:])
             yield words, len(words)
             return
+        stop = end.start()
         words = split(text[start:stop])
         yield words + _first(text, stop, ahead), len(words)
         start = stop
@@ -109,7 +114,7 @@ def occurrences(docs: DataFrame, longest: int = LONGEST, chunk_bytes: int = CHUN
     kind = pa.struct([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, buffers = TaskContext.get().partitionId() << 32, {}
+        number, buffers = TaskContext.get().partitionId() << BLOCK_BITS, {}
 
         def emit(lang: str, buffer: _Buffer, own: int | None = None) -> pa.RecordBatch:
             nonlocal number
@@ -192,7 +197,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """(``lang, words, f``) of the phrases of up to ``longest`` words that occur ``least`` times, and ``lang, n``.
 
     Every part of a frequent phrase is frequent, so nothing is lost by extending frequent ones only. A phrase
-    is the pair of its first and last k words, both named by the number of their group: no hash decides.
+    is the pair of its first and last k words, both named by the number of their group: no hash decides. A
+    group's number is the smallest of the numbers (block and place in it) that it has in the blocks.
     """
     spark = docs.sparkSession
     buckets = parts(spark)
@@ -203,16 +209,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     for k in range(1, longest + 1):
         relation = spark.table(names[-1])
         groups = relation.select("block", "lang", F.posexplode("entries").alias("i", "e"))
-        keys = ["lang", "word"] if k == 1 else ["lang", "a", "b"]
-        groups = groups.select("block", "lang", "i", "e.*")
         if k == 1:
-            totals = store(groups.groupBy("lang").agg(F.sum("n").alias("n")), "setm-totals")
-        counted = groups.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        found = store(counted.withColumn("id", F.monotonically_increasing_id()), "setm-groups")
-        levels.append(_spelled(found, levels[-1] if levels else None))
+            totals = store(groups.groupBy("lang").agg(F.sum("e.n").alias("n")), "setm-totals")
+        keys = ["lang", "word"] if k == 1 else ["a", "b"]
+        found = store(_frequent(groups, keys, least), "setm-groups")
+        levels.append(_spelled(found.where("own = id"), levels[-1] if levels else None))
         if k < longest:
             # Which groups of a block are frequent: bounded by the block.
-            mine = groups.join(found.drop("f"), keys).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("frequent"))
+            block, i = F.shiftright("own", PLACE_BITS).alias("block"), F.col("own") % (1 << PLACE_BITS)
+            mine = found.groupBy(block).agg(F.collect_list(F.struct(i.alias("i"), "id")).alias("frequent"))
             joined = relation.select("block", "lang", "own", "groups").join(mine.hint("merge"), "block")
             with one_row_batches(spark):
                 names.append(_persist(extended(joined), buckets))
@@ -220,12 +225,25 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     return reduce(DataFrame.unionByName, (level.select("lang", "words", "f") for level in levels)), totals
 
 
+def _frequent(groups: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Groups of the blocks that are frequent in all: ``own`` and common number; keys and count once.
+
+    One shuffle by key serves the count and the semi-join. A key has one row per block, however often it occurs.
+    """
+    same = Window.partitionBy(*keys)
+    own = F.shiftleft("block", PLACE_BITS).bitwiseOR(F.col("i").cast("long")).alias("own")
+    rows = groups.select(own, *(F.col("lang") if k == "lang" else F.col(f"e.{k}") for k in keys), "e.n")
+    rows = rows.withColumns({"f": F.sum("n").over(same), "id": F.min("own").over(same)}).where(F.col("f") >= least)
+    once = (F.when(F.col("own") == F.col("id"), F.col(c)).alias(c) for c in ("f", *keys))
+    return rows.select("own", "id", *once)
+
+
 def _spelled(found: DataFrame, shorter: DataFrame | None) -> DataFrame:
-    """Frequent groups with their words, stored."""
+    """Frequent groups with their language and words, stored."""
     if shorter is None:
         named = found.select("id", "lang", F.array("word").alias("words"), "f")
     else:
-        first = shorter.select(F.col("id").alias("a"), F.col("words").alias("head"))
+        first = shorter.select(F.col("id").alias("a"), "lang", F.col("words").alias("head"))
         last = shorter.select(F.col("id").alias("b"), F.array(F.element_at("words", -1)).alias("tail"))
         named = found.join(first, "a").join(last, "b").select("id", "lang", F.concat("head", "tail").alias("words"), "f")
     return store(named, "setm-phrases")

@@ -58,6 +58,7 @@ class Span(NamedTuple):
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_ANY_DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -78,7 +79,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def addresses(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IP.finditer(text):
+    for m in _IP.finditer(text) if _ANY_DIGIT.search(text) else ():
         if all(len(p.lstrip("0")) < 4 and int(p[-3:]) <= 255 for p in m.group().split(".")):
             yield m.span()
 
@@ -90,7 +91,7 @@ def checks(digits: str) -> bool:
 
 
 def cards(text: str) -> Iterator[tuple[int, int]]:
-    for m in _CARD.finditer(text):
+    for m in _CARD.finditer(text) if _ANY_DIGIT.search(text) else ():
         if m.end() - m.start() >= 13:
             digits = m.group().replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and checks(digits):
@@ -155,8 +156,8 @@ def rewrite(text: str, rule: re.Pattern, output: Callable[[re.Match], str]) -> M
 
 
 @cache
-def folds() -> tuple[re.Pattern, dict[int, str]]:
-    """Pattern of the characters that stand for an ASCII one, and that one for each."""
+def folds() -> tuple[frozenset[str], dict[int, str]]:
+    """Characters that stand for an ASCII one, and that one for each."""
     table = {ord(a): b for a, b in LOOKALIKES.items()}
     for first, last in COMPATIBLE:
         for code in range(first, last + 1):
@@ -165,7 +166,7 @@ def folds() -> tuple[re.Pattern, dict[int, str]]:
                 table[code] = plain
     # Decimal digits of all scripts.
     table |= {code: str(unicodedata.decimal(chr(code))) for code in range(0x660, 0x1FC00) if chr(code).isdecimal()}
-    return re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(table)) + "]"), table
+    return frozenset(map(chr, table)), table
 
 
 DISGUISES = re.compile(
@@ -176,7 +177,9 @@ DISGUISES = re.compile(
     re.I | re.A,
 )
 _SPELLED = re.compile(_DIGIT, re.I)
-_HINTS = ("dot", "at]", "at)", "at}", "at>", "at ", "@]", "@)", "@}", "@>", "plus")
+# What a text has to hold, in lower case, before it is worth the larger pattern.
+_HINTS = ("dot", "at]", "at)", "at}", "at>", "at ]", "at )", "at }", "at >", "at\t", "@]", "@)", "@}", "@>", "@ ", "@\t", "plus")
+_RUN = re.compile(f"{_DIGIT}[ -]{_DIGIT}|[0-9][ -]{_DIGIT}")
 
 
 def _plain_form(m: re.Match) -> str:
@@ -198,11 +201,11 @@ def deobfuscated(text: str) -> tuple[str, list[Mapped]]:
         if INVISIBLE.search(text):
             steps.append(rewrite(text, INVISIBLE, lambda m: ""))
             text = steps[-1].text
-        pattern, table = folds()
-        if pattern.search(text):
+        known, table = folds()
+        if not known.isdisjoint(set(text)):
             text = text.translate(table)
     lower = text.lower()
-    if any(h in lower for h in _HINTS) or sum(lower.count(w) for w in SPELLED) > 1:
+    if any(h in lower for h in _HINTS) or _RUN.search(lower):
         step = rewrite(text, DISGUISES, _plain_form)
         if step.edits:
             steps.append(step)
