@@ -12,7 +12,6 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relpoint.llm.common import parts, read, store, texts
+from relpoint.llm.common import one_row_batches, parts, read, store, texts
 
 #: Occurrences that make a phrase frequent, words of the longest phrase, phrases reported per language, and
 #: the share of a phrase (in hundredths) that a longer one has to reach to stand for it.
@@ -32,7 +31,6 @@ BLOCK_WORDS, BLOCK_DISTINCT, CHUNK_BYTES = 1 << 22, 1 << 20, 1 << 23
 #: A group's number is a long: task (23 bits), block of the task (16 bits), place in the block (24 bits).
 BLOCK_BITS, PLACE_BITS = 16, 24
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 RELATION = "block long, lang string, own int, groups array<int>, entries array<struct<{}n:long>>"
 
 # Every separator becomes a full stop, which therefore is no word; A-Z to a-z, tabs to spaces.
@@ -174,17 +172,6 @@ def extended(joined: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, RELATION.format("a:long,b:long,"))
 
 
-@contextmanager
-def one_row_batches(spark: SparkSession) -> Iterator[None]:
-    """A block is large: it goes to Python alone."""
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, "1")
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH, before)
-
-
 def _persist(relation: DataFrame, buckets: int) -> str:
     """Table bucketed by block, so that no later step shuffles occurrences; dropped when the next one stands."""
     name = f"setm_{uuid.uuid4().hex}"

@@ -178,7 +178,7 @@ DISGUISES = re.compile(
 )
 _SPELLED = re.compile(_DIGIT, re.I)
 # What a text has to hold, in lower case, before it is worth the larger pattern.
-_HINTS = ("dot", "at]", "at)", "at}", "at>", "at ]", "at )", "at }", "at >", "at\t", "@]", "@)", "@}", "@>", "@ ", "@\t", "plus")
+_BRACKETED = re.compile(r"[\[({<][ \t]*(?:at|@|dot|\.)")
 _RUN = re.compile(f"{_DIGIT}[ -]{_DIGIT}|[0-9][ -]{_DIGIT}")
 
 
@@ -205,7 +205,7 @@ def deobfuscated(text: str) -> tuple[str, list[Mapped]]:
         if not known.isdisjoint(set(text)):
             text = text.translate(table)
     lower = text.lower()
-    if any(h in lower for h in _HINTS) or _RUN.search(lower):
+    if "dot" in lower or "plus" in lower or _BRACKETED.search(lower) or _RUN.search(lower):
         step = rewrite(text, DISGUISES, _plain_form)
         if step.edits:
             steps.append(step)

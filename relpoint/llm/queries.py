@@ -15,6 +15,7 @@ MODULES = (
     "packing",
     "quality",
     "url_filter",
+    "hard_negatives",
     "collocations",
     "personal_data",
 )
