@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from relpoint.spec import CompressionGraph, Edge, Relation
 
 FULL = ("count", "sum", "avg", "min", "max", "std", "nunique", "mode", "topk", "recency", "activity")
 STATUSES = ("F", "O", "P")
+#: Many cutoffs: rows are folded per pane, and hops joined as intervals.
+QUARTERS = tuple(datetime(1996, 1, 1) + k * DELTA for k in range(24))
 
 
 def base_graph(spark: SparkSession, folder: str) -> CompressionGraph:
@@ -129,7 +133,7 @@ LEFT JOIN agg ON agg.cutoff = c.cutoff AND agg.k = c_custkey
 """
 
 
-def customer_frame_multihop(spark: SparkSession, folder: str) -> DataFrame:
+def multihop_graph(spark: SparkSession, folder: str, cutoffs: Sequence[datetime]) -> CompressionGraph:
     """customer <- orders <- lineitem -> part: filters, lookup, two reductions."""
     customer = Relation("customer", table(spark, folder, "customer"), "c_custkey", "cus", columns=())
     orders = Relation(
@@ -157,10 +161,14 @@ def customer_frame_multihop(spark: SparkSession, folder: str) -> DataFrame:
         Edge("orders", "lineitem", "o_orderkey", "l_orderkey"),
         Edge("lineitem", "part", "l_partkey", "p_partkey", reduce=False),
     )
-    graph = CompressionGraph(
-        "customer", (customer, orders, lineitem, part), edges, ORDER_CUTOFFS[1:], hops_back=3
+    return CompressionGraph(
+        "customer", (customer, orders, lineitem, part), edges, tuple(cutoffs), hops_back=3
     )
-    return frame(graph)
+
+
+def customer_frame_multihop(spark: SparkSession, folder: str) -> DataFrame:
+    """customer <- orders <- lineitem -> part: filters, lookup, two reductions."""
+    return frame(multihop_graph(spark, folder, ORDER_CUTOFFS[1:]))
 
 
 _HOP_FEATURES = ("li_n_rows", "li_l_quantity_sum", "li_l_quantity_max", "prt_p_size_sum", "prt_p_size_max")
@@ -244,7 +252,7 @@ LEFT JOIN agg ON agg.cutoff = c.cutoff AND agg.k = s_suppkey
 """
 
 
-def timed_lookup(spark: SparkSession, folder: str) -> DataFrame:
+def timed_lookup_graph(spark: SparkSession, folder: str, cutoffs: Sequence[datetime]) -> CompressionGraph:
     """supplier <- lineitem -> orders: an order's attributes count only once it is visible."""
     supplier = Relation("supplier", table(spark, folder, "supplier"), "s_suppkey", "sup", columns=())
     lineitem = Relation(
@@ -264,8 +272,12 @@ def timed_lookup(spark: SparkSession, folder: str) -> DataFrame:
         Edge("supplier", "lineitem", "s_suppkey", "l_suppkey"),
         Edge("lineitem", "orders", "l_orderkey", "o_orderkey", reduce=False),
     )
-    graph = CompressionGraph("supplier", (supplier, lineitem, orders), edges, ORDER_CUTOFFS, hops_back=2)
-    return frame(graph)
+    return CompressionGraph("supplier", (supplier, lineitem, orders), edges, tuple(cutoffs), hops_back=2)
+
+
+def timed_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """supplier <- lineitem -> orders: an order's attributes count only once it is visible."""
+    return frame(timed_lookup_graph(spark, folder, ORDER_CUTOFFS))
 
 
 _TIMED_LOOKUP_SQL = f"""
@@ -292,7 +304,7 @@ LEFT JOIN ranked ON ranked.cutoff = c.cutoff AND ranked.k = s_suppkey AND ranked
 """
 
 
-def hops_below_timed_lookup(spark: SparkSession, folder: str) -> DataFrame:
+def below_lookup_graph(spark: SparkSession, folder: str, cutoffs: Sequence[datetime]) -> CompressionGraph:
     """supplier <- lineitem -> orders <- lineitem: what lies below an order counts once the order is visible."""
     supplier = Relation("supplier", table(spark, folder, "supplier"), "s_suppkey", "sup", columns=())
     lineitem = Relation(
@@ -310,10 +322,14 @@ def hops_below_timed_lookup(spark: SparkSession, folder: str) -> DataFrame:
         Edge("lineitem", "orders", "l_orderkey", "o_orderkey", reduce=False),
         Edge("orders", "other", "o_orderkey", "l_orderkey"),
     )
-    graph = CompressionGraph(
-        "supplier", (supplier, lineitem, orders, other), edges, ORDER_CUTOFFS, hops_back=3, hop_stats=("sum", "max")
+    return CompressionGraph(
+        "supplier", (supplier, lineitem, orders, other), edges, tuple(cutoffs), hops_back=3, hop_stats=("sum", "max")
     )
-    return frame(graph)
+
+
+def hops_below_timed_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """supplier <- lineitem -> orders <- lineitem: what lies below an order counts once the order is visible."""
+    return frame(below_lookup_graph(spark, folder, ORDER_CUTOFFS))
 
 
 _BELOW_LOOKUP_SQL = f"""
@@ -349,6 +365,21 @@ LEFT JOIN ranked ON ranked.cutoff = c.cutoff AND ranked.k = s_suppkey AND ranked
 """
 
 
+def timed_lookup_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """The timed lookup at 24 cutoffs: folded by the panes of both rows before anything is copied."""
+    return frame(timed_lookup_graph(spark, folder, QUARTERS))
+
+
+def multihop_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """Two hops at 24 cutoffs: what lies below an order is joined as intervals between its changes."""
+    return frame(multihop_graph(spark, folder, QUARTERS))
+
+
+def below_lookup_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """Hops below a timed lookup at 24 cutoffs."""
+    return frame(below_lookup_graph(spark, folder, QUARTERS))
+
+
 def role_playing_nations(spark: SparkSession, folder: str) -> DataFrame:
     """nation twice: customers of it, suppliers of it, and the nation of each customer."""
     nation = table(spark, folder, "nation")
@@ -415,6 +446,9 @@ QUERIES = {
     "lineitem_via_part": lineitem_via_part,
     "timed_lookup": timed_lookup,
     "hops_below_timed_lookup": hops_below_timed_lookup,
+    "timed_lookup_schedule": timed_lookup_schedule,
+    "multihop_schedule": multihop_schedule,
+    "below_lookup_schedule": below_lookup_schedule,
     "role_playing_nations": role_playing_nations,
     "custom_reduction": custom_reduction,
 }
@@ -429,6 +463,9 @@ SQL = {
     "lineitem_via_part": _VIA_PART_SQL,
     "timed_lookup": _TIMED_LOOKUP_SQL,
     "hops_below_timed_lookup": _BELOW_LOOKUP_SQL,
+    "timed_lookup_schedule": _TIMED_LOOKUP_SQL.replace(cuts(ORDER_CUTOFFS), cuts(QUARTERS)),
+    "multihop_schedule": _MULTIHOP_SQL.replace(cuts(ORDER_CUTOFFS[1:]), cuts(QUARTERS)),
+    "below_lookup_schedule": _BELOW_LOOKUP_SQL.replace(cuts(ORDER_CUTOFFS), cuts(QUARTERS)),
     "role_playing_nations": _ROLES_SQL,
     "custom_reduction": _CUSTOM_SQL,
 }

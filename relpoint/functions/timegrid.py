@@ -183,6 +183,11 @@ class CutoffGrid:
             return located
         return located.where(F.col(FROM) <= F.col(TO))
 
+    def entry(self, t: Column, dtype: T.DataType | None = None) -> Column:
+        """Ordinal of the first cutoff that sees ``t``, whatever the lookback; the number of cutoffs if none does."""
+        first = F.element_at(int_array(self.ranges()[0]), self.pane(t, dtype) + 1)
+        return F.when(t.isNull(), F.lit(len(self))).otherwise(first)
+
     def spread(self, located: DataFrame) -> DataFrame:
         """One copy per cutoff that sees the row or partial result."""
         if len(self) == 1:

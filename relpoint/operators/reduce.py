@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relpoint.functions.scalars import day_difference, ratio
-from relpoint.functions.timegrid import CUT, FROM, PANE, TO, CutoffGrid, epoch_micros
+from relpoint.functions.timegrid import CUT, FEW_COPIES, FROM, PANE, TO, CutoffGrid, epoch_micros
 from relpoint.spec import Relation
 
 KEY = "__key"
@@ -88,11 +88,14 @@ class Scope:
     def of(cls, grid: CutoffGrid, time_col: str | None, strategy: str, masks: dict[str, str] | None = None) -> Scope:
         if time_col is None and not masks:
             return cls(None, None, False)
-        if time_col is None:
-            # No clock of its own, but looked-up columns that appear over time.
-            return cls(grid, None, False, masks)
-        bucket = not masks and (strategy == "bucket" or (strategy == "auto" and grid.folds_first))
-        return cls(grid, time_col, bucket, masks or {})
+        # Without a clock of its own, looked-up columns still appear over time.
+        return cls(grid, time_col, cls.folds(grid, time_col, strategy), masks or {})
+
+    @staticmethod
+    def folds(grid: CutoffGrid, time_col: str | None, strategy: str) -> bool:
+        """Whether rows are folded before they are copied to cutoffs."""
+        copied = grid.folds_first if time_col else len(grid) > FEW_COPIES
+        return strategy == "bucket" or (strategy == "auto" and copied)
 
     @property
     def timed(self) -> bool:
@@ -102,36 +105,65 @@ class Scope:
     def out_keys(self) -> list[str]:
         return [CUT, KEY] if self.timed else [KEY]
 
+    @property
+    def entries(self) -> dict[str, str]:
+        """For each clock of looked-up rows, the column of the first cutoff that sees both rows."""
+        return {c: f"__entry{i}" for i, c in enumerate(dict.fromkeys(self.masks.values()))}
+
     @property
     def cell_keys(self) -> list[str]:
-        return [KEY, PANE, FROM, TO]
+        """A cell is two-sided: the row's own pane, and where looked-up values enter."""
+        return [KEY, PANE, FROM, TO, *self.entries.values()]
 
     def located(self, rows: DataFrame) -> DataFrame:
         if not self.timed:
             return rows
         if self.time_col is None:
-            whole = {PANE: F.lit(0), FROM: F.lit(0), TO: F.lit(len(self.grid) - 1)}
-            return rows.withColumns(whole)
-        return self.grid.locate(rows, self.time_col)
+            found = rows.withColumns({PANE: F.lit(0), FROM: F.lit(0), TO: F.lit(len(self.grid) - 1)})
+        else:
+            found = self.grid.locate(rows, self.time_col)
+        if not self.bucket:
+            return found
+        return found.withColumns(
+            {
+                name: F.greatest(FROM, self.grid.entry(F.col(seen_at), rows.schema[seen_at].dataType))
+                for seen_at, name in self.entries.items()
+            }
+        )
+
+    def entry(self, column: str) -> Column:
+        """First cutoff at which a located row shows the column."""
+        return F.col(self.entries[self.masks[column]]) if column in self.masks and self.bucket else F.col(FROM)
+
+    def shows(self, columns: Sequence[str]) -> Column | None:
+        """Condition on a cell's copy: all of the columns are visible. None: they always are."""
+        wanted = dict.fromkeys(self.entries[self.masks[c]] for c in columns if c in self.masks)
+        return fold(lambda a, b: a & b, [F.col(e) <= F.col(CUT) for e in wanted]) if wanted else None
 
     def spread(self, located: DataFrame) -> DataFrame:
-        """Copies per cutoff; looked-up columns not yet visible there become NULL."""
+        """Copies per cutoff; looked-up columns not yet visible there become NULL.
+
+        Cells have no such columns any more: their sums are masked where they are merged.
+        """
         if not self.timed:
             return located
         rows = self.grid.spread(located)
-        for column, seen_at in self.masks.items():
+        for column, seen_at in () if self.bucket else self.masks.items():
             visible = self.grid.sees(F.col(seen_at), rows.schema[seen_at].dataType)
             rows = rows.withColumn(column, F.when(visible, F.col(column)))
         return rows
 
-    def counted(self, rows: DataFrame, extra: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-        """Sums per (cutoff, key, extra columns) through per-pane partial sums."""
+    def counted(
+        self, rows: DataFrame, extra: Sequence[str], sums: dict[str, Column], uses: dict[str, str]
+    ) -> DataFrame:
+        """Sums per (cutoff, key, extra columns) through per-pane partial sums; ``uses`` names each sum's column."""
         located = self.located(rows)
         if self.bucket:
             located = located.groupBy(*self.cell_keys, *extra).agg(
                 *(F.sum(c).alias(n) for n, c in sums.items())
             )
-            sums = {n: F.col(n) for n in sums}
+            shown = {n: self.shows([uses[n]]) for n in sums}
+            sums = {n: F.col(n) if shown[n] is None else F.when(shown[n], F.col(n)) for n in sums}
         return self.spread(located).groupBy(*self.out_keys, *extra).agg(
             *(F.sum(c).alias(n) for n, c in sums.items())
         )
@@ -157,11 +189,22 @@ class Atoms:
 
     def __init__(self) -> None:
         self.rows: dict[str, tuple[Column, str]] = {}
+        self.uses: dict[str, tuple[Sequence[str], Column | None]] = {}
         self.windows: dict[str, set[int]] = {}
         self.deviations: list[str] = []
 
-    def need(self, name: str, row: Column, merge: str = "sum", window: int | None = None) -> Column:
+    def need(
+        self,
+        name: str,
+        row: Column,
+        merge: str = "sum",
+        window: int | None = None,
+        uses: Sequence[str] = (),
+        hidden: int | None = None,
+    ) -> Column:
+        """``uses``: columns the row's part depends on; ``hidden``: its part where one of them is not visible."""
         self.rows.setdefault(name, (row, merge))
+        self.uses.setdefault(name, (uses, None if hidden is None else F.lit(hidden).cast("bigint")))
         if window is None:
             return F.col(name)
         self.windows.setdefault(name, set()).add(window)
@@ -199,6 +242,12 @@ class Atoms:
     def combine(self, cells: DataFrame, scope: Scope) -> DataFrame:
         """Merge located rows, or per-pane partial results, per (cutoff, key)."""
         spread = scope.spread(cells)
+        if scope.bucket and scope.masks:
+            masked = {}
+            for name, (uses, hidden) in [*self.uses.items(), *((f"{c}__v", ([c], None)) for c in self.deviations)]:
+                if (shown := scope.shows(uses)) is not None:
+                    masked[name] = F.when(shown, F.col(name)).otherwise(hidden)
+            spread = spread.withColumns(masked) if masked else spread
         if scope.bucket and self.deviations:
             # Mean first, then the spread around it (pairwise variance update); the
             # window holds at most one row per pane, whatever the key's row count.
@@ -253,8 +302,8 @@ def _rollup(rows: DataFrame, relation: Relation, plan: ColumnPlan, scope: Scope)
     def numeric(x: str, window: int | None, wanted: Sequence[str]) -> None:
         tail = "" if window is None else f"_{window}d"
         c = F.col(x)
-        filled = atoms.need(f"{x}__n", c.isNotNull().cast("bigint"), "sum", window)
-        total = atoms.need(f"{x}__s", c, "sum", window)
+        filled = atoms.need(f"{x}__n", c.isNotNull().cast("bigint"), "sum", window, [x], 0)
+        total = atoms.need(f"{x}__s", c, "sum", window, [x])
         if window is not None:
             emit(f"{x}_count{tail}", _count(filled), "count")
         if "sum" in wanted:
@@ -262,9 +311,9 @@ def _rollup(rows: DataFrame, relation: Relation, plan: ColumnPlan, scope: Scope)
         if "avg" in wanted:
             emit(f"{x}_avg{tail}", ratio(total, filled))
         if "min" in wanted:
-            emit(f"{x}_min{tail}", atoms.need(f"{x}__lo", c, "min", window))
+            emit(f"{x}_min{tail}", atoms.need(f"{x}__lo", c, "min", window, [x]))
         if "max" in wanted:
-            emit(f"{x}_max{tail}", atoms.need(f"{x}__hi", c, "max", window))
+            emit(f"{x}_max{tail}", atoms.need(f"{x}__hi", c, "max", window, [x]))
         if window is None and "std" in wanted:
             emit(f"{x}_std", atoms.deviation(x))
 
@@ -277,21 +326,26 @@ def _rollup(rows: DataFrame, relation: Relation, plan: ColumnPlan, scope: Scope)
                 numeric(x, w, ("sum", "avg", "min", "max"))
 
     conditions = {f: F.coalesce(F.col(f), F.lit(False)) for f in plan.flags}
-    semantic = list(conditions)
+    semantic, source = list(conditions), {f: [f] for f in plan.flags}
     for g, values in plan.categories.items():
         for value, part in slugs(values).items():
             conditions[f"{g}_{part}"] = F.coalesce(F.col(g) == F.lit(value), F.lit(False))
+            source[f"{g}_{part}"] = [g]
     for name, condition in conditions.items():
         atom = f"{name}__c"
         hit = condition.cast("bigint")
+
+        def hits_in(window: int | None = None, atom: str = atom, hit: Column = hit, uses: list = source[name]) -> Column:
+            return atoms.need(atom, hit, "sum", window, uses, 0)
+
         if name in semantic and ("semantic" in families or "base" in families):
-            emit(f"{name}_count", _count(atoms.need(atom, hit)), "count")
-            emit(f"{name}_share", ratio(atoms.need(atom, hit), n))
+            emit(f"{name}_count", _count(hits_in()), "count")
+            emit(f"{name}_share", ratio(hits_in(), n))
         elif name not in semantic and "base" in families and "topk" in stats:
-            emit(f"{name}_count", _count(atoms.need(atom, hit)), "count")
+            emit(f"{name}_count", _count(hits_in()), "count")
         if "conditional" in families and scope.timed:
             for w in relation.windows:
-                hits = atoms.need(atom, hit, "sum", w)
+                hits = hits_in(w)
                 emit(f"{name}_count_{w}d", _count(hits), "count")
                 emit(f"{name}_share_{w}d", ratio(hits, atoms.need("n", F.lit(1), "sum", w)))
     if scope.timed and {"conditional", "temporal"} & set(families):
@@ -301,8 +355,8 @@ def _rollup(rows: DataFrame, relation: Relation, plan: ColumnPlan, scope: Scope)
     for x, g in ((relation.col(a), relation.col(b)) for a, b in relation.gated):
         for value, part in slugs(plan.categories.get(g, ())).items():
             gated = F.when(F.col(g) == F.lit(value), F.col(x))
-            total = atoms.need(f"{g}_{part}_{x}__s", gated)
-            filled = atoms.need(f"{g}_{part}_{x}__n", gated.isNotNull().cast("bigint"))
+            total = atoms.need(f"{g}_{part}_{x}__s", gated, uses=[g, x])
+            filled = atoms.need(f"{g}_{part}_{x}__n", gated.isNotNull().cast("bigint"), uses=[g, x], hidden=0)
             emit(f"{x}_if_{g}_{part}_sum", total)
             emit(f"{x}_if_{g}_{part}_avg", ratio(total, filled))
 
@@ -364,27 +418,24 @@ def value_profile(rows: DataFrame, columns: Sequence[ValueColumn], scope: Scope)
     The rows are counted per (key, column, value) first, so the second step only
     folds counters and never gathers the values of a key.
     """
-    if scope.masks:
-        spread = scope.spread(scope.located(rows))
-        return _folded_values(spread, columns, scope.out_keys, scope.timed)
-    else:
-        stacked = _stacked(scope.located(rows), columns)
-        inner = Scope(scope.grid, scope.time_col, scope.bucket)
-        if inner.bucket:
-            cells = stacked.groupBy(*inner.cell_keys, "i", "v").agg(F.count(F.lit(1)).alias("m"))
-            counted = inner.spread(cells).groupBy(*inner.out_keys, "i", "v").agg(F.sum("m").alias("m"))
-        else:
-            counted = inner.spread(stacked).groupBy(*inner.out_keys, "i", "v").agg(F.count(F.lit(1)).alias("m"))
+    located = scope.located(rows)
+    if not scope.bucket:
+        return _folded_values(scope.spread(located), columns, scope.out_keys, scope.timed)
+    # A looked-up value's cell begins where the value is visible, so copies need no mask.
+    stacked = _stacked(located, columns, [scope.entry(c.name) for c in columns])
+    cells = stacked.groupBy(KEY, FROM, TO, "i", "v").agg(F.count(F.lit(1)).alias("m"))
+    counted = scope.grid.spread(cells).groupBy(*scope.out_keys, "i", "v").agg(F.sum("m").alias("m"))
     return _profile_of_counts(counted, columns, scope.out_keys, scope.timed)
 
 
-def _stacked(df: DataFrame, columns: Sequence[ValueColumn]) -> DataFrame:
-    """(column number, value) pairs of the values that aren't null."""
-    pairs = F.array(
-        *(F.struct(F.lit(i).alias("i"), c.value.cast("string").alias("v")) for i, c in enumerate(columns))
-    )
-    keep = [c for c in (KEY, PANE, FROM, TO, CUT) if c in df.columns]
-    return df.select(*keep, F.inline(pairs)).where(F.col("v").isNotNull())
+def _stacked(df: DataFrame, columns: Sequence[ValueColumn], entries: Sequence[Column] | None = None) -> DataFrame:
+    """(column number, value) pairs of the values that aren't null; with entries, each from its own cutoff on."""
+    keep = [c for c in (KEY, PANE, FROM, TO, CUT) if c in df.columns and not (entries and c == FROM)]
+    values = [(F.lit(i).alias("i"), c.value.cast("string").alias("v")) for i, c in enumerate(columns)]
+    if entries:
+        values = [(*pair, entry.alias(FROM)) for pair, entry in zip(values, entries)]
+    found = df.select(*keep, F.inline(F.array(*(F.struct(*v) for v in values)))).where(F.col("v").isNotNull())
+    return found.where(F.col(FROM) <= F.col(TO)) if entries else found
 
 
 def _folded_values(spread: DataFrame, columns: Sequence[ValueColumn], keys: list[str], timed: bool) -> Reduction:
@@ -510,8 +561,6 @@ def context_profile(
     Differences to a peer mean depend on the rows only through sums, so rows are
     folded to (key, peer group) before they meet the peer statistics.
     """
-    from relpoint.functions.ordered import running_share
-
     masks = {x: scope.masks[x] for x in numeric if x in scope.masks}
     kept = rows.select(*dict.fromkeys([KEY, scope.time_col, *peers, *numeric, *masks.values()]))
     kept = kept.where(fold(lambda a, b: a & b, [F.col(p).isNotNull() for p in peers]))
@@ -519,8 +568,8 @@ def context_profile(
 
     atoms = Atoms()
     for x in numeric:
-        atoms.need(f"{x}__n", F.col(x).isNotNull().cast("bigint"))
-        atoms.need(f"{x}__s", F.col(x).cast("double"))
+        atoms.need(f"{x}__n", F.col(x).isNotNull().cast("bigint"), uses=[x], hidden=0)
+        atoms.need(f"{x}__s", F.col(x).cast("double"), uses=[x])
         atoms.deviation(x)
     group = F.struct(*peers) if len(peers) > 1 else F.col(peers[0])
     by_peer = atoms.merged(kept.withColumn(KEY, group), plain)
@@ -536,11 +585,12 @@ def context_profile(
             )
         ),
     )
-    sums = {}
+    sums, uses = {}, {}
     for x in numeric:
         sums[f"{x}__n"] = F.col(x).isNotNull().cast("bigint")
         sums[f"{x}__s"] = F.col(x).cast("double")
-    own = plain.counted(kept.withColumn("__peer", group), ["__peer"], sums)
+        uses |= {f"{x}__n": x, f"{x}__s": x}
+    own = plain.counted(kept.withColumn("__peer", group), ["__peer"], sums, uses)
     joined = own.join(by_peer, [CUT, "__peer"])
     aggs, out = [], {}
     for x in numeric:
@@ -560,59 +610,173 @@ def context_profile(
     df = joined.groupBy(CUT, KEY).agg(*aggs).select(CUT, KEY, *(v.alias(k) for k, v in out.items()))
     result = Reduction(df, tuple(Feature(k) for k in out), True)
     if rank:
-        for x in numeric:
-            filled = kept.where(F.col(x).isNotNull()).withColumn("__peer", group).withColumn("x", F.col(x))
-            one = Scope(scope.grid, scope.time_col, scope.bucket, {"x": masks[x]} if x in masks else {})
-            mine = one.counted(filled, ["__peer", "x"], {"m": F.lit(1).cast("bigint")}).where("x is not null")
-            histogram = mine.groupBy(CUT, "__peer", "x").agg(F.sum("m").alias("m"))
-            shares = running_share(histogram, [CUT, "__peer"], "x", "m", "share", seen=filled)
-            ranked = mine.join(shares, [CUT, "__peer", "x"])
-            part = ranked.groupBy(CUT, KEY).agg(
-                ratio(F.sum(F.col("share") * F.col("m")), F.sum("m")).alias(f"{x}_peer_rank")
-            )
-            result = result.join(Reduction(part, (Feature(f"{x}_peer_rank"),), True))
+        for part in _peer_ranks(kept.withColumn("__peer", group), numeric, plain):
+            result = result.join(part)
     return result
 
 
+def _peer_ranks(rows: DataFrame, numeric: Sequence[str], scope: Scope) -> list[Reduction]:
+    """Mean share of the peer group at or below the key's values, for all columns of one type at once.
+
+    The rows are stacked to (column, value). Slices are cut over the values of all columns together, and
+    a running total is kept per (cutoff, column, peer group), so the number of columns adds no shuffle.
+    """
+    from relpoint.functions.ordered import running_share
+
+    by_type: dict[str, list[str]] = {}
+    for x in numeric:
+        kind = rows.schema[x].dataType.simpleString()
+        # These are exact as doubles.
+        by_type.setdefault("double" if kind in ("tinyint", "smallint", "int", "float") else kind, []).append(x)
+    found = []
+    for kind, columns in by_type.items():
+        located = scope.located(rows)
+        source = located if scope.bucket else scope.spread(located)
+        ends = [c for c in (FROM, TO, CUT) if c in source.columns and not (c == FROM and scope.bucket)]
+        pairs = []
+        for i, x in enumerate(columns):
+            entry = [scope.entry(x).alias(FROM)] if scope.bucket else []
+            pairs.append(F.struct(F.lit(i).alias("i"), F.col(x).cast(kind).alias("x"), *entry))
+        stacked = source.select(KEY, "__peer", *ends, F.inline(F.array(*pairs))).where(F.col("x").isNotNull())
+        if scope.bucket:
+            stacked = stacked.where(F.col(FROM) <= F.col(TO))
+            cells = stacked.groupBy(KEY, "__peer", FROM, TO, "i", "x").agg(F.count(F.lit(1)).alias("m"))
+            spread = scope.grid.spread(cells)
+        else:
+            spread = stacked.withColumn("m", F.lit(1).cast("bigint"))
+        mine = spread.groupBy(CUT, KEY, "__peer", "i", "x").agg(F.sum("m").alias("m"))
+        histogram = mine.groupBy(CUT, "__peer", "i", "x").agg(F.sum("m").alias("m"))
+        shares = running_share(histogram, [CUT, "__peer", "i"], "x", "m", "share", seen=stacked)
+        ranked = mine.join(shares, [CUT, "__peer", "i", "x"])
+        aggs, out = [], {}
+        for i, x in enumerate(columns):
+            here = F.col("i") == i
+            aggs += [
+                F.sum(F.when(here, F.col("share") * F.col("m"))).alias(f"__s{i}"),
+                F.sum(F.when(here, F.col("m"))).alias(f"__n{i}"),
+            ]
+            out[f"{x}_peer_rank"] = ratio(F.col(f"__s{i}"), F.col(f"__n{i}"))
+        df = ranked.groupBy(CUT, KEY).agg(*aggs).select(CUT, KEY, *(v.alias(n) for n, v in out.items()))
+        found.append(Reduction(df, tuple(Feature(n) for n in out), True))
+    return found
+
+
+def versions(reduction: Reduction, last: int) -> DataFrame:
+    """A timed reduction as intervals: one row per key and change, valid from cutoff ``since`` to ``until``.
+
+    The rows of a key cover all cutoffs up to ``last``; where the reduction has no row the features are
+    NULL. A window holds at most one row per cutoff.
+    """
+    names = [f.name for f in reduction.features]
+    by_key, state = Window.partitionBy(KEY).orderBy(CUT), F.struct(*names)
+    missing = F.struct(*(F.lit(None).cast(reduction.df.schema[n].dataType).alias(n) for n in names))
+    rows = reduction.df.select(
+        KEY,
+        CUT,
+        state.alias("state"),
+        F.lag(CUT).over(by_key).alias("before"),
+        F.lag(state).over(by_key).alias("former"),
+        F.lead(CUT).over(by_key).alias("next"),
+    )
+    follows = F.coalesce(F.col("before") == F.col(CUT) - 1, F.lit(False))
+    same = follows & F.col("former").eqNullSafe(F.col("state"))
+    ends = (F.col(CUT) < last) & ~F.coalesce(F.col("next") == F.col(CUT) + 1, F.lit(False))
+
+    def event(when: Column, since: Column, state: Column) -> Column:
+        return F.when(when, F.struct(since.cast("int").alias("since"), state.alias("state")))
+
+    events = F.array(
+        event(~same, F.col(CUT), F.col("state")),
+        event(ends, F.col(CUT) + 1, missing),
+        event(F.col("before").isNull() & (F.col(CUT) > 0), F.lit(0), missing),
+    )
+    changes = rows.select(KEY, F.inline(F.filter(events, lambda e: e.isNotNull())))
+    until = F.coalesce(F.lead("since").over(Window.partitionBy(KEY).orderBy("since")) - 1, F.lit(last))
+    return changes.select(KEY, "since", until.alias("until"), "state.*")
+
+
+def _meet_versions(located: DataFrame, dynamic: Sequence[tuple[Reduction, str]], own: Scope) -> DataFrame:
+    """Located rows cut into runs of cutoffs over which all features below them stay the same."""
+    last = len(own.grid) - 1
+    for child, key in dynamic:
+        if key in own.masks:
+            # Before the looked-up row is visible its key leads nowhere.
+            others = [c for c in located.columns if c not in (FROM, TO, key)]
+            entry, nowhere = own.entry(key), F.lit(None).cast(located.schema[key].dataType)
+            runs = F.array(
+                F.struct(F.col(FROM), F.least(F.col(TO), entry - 1).alias(TO), nowhere.alias(key)),
+                F.struct(F.greatest(F.col(FROM), entry).alias(FROM), F.col(TO), F.col(key)),
+            )
+            located = located.select(*others, F.inline(runs)).where(F.col(FROM) <= F.col(TO))
+        right = versions(child, last).withColumnRenamed(KEY, "__right")
+        meets = (F.col(key) == F.col("__right")) & (F.col("since") <= F.col(TO)) & (F.col(FROM) <= F.col("until"))
+        joined = located.join(right, meets, "left")
+        # greatest and least skip the NULLs of rows without a version.
+        located = joined.withColumns({FROM: F.greatest(FROM, "since"), TO: F.least(TO, "until")}).drop(
+            "__right", "since", "until"
+        )
+    return located
+
+
 def reduce_hops(
     rows: DataFrame,
     dynamic: Sequence[tuple[Reduction, str]],
     scope: Scope,
     grid: CutoffGrid,
     stats: Sequence[str],
+    folds: bool = False,
 ) -> Reduction:
     """Fold features that already depend on the cutoff one level further up.
 
     A key that a looked-up row carries leads to its own children only where that row is visible.
-    Text features fold to their most frequent value.
+    Text features fold to their most frequent value. With ``folds`` the features below are joined as
+    intervals and partial results per run of cutoffs are copied; else each row is copied per cutoff.
     """
     keys = list(dict.fromkeys(k for _, k in dynamic))
     masks = {k: scope.masks[k] for k in keys if k in scope.masks}
     time_cols = [scope.time_col] if scope.time_col else []
     narrow = rows.select(*dict.fromkeys([KEY, *time_cols, *keys, *masks.values()]))
-    own = Scope(grid, scope.time_col, False, masks)
-    spread = own.spread(own.located(narrow))
-    aggs, out = [], {}
-    for child, key in dynamic:
-        right = child.df.select(CUT, F.col(KEY).alias(key), *(f.name for f in child.features))
-        spread = spread.join(right, [CUT, key], "left")
+    own = Scope(grid, scope.time_col, folds, masks)
+    located = own.located(narrow)
+    if folds:
+        pieces = _meet_versions(located, dynamic, own)
+    else:
+        pieces = own.spread(located)
+        for child, key in dynamic:
+            right = child.df.select(CUT, F.col(KEY).alias(key), *(f.name for f in child.features))
+            pieces = pieces.join(right, [CUT, key], "left")
+    partial, merged, out = [], [], {}
+
+    def need(name: str, value: Column, merge: str) -> Column:
+        partial.append(value.alias(name))
+        merged.append(MERGE[merge](name).alias(name))
+        return F.col(name)
+
+    for child, _ in dynamic:
         for f in child.features:
             if f.kind == "text":
                 continue
             value = F.coalesce(F.col(f.name), F.lit(0)) if f.kind == "count" else F.col(f.name)
             kind = "count" if f.kind == "count" else "value"
-            if {"sum", "avg"} & set(stats):
-                aggs.append(F.sum(value).alias(f"{f.name}_sum"))
+            total = need(f"{f.name}_sum", F.sum(value), "sum") if {"sum", "avg"} & set(stats) else None
             if "sum" in stats:
-                out[f"{f.name}_sum"] = (F.col(f"{f.name}_sum"), kind)
+                out[f"{f.name}_sum"] = (total, kind)
             if "avg" in stats:
-                aggs.append(F.count(value).alias(f"{f.name}__n"))
-                out[f"{f.name}_avg"] = (ratio(F.col(f"{f.name}_sum"), F.col(f"{f.name}__n")), "value")
+                out[f"{f.name}_avg"] = (ratio(total, need(f"{f.name}__n", F.count(value), "sum")), "value")
             for stat in ("min", "max"):
                 if stat in stats:
-                    aggs.append(MERGE[stat](value).alias(f"{f.name}_{stat}"))
-                    out[f"{f.name}_{stat}"] = (F.col(f"{f.name}_{stat}"), "value")
-    df = spread.groupBy(CUT, KEY).agg(*aggs).select(CUT, KEY, *(v.alias(n) for n, (v, _) in out.items()))
+                    out[f"{f.name}_{stat}"] = (need(f"{f.name}_{stat}", MERGE[stat](value), stat), "value")
+    if folds:
+        df = grid.spread(pieces.groupBy(KEY, FROM, TO).agg(*partial)).groupBy(CUT, KEY).agg(*merged)
+    else:
+        df = pieces.groupBy(CUT, KEY).agg(*partial)
+    df = df.select(CUT, KEY, *(v.alias(n) for n, (v, _) in out.items()))
     folded = Reduction(df, tuple(Feature(n, k) for n, (_, k) in out.items()), True)
     modes = [ValueColumn(f.name, F.col(f.name), ("mode",)) for c, _ in dynamic for f in c.features if f.kind == "text"]
-    return folded.join(_folded_values(spread, modes, [CUT, KEY], True)) if modes else folded
+    if not modes:
+        return folded
+    if not folds:
+        return folded.join(_folded_values(pieces, modes, [CUT, KEY], True))
+    cells = _stacked(pieces, modes).groupBy(KEY, FROM, TO, "i", "v").agg(F.count(F.lit(1)).alias("m"))
+    counted = grid.spread(cells).groupBy(CUT, KEY, "i", "v").agg(F.sum("m").alias("m"))
+    return folded.join(_profile_of_counts(counted, modes, [CUT, KEY], True))

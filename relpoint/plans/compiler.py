@@ -215,7 +215,8 @@ def _reduce(graph, frozen, grid, edge: Edge, depth: int) -> list[Reduction]:
     own = reduce_rows(rows, relation, node.plan, scope)
     if not node.dynamic:
         return [own]
-    hops = reduce_hops(rows, node.dynamic, scope, grid, graph.hop_stats)
+    folds = Scope.folds(grid, relation.time, graph.strategy)
+    hops = reduce_hops(rows, node.dynamic, scope, grid, graph.hop_stats, folds)
     return [own.join(hops)] if own.timed else [own, hops]
 
 
