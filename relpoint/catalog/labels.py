@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from relpoint.catalog.common import (
 )
 from relpoint.functions.scalars import amount_target, binary_target, is_truthy, safe_double
 from relpoint.operators.labels import (
+    SKETCH_BITS,
     Measure,
     active_by,
     asof_flag,
@@ -31,6 +34,10 @@ from relpoint.operators.labels import (
 from relpoint.sources.tables import with_amount
 
 
+#: Cutoffs 30 days apart, so that windows of 90 days overlap.
+MONTHS = tuple(datetime(1997, 1, 1) + timedelta(days=30 * k) for k in range(40))
+
+
 def customer_keys(spark: SparkSession, folder: str, cutoffs) -> DataFrame:
     return entity_cutoffs(table(spark, folder, "customer"), "c_custkey", cutoffs)
 
@@ -189,6 +196,51 @@ GROUP BY cutoff, l_partkey
 """
 
 
+def label_ltv_by_price(spark: SparkSession, folder: str) -> DataFrame:
+    """Future worth per supplier: a line has no price of its own here, so it is worth its part's."""
+    items, parts = table(spark, folder, "lineitem"), table(spark, folder, "part")
+    priced = with_amount(items, parts, "l_partkey", "p_partkey", "worth", None, "p_retailprice")
+    total = window_measures(
+        priced, "l_suppkey", "l_shipdate", ORDER_CUTOFFS, DELTA, [Measure("ltv", "sum", F.col("worth").cast("decimal(12,2)"))]
+    )
+    return total.withColumn("ltv", amount_target(F.col("ltv")))
+
+
+_PRICE_LTV_SQL = f"""
+WITH {cuts(ORDER_CUTOFFS)}
+SELECT cutoff, l_suppkey, CAST(sum(COALESCE({dec("p_retailprice")}, 0)) AS DOUBLE) AS ltv
+FROM cuts JOIN lineitem ON l_shipdate > cutoff AND l_shipdate <= cutoff + INTERVAL 90 DAY
+LEFT JOIN part ON l_partkey = p_partkey
+GROUP BY cutoff, l_suppkey
+"""
+
+
+def label_distinct_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct parts a supplier ships in 90 days, at 40 overlapping monthly windows."""
+    items = table(spark, folder, "lineitem")
+    return window_measures(
+        items, "l_suppkey", "l_shipdate", MONTHS, DELTA,
+        [Measure("n_parts", "nunique", F.col("l_partkey")), Measure("lines", "count")],
+    )
+
+
+def label_distinct_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """The opt-in sketch beside the exact count: within four standard errors (and one) of it."""
+    measures = [Measure("n_parts", "nunique", F.col("l_partkey")), Measure("about", "sketch", F.col("l_partkey"))]
+    found = window_measures(table(spark, folder, "lineitem"), "l_suppkey", "l_shipdate", MONTHS[:12], 4 * DELTA, measures)
+    error = 4 * 1.04 / 2 ** (SKETCH_BITS / 2)
+    near = F.abs(F.col("about") - F.col("n_parts")) <= F.col("n_parts") * error + 1
+    return found.select("cutoff", "l_suppkey", "n_parts", near.alias("within_bound"))
+
+
+_DISTINCT_PARTS_SQL = """
+WITH {cuts}
+SELECT cutoff, l_suppkey, count(DISTINCT l_partkey) AS n_parts, {more}
+FROM cuts JOIN lineitem ON l_shipdate > cutoff AND l_shipdate <= cutoff + INTERVAL {days} DAY
+GROUP BY cutoff, l_suppkey
+"""
+
+
 def active_any_source(spark: SparkSession, folder: str) -> DataFrame:
     """Customers with an order or an event up to the cutoff."""
     sources = [
@@ -288,6 +340,9 @@ QUERIES = {
     "label_active_fraction": label_active_fraction,
     "label_eligible": label_eligible,
     "label_item_ltv": label_item_ltv,
+    "label_ltv_by_price": label_ltv_by_price,
+    "label_distinct_schedule": label_distinct_schedule,
+    "label_distinct_sketch": label_distinct_sketch,
     "active_any_source": active_any_source,
     "active_customers": active_customers,
     "active_keys": active_keys,
@@ -303,6 +358,9 @@ SQL = {
     "label_active_fraction": _FRACTION_SQL,
     "label_eligible": _ELIGIBLE_SQL,
     "label_item_ltv": _ITEM_LTV_SQL,
+    "label_ltv_by_price": _PRICE_LTV_SQL,
+    "label_distinct_schedule": _DISTINCT_PARTS_SQL.format(cuts=cuts(MONTHS), more="count(*) AS lines", days=90),
+    "label_distinct_sketch": _DISTINCT_PARTS_SQL.format(cuts=cuts(MONTHS[:12]), more="TRUE AS within_bound", days=360),
     "active_any_source": _ACTIVE_SQL,
     "active_customers": _ACTIVE_ONE_SQL,
     "active_keys": _ACTIVE_KEYS_SQL,

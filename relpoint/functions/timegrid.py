@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,6 +196,17 @@ class CutoffGrid:
             return located.withColumn(CUT, F.col(FROM))
         return located.withColumn(CUT, F.explode(F.sequence(F.col(FROM), F.col(TO))))
 
+    def runs(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Located rows as runs of cutoffs that don't overlap within ``keys``: (keys, from, to).
+
+        Ranges of cutoffs grow with the pane, so each of a key's rows ends where the next one begins. What
+        counts once per key and cutoff, like a distinct value, is then a plain sum over runs. The rows have
+        to be distinct in keys and pane; a window holds at most one row per pane.
+        """
+        later = F.lead(FROM).over(Window.partitionBy(*keys).orderBy(PANE))
+        until = F.least(F.col(TO), F.coalesce(later - 1, F.col(TO)))
+        return rows.select(*keys, FROM, until.alias(TO)).where(F.col(FROM) <= F.col(TO))
+
     def in_window(self, days: int) -> Column:
         """Condition on (pane, cutoff ordinal): inside the last ``days`` days."""
         floor = self._window_floor(days)

@@ -14,8 +14,6 @@ from relpoint.functions.timegrid import timestamp_literal
 from relpoint.spec import CompressionGraph
 
 HASH_DIGITS = 4
-#: Share by which an approximate distinct count may pass a threshold and still be counted exactly.
-MARGIN = 0.25
 
 
 def stacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -39,24 +37,47 @@ def ranked_values(df: DataFrame, columns: Sequence[str], k: int, threshold: int
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def columns_above(df: DataFrame, columns: Sequence[str], threshold: int) -> list[str]:
+    """Columns with more distinct values than the threshold; exact.
+
+    Where an approximate count is far above it, only values whose hash lies in a part of the range are
+    counted: more than the threshold there prove more than the threshold in all. That part is chosen to hold some
+    four times as many; should it not prove anything, all values are counted. So what is
+    shuffled follows the threshold, not the values of free text.
+    """
+    if not columns:
+        return []
+    sizes = df.agg(*(F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(c) for c in columns)).first()
+    steps = 1 << 20
+    parts = {c: min(steps, max(1, steps * 4 * (threshold + 1) // max(sizes[c], 1))) for c in columns}
+    above: list[str] = []
+    open_ = list(columns)
+    while open_:
+        limit = F.create_map(*(F.lit(x) for c in open_ for x in (c, parts[c])))
+        rows = stacked(df, open_).where(F.pmod(F.xxhash64("value"), F.lit(steps)) < limit[F.col("column")])
+        counts = rows.groupBy("column", "value").agg(F.lit(1)).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+        seen = {r["column"]: r["n"] for r in counts.collect()}  # one row a column
+        found = [c for c in open_ if seen.get(c, 0) > threshold]
+        above += found
+        open_ = [c for c in open_ if c not in found and parts[c] < steps]
+        parts = {c: steps for c in open_}
+    return [c for c in columns if c in above]
+
+
 def top_values(
     df: DataFrame, columns: Sequence[str], k: int, threshold: int | None
 ) -> tuple[dict[str, tuple[str, ...]], tuple[str, ...]]:
     """Frozen category values per column, and the columns left out for having too many.
 
-    Approximate distinct counts first rule out columns far above the threshold, so that the values of
-    free text are never shuffled. At most k values per column reach the driver.
+    ``columns_above`` first rules out columns above the threshold, so that the values of free text are never
+    shuffled. At most k values per column reach the driver.
     """
-    left = list(columns)
-    if threshold is not None:
-        sizes = df.agg(*(F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(c) for c in columns)).first()
-        left = [c for c in columns if sizes[c] <= threshold * (1 + MARGIN)]
+    out = () if threshold is None else tuple(columns_above(df, columns, threshold))
+    left = [c for c in columns if c not in out]
     found: dict[str, list[str]] = {}
-    rows = ranked_values(df, left, k, threshold).orderBy("column", "rank").collect() if left else []
+    rows = ranked_values(df, left, k).orderBy("column", "rank").collect() if left else []
     for row in rows:
         found.setdefault(row["column"], []).append(row["value"])
-    with_values = df.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in left)).first() if left else {}
-    out = tuple(c for c in columns if c not in left or (c not in found and with_values[c]))
     return {c: tuple(v) for c, v in found.items()}, out
 
 
@@ -146,7 +167,8 @@ def manifest(rows: DataFrame, source: ManifestSource, exact: bool = True) -> Dat
     """Role of each column: key, time, numeric, categorical, flag or dropped.
 
     Keys and time stay in the graph whatever they hold. Constants, excluded columns
-    and string columns above the cardinality threshold are dropped.
+    and string columns above the cardinality threshold are dropped. ``exact`` concerns the distinct counts
+    that are shown; roles are exact in both ways.
     """
     keys = {source.pk, *source.foreign_keys}
     types = {}
@@ -161,14 +183,16 @@ def manifest(rows: DataFrame, source: ManifestSource, exact: bool = True) -> Dat
             types[f.name] = "other"
     kind = F.create_map(*(F.lit(x) for pair in types.items() for x in pair))
     column = F.col("column")
+    above = F.col("n_distinct") > source.cardinality_threshold
+    if not exact:
+        wanted = [c for c, kind_of in types.items() if kind_of == "categorical" and c not in keys | {source.time_col, *source.excluded}]
+        above = column.isin(columns_above(rows, wanted, source.cardinality_threshold))
     role = (
         F.when(column.isin(*keys), "key")
         .when(column == F.lit(source.time_col or ""), "time")
         .when(column.isin(*source.excluded) if source.excluded else F.lit(False), "dropped")
         .when(F.col("n_distinct") <= 1, "dropped")
-        .when(
-            (kind[column] == "categorical") & (F.col("n_distinct") > source.cardinality_threshold), "dropped"
-        )
+        .when((kind[column] == "categorical") & above, "dropped")
         .when(kind[column] == "other", "dropped")
         .otherwise(kind[column])
     )
@@ -198,9 +222,8 @@ def with_manifests(
 ) -> CompressionGraph:
     """Narrow relations to the columns their source profile keeps.
 
-    Each source is profiled once, on all its rows before ``before`` in one mergeable pass (a distinct
-    count near the threshold is approximate); roles that share a source (``role_sources``) share the
-    profile. Relations without one stay as they are.
+    Each source is profiled once, on all its rows before ``before``; roles that share a source
+    (``role_sources``) share the profile. What is above the cardinality threshold is decided exactly. Relations without one stay as they are.
     """
     kept: dict[str, tuple[str, ...]] = {}
     relations = []

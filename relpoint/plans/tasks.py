@@ -12,13 +12,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relpoint.operators.labels import Measure, active_by, label_table, window_measures
 from relpoint.plans.compiler import FrozenPlan, frame
 from relpoint.plans.cutoffs import even_sample, stratified_sample, stride_sample
-from relpoint.sources.tables import pick_column
+from relpoint.sources.tables import pick_column, with_amount
 from relpoint.spec import BASE_STATS, FAMILIES, CompressionGraph, Edge, Relation
 
 
@@ -42,6 +42,7 @@ class Label:
     """Measure of a table's rows per entity in ``(cutoff, cutoff + horizon]``.
 
     ``kind`` is that of the measure, or ``churn``: 1 without any row. ``where`` is SQL over the table.
+    ``fallback`` (table, key, amount) names where an amount is taken from if the row itself has none.
     """
 
     table: str
@@ -50,6 +51,7 @@ class Label:
     kind: str
     value: str | None = None
     where: str | None = None
+    fallback: tuple[str, str, str] | None = None
 
 
 @dataclass(frozen=True)
@@ -96,8 +98,9 @@ def _amazon(entity: str, churn: bool) -> Task:
     key = f"{entity}_id"
     review = Node("review", "rev", key, "review_time", {"columns": ("rating", "verified")}, own_key=False)
     edge = (nodes[entity].prefix, key, "rev", key, True)
-    # A review is worth the price of its product.
-    label = Label("review", key, "review_time", "churn" if churn else "sum", None if churn else "price")
+    # A review is worth its own price, else that of its product.
+    worth = {} if churn else {"value": "price", "fallback": ("product", "product_id", "price")}
+    label = Label("review", key, "review_time", "churn" if churn else "sum", **worth)
     active = (("review", key, "review_time"),)
     return Task((nodes[entity], review), (edge,), 1, AMAZON_HORIZON, active=active, label=label)
 
@@ -472,7 +475,10 @@ def task_labels(
         raise ValueError(f"{name}: its label is not defined in public code")
     events = tables[label.table]
     key, time = (pick_column(events.columns, [c]) for c in (label.key, label.time))
-    value = None if label.value is None else F.col(pick_column(events.columns, [label.value]))
+    if label.fallback is not None:
+        events, value = _with_worth(events, label, tables)
+    else:
+        value = None if label.value is None else F.col(pick_column(events.columns, [label.value]))
     events = events if label.where is None else events.where(label.where)
     kind = "count" if label.kind == "churn" else label.kind
     horizon = timedelta(days=task.horizon_days)
@@ -487,6 +493,22 @@ def task_labels(
     return found
 
 
+def _with_worth(events: DataFrame, label: Label, tables: Mapping[str, DataFrame]) -> tuple[DataFrame, Column]:
+    """Events with the amount that the label sums: their own, else that of the row they refer to, else 0."""
+    table, key, amount = label.fallback
+    dimension = tables[table]
+    found = with_amount(
+        events,
+        dimension,
+        pick_column(events.columns, [key]),
+        pick_column(dimension.columns, [key]),
+        "__worth",
+        pick_column(events.columns, [label.value], required=False),
+        pick_column(dimension.columns, [amount]),
+    )
+    return found, F.col("__worth")
+
+
 def _active_keys(task: Task, tables: Mapping[str, DataFrame], cutoffs: Sequence[datetime]) -> DataFrame | None:
     if not task.active:
         return None

@@ -18,7 +18,7 @@ EXTRA = {
     "results": "statusId int, position double",
     "qualifying": "position int",
     "standings": "points double",
-    "review": "rating double, verified boolean, summary string, price double",
+    "review": "product_id bigint, rating double, verified boolean, summary string",
     "VisitStream": "is_click int",
     "transactions": "price double, sales_channel_id int",
     "SearchStream": "IsClick int, Position int",
@@ -86,6 +86,10 @@ def tiny_tables(spark, task, rows=30, seed=2):
                     row.append(rng.randrange(1 if column == "PostTypeId" else 0, 2 if column == "PostTypeId" else 8))
             data.append(tuple(row))
         tables[name] = spark.createDataFrame(data, ", ".join(f"`{c}` {t}" for c, t in found.items()))
+    if task.label and task.label.fallback:
+        # The price is the product's: reviews have none.
+        prices = [(i, rng.choice([None, 0.5, 3.0, 12.25])) for i in range(7)]
+        tables["product"] = spark.createDataFrame(prices, "product_id bigint, price double")
     return tables
 
 
@@ -111,7 +115,7 @@ def windowed(name, columns):
                 assert any(c.startswith(f"{node.prefix.lower()}_") and f"_{days}d" in c for c in columns), (node.prefix, days)
 
 
-@pytest.mark.parametrize("name", sorted(set(TASKS) - {"amazon_user_ltv", "amazon_item_ltv", "avito_user_clicks"}))
+@pytest.mark.parametrize("name", sorted(TASKS))
 def test_task_runs(spark, name):
     tables = tiny_tables(spark, TASKS[name])
     df = task_frame(name, tables, CUTS, compile_graph(task_graph(name, tables, CUTS)))
@@ -138,7 +142,8 @@ def test_labels(spark, name):
             if label.kind == "churn":
                 expected[c, key] = int(not inside)
             elif label.kind == "sum":
-                expected[c, key] = sum(e[label.value] or 0 for e in inside)
+                price = {r["product_id"]: r["price"] or 0 for r in tables["product"].collect()}
+                expected[c, key] = sum(price.get(e["product_id"], 0) for e in inside)
             else:
                 hits = [e for e in inside if label.where is None or e["is_click"] == 1]
                 if hits:
@@ -146,6 +151,17 @@ def test_labels(spark, name):
     assert got == pytest.approx(expected) and expected
 
 
+def test_own_price_comes_first(spark):
+    at = CUTS[0] + timedelta(days=1)
+    review = [(1, 1, CUTS[0], None), (1, 1, at, 2.5), (1, 2, at, None), (1, 3, at, None), (1, None, at, 4.0)]
+    tables = {
+        "review": spark.createDataFrame(review, "customer_id bigint, product_id bigint, review_time timestamp_ntz, price double"),
+        "product": spark.createDataFrame([(1, 100.0), (2, 8.0)], "product_id bigint, price double"),
+    }
+    got = [(r[1], r["target"]) for r in task_labels("amazon_user_ltv", tables, CUTS[:1]).collect()]
+    assert got == [(1, 2.5 + 8.0 + 0 + 4.0)]
+
+
 def test_site_success_frames(spark):
     tables = {k: v for k, v in tiny_tables(spark, TASKS["trial_study_outcome"]).items()}
     rows = site_frames(tables, CUTS).collect()
