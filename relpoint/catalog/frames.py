@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import replace
 from datetime import datetime
@@ -15,6 +16,7 @@ from relpoint.catalog.common import (
     TEST,
     VALIDATION,
     cuts,
+    davg,
     dec,
     dsum,
     numeric_sql,
@@ -26,6 +28,8 @@ from relpoint.catalog.common import (
 )
 from relpoint.plans.compiler import frame
 from relpoint.plans.cutoffs import split_cutoffs, time_bounds
+from relpoint.session import reliable, shared_folder
+from relpoint.sources.panes import PaneStore
 from relpoint.spec import CompressionGraph, Edge, Relation
 
 FULL = ("count", "sum", "avg", "min", "max", "std", "nunique", "mode", "topk", "recency", "activity")
@@ -419,6 +423,36 @@ FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey
 """
 
 
+def pane_store_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders folded into a store in three rounds, each with rows of all times; cutoffs then read partial results."""
+    orders = table(spark, folder, "orders")
+    name = f"panes_{uuid.uuid4().hex}"
+    store = PaneStore(spark, name, "o_custkey", "o_orderdate", ("o_totalprice",), path=shared_folder(spark, name))
+    turn = F.col("o_orderkey") % 10
+    for rows in (orders.where(turn < 6), orders.where((turn >= 6) & (turn < 9)), orders.where(turn == 9)):
+        store.add(rows)
+    found = store.features(ORDER_CUTOFFS, (90, 360), 1080)
+    money = {c: F.col(c).cast("double") for c in found.columns if c.startswith("o_totalprice_")}
+    found = reliable(rounded(found.withColumns(money), ["o_totalprice_std"], 4))
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+_STORE_SQL = f"""
+WITH {cuts(ORDER_CUTOFFS)}
+SELECT cutoff, o_custkey, count(*) AS n_rows, {dsum("o_totalprice")} AS o_totalprice_sum,
+  {davg("o_totalprice")} AS o_totalprice_avg, CAST(min({dec("o_totalprice")}) AS DOUBLE) AS o_totalprice_min,
+  CAST(max({dec("o_totalprice")}) AS DOUBLE) AS o_totalprice_max, round(stddev_pop(o_totalprice), 4) AS o_totalprice_std,
+  count(*) FILTER (WHERE o_orderdate >= cutoff - INTERVAL 90 DAY) AS n_rows_90d,
+  {dsum("o_totalprice", "o_orderdate >= cutoff - INTERVAL 90 DAY")} AS o_totalprice_sum_90d,
+  count(*) FILTER (WHERE o_orderdate >= cutoff - INTERVAL 360 DAY) AS n_rows_360d,
+  {dsum("o_totalprice", "o_orderdate >= cutoff - INTERVAL 360 DAY")} AS o_totalprice_sum_360d,
+  min(o_orderdate) AS first_time, max(o_orderdate) AS last_time
+FROM cuts JOIN orders ON o_orderdate < cutoff AND o_orderdate >= cutoff - INTERVAL 1080 DAY
+GROUP BY cutoff, o_custkey
+"""
+
+
 def custom_reduction(spark: SparkSession, folder: str) -> DataFrame:
     """Caller-given aggregate expressions by key (``agg key`` + ``aggfunc`` strings)."""
     items = table(spark, folder, "lineitem").select(
@@ -450,6 +484,7 @@ QUERIES = {
     "multihop_schedule": multihop_schedule,
     "below_lookup_schedule": below_lookup_schedule,
     "role_playing_nations": role_playing_nations,
+    "pane_store_rounds": pane_store_rounds,
     "custom_reduction": custom_reduction,
 }
 
@@ -467,5 +502,6 @@ SQL = {
     "multihop_schedule": _MULTIHOP_SQL.replace(cuts(ORDER_CUTOFFS[1:]), cuts(QUARTERS)),
     "below_lookup_schedule": _BELOW_LOOKUP_SQL.replace(cuts(ORDER_CUTOFFS), cuts(QUARTERS)),
     "role_playing_nations": _ROLES_SQL,
+    "pane_store_rounds": _STORE_SQL,
     "custom_reduction": _CUSTOM_SQL,
 }

@@ -225,6 +225,17 @@ class Atoms:
             found.append(F.sqrt(F.try_divide(F.sum(spread), F.sum(n))).alias(f"{c}__std"))
         return found
 
+    def merge(self, cells: DataFrame, keys: Sequence[str], times: Sequence[str] = ()) -> DataFrame:
+        """Partial results folded to ``keys`` and still mergeable: variances stay beside their counts and sums."""
+        group = Window.partitionBy(*keys)
+        means = {f"{c}__m": ratio(F.sum(f"{c}__s").over(group), F.sum(f"{c}__n").over(group)) for c in self.deviations}
+        cells = cells.withColumns(means) if means else cells
+        aggs = [MERGE[m](name).alias(name) for name, (_, m) in self.rows.items()]
+        aggs += [MERGE[m](t).alias(t) for t, m in zip(times, ("min", "max"))]
+        for c, std in zip(self.deviations, self._std_columns(True)):
+            aggs.append((std * std).alias(f"{c}__v"))
+        return cells.groupBy(*keys).agg(*aggs)
+
     def merged(self, rows: DataFrame, scope: Scope) -> DataFrame:
         """One row per output key holding every atom, windowed atom and deviation."""
         if not scope.timed:
