@@ -141,7 +141,7 @@ def occurrences(docs: DataFrame, longest: int = LONGEST, chunk_bytes: int = CHUN
 
 
 def extended(joined: DataFrame) -> DataFrame:
-    """R(k+1) from R(k) and the ``frequent`` groups (place in the block's list, number) of each block."""
+    """R(k+1) from R(k) and the frequent groups of each block: ``places`` in the block's list, common ``ids``."""
     kind = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
     at = {c: i for i, c in enumerate(joined.columns)}
 
@@ -150,8 +150,10 @@ def extended(joined: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 block, lang, own = (batch.column(at[c])[k].as_py() for c in ("block", "lang", "own"))
                 groups = batch.column(at["groups"])[k].values.to_numpy(zero_copy_only=False)
-                frequent = batch.column(at["frequent"])[k].values
-                place, number = (frequent.field(c).to_numpy(zero_copy_only=False) for c in ("i", "id"))
+                place, number = (batch.column(at[c])[k].values.to_numpy(zero_copy_only=False) for c in ("places", "ids"))
+                # In the order of the common numbers, so that neighbours in the shuffle are alike.
+                order = np.argsort(number)
+                place, number = place[order], number[order]
                 # Semi-join: other groups, and the -1 between pieces, become -1.
                 kept = np.full(max(int(groups.max()), int(place.max())) + 2, -1, np.int64)
                 kept[place] = np.arange(len(place))
@@ -203,8 +205,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         levels.append(_spelled(found.where("own = id"), levels[-1] if levels else None))
         if k < longest:
             # Which groups of a block are frequent: bounded by the block.
-            block, i = F.shiftright("own", PLACE_BITS).alias("block"), F.col("own") % (1 << PLACE_BITS)
-            mine = found.groupBy(block).agg(F.collect_list(F.struct(i.alias("i"), "id")).alias("frequent"))
+            block, place = F.shiftright("own", PLACE_BITS).alias("block"), (F.col("own") % (1 << PLACE_BITS)).cast("int")
+            # Two lists of one aggregation are in the same order, and half as wide as one of structs.
+            mine = found.groupBy(block).agg(F.collect_list(place).alias("places"), F.collect_list("id").alias("ids"))
             joined = relation.select("block", "lang", "own", "groups").join(mine.hint("merge"), "block")
             with one_row_batches(spark):
                 names.append(_persist(extended(joined), buckets))
