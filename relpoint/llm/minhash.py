@@ -359,13 +359,14 @@ def compared(table: pa.Table, how: Units) -> pa.Table:
 
 
 def joined_units(docs: DataFrame, how: Units, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each unit: ``id, unit, key, class_key, first_id, first_unit, class_size, kept``.
+    """One row for each unit: ``id, unit, key, class_key, first_id, first_unit, class_size, across, kept``.
 
     Equal units have one key and are compared once. In each bucket all units are compared with a central
     one, which joins families of copies at a cost in proportion to their size. Units of a bucket that are
     then still apart are compared across the parts (``links_across``), so no link of a bucket is passed
     over, and no pairs inside a part are made.
-    A class is kept in the row with the smallest id and unit number (null ids come first).
+    A class is kept in the row with the smallest id and unit number (null ids come first). ``across`` tells that
+    it has units of several ids.
     """
     small_batches(docs.sparkSession)
     units = store(with_units(docs, how, id_col, text_col), "units")
@@ -388,13 +389,19 @@ def joined_units(docs: DataFrame, how: Units, id_col: str = "doc_id", text_col:
     if not more.isEmpty():
         parts = store(components(edges.union(more)), "parts")
 
-    firsts = units.groupBy("key").agg(F.min(F.struct("id", "unit")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = units.groupBy("key").agg(
+        F.min(F.struct("id", "unit")).alias("first"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n")
+    )
     classed = store(
         firsts.join(parts.toDF("key", "part"), "key", "left").withColumn("part", F.coalesce("part", "key")), "classed"
     )
-    classes = store(classed.groupBy("part").agg(F.min("first").alias("first"), F.sum("n").alias("size")), "classes")
+    classes = classed.groupBy("part").agg(
+        F.min("first").alias("first"), F.max("last_id").alias("last_id"), F.sum("n").alias("size")
+    )
+    across = ~F.col("first.id").eqNullSafe(F.col("last_id"))
+    classes = store(classes.select("part", "first", "size", across.alias("across")), "classes")
     labels = classed.select("key", "part").join(classes.hint("merge"), "part")
-    labels = store(labels.select("key", "part", "first", "size"), "labels")
+    labels = store(labels.select("key", "part", "first", "size", "across"), "labels")
     found = units.select("id", "unit", "key").join(labels.hint("merge"), "key")
     return found.select(
         "id",
@@ -404,6 +411,7 @@ def joined_units(docs: DataFrame, how: Units, id_col: str = "doc_id", text_col:
         F.col("first.id").alias("first_id"),
         F.col("first.unit").alias("first_unit"),
         F.col("size").alias("class_size"),
+        "across",
         F.struct("id", "unit").eqNullSafe(F.col("first")).alias("kept"),
     )
 

@@ -32,23 +32,51 @@ def paragraphs(text: bytes) -> list[tuple[int, bytes]]:
 
 
 def anchors(words: list[bytes], window: int = WINDOW, reach: int = REACH, shingle: int = SHINGLE) -> list[int]:
-    """First words of the windows of a text; they depend on words near them only, not on lines or on the place."""
+    """First words of the windows of a text; they depend on words near them only, not on lines or on the place.
+
+    Of ``reach`` windows in a row one with the least hash is taken. Equal hashes are equal windows, so of several any
+    will do: the one taken before stays while it is in reach, else the last one is taken (robust winnowing,
+    Schleimer et al. 2003). A text that repeats a few words thus has a window per reach, not per word.
+    """
     places = len(words) - window + 1
     if places < 2:
         return [0]
     digest = xxhash.xxh64_intdigest
     symbols = np.fromiter(map(digest, words), np.uint64, len(words))
-    rolled = symbols[:places].copy()
+    runs = len(words) - shingle + 1
+    rolled = symbols[:runs].copy()
     for j in range(1, shingle):
         rolled *= _STEP
-        rolled += symbols[j : j + places]
-    rolled ^= rolled >> np.uint64(29)
-    rolled *= _MIX
+        rolled += symbols[j : j + runs]
+    whole = rolled[:places].copy()
+    for j in (*range(shingle, window - shingle, shingle), window - shingle):
+        whole ^= whole >> np.uint64(31)
+        whole *= _MIX
+        whole += rolled[j : j + places]
+    whole ^= whole >> np.uint64(29)
+    whole *= _MIX
     if places <= reach:
-        return [int(rolled.argmin())]
-    least = np.lib.stride_tricks.sliding_window_view(rolled, reach).argmin(axis=1)
+        return [int(whole.argmin())]
+    view = np.lib.stride_tricks.sliding_window_view(whole, reach)
+    least = view.argmin(axis=1)
     least += np.arange(len(least))
-    return least[np.r_[True, least[1:] != least[:-1]]].tolist()  # never falls, so equal ones are neighbours
+    taken = least[np.r_[True, least[1:] != least[:-1]]]  # never falls, so equal ones are neighbours
+    if (whole[taken[1:]] != whole[taken[:-1]]).all():
+        return taken.tolist()
+    return _robust(whole, view, reach)
+
+
+def _robust(whole: np.ndarray, view: np.ndarray, reach: int) -> list[int]:
+    low = view.min(axis=1)
+    last = reach - 1 - view[:, ::-1].argmin(axis=1) + np.arange(len(low))
+    at, taken = 0, [int(last[0])]
+    while True:
+        held = taken[-1]
+        lower = np.flatnonzero(low[at + 1 : held + 1] < whole[held])
+        at = at + 1 + int(lower[0]) if len(lower) else held + 1
+        if at >= len(low):
+            return taken
+        taken.append(int(last[at]))
 
 
 def passages(text: bytes) -> list[tuple[int, bytes]]:
@@ -88,13 +116,13 @@ def dedup_paragraphs(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every unit that others repeat: its class, the class's first place and size, and whether it stays.
+    """Every unit that other documents repeat: its class, the class's first place and size, and whether it stays.
 
-    ``paragraph`` is a line's number, or -1 - n for the passage that starts at word n, wherever lines break.
+    Classes inside one document are left out: a refrain isn't a copy. ``paragraph`` is a line's number, or -1 - n for the passage that starts at word n, wherever lines break.
     """
     docs = read(spark, folder, "documents")
-    lines = paragraph_classes(docs).where("class_size > 1")
-    runs = passage_classes(docs).where("class_size > 1")
+    lines = paragraph_classes(docs).where("across")
+    runs = passage_classes(docs).where("across")
     runs = runs.withColumns({"unit": -1 - F.col("unit"), "first_unit": -1 - F.col("first_unit")})
     return lines.unionByName(runs).select(
         F.col("id").alias("doc_id"),
