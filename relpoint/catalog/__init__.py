@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from relpoint.catalog import families, frames, history, inputs, labels, schedules, scores
+from relpoint.catalog import boosting, families, frames, history, inputs, labels, schedules, scores
 
-MODULES = (frames, families, labels, history, schedules, inputs, scores)
+MODULES = (frames, families, labels, history, schedules, inputs, scores, boosting)
 
 
 def queries() -> dict:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from relpoint.functions.ordered import with_row_id
 from relpoint.functions.scalars import category_input, finite_or_null, integer_key, numeric_input
+from relpoint.session import reliable
 
 
 def align_labels(
@@ -101,15 +102,20 @@ class InputLayout:
 
 
 def category_codes(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, code): 0-based codes in value order, learned on train only."""
+    """(column, value, code): 0-based codes in value order, learned on train only.
+
+    The codes are stored: every column that is encoded looks them up, and none numbers them again.
+    """
     pairs = F.array(
         *(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns)
     )
     distinct = train.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
     numbered = with_row_id(distinct, ["column", "value"], "__id")
     first = numbered.groupBy("column").agg(F.min("__id").alias("__first"))
-    return numbered.join(F.broadcast(first), "column").select(
-        "column", "value", (F.col("__id") - F.col("__first")).alias("code")
+    return reliable(
+        numbered.join(F.broadcast(first), "column").select(
+            "column", "value", (F.col("__id") - F.col("__first")).alias("code")
+        )
     )
 
 
