@@ -23,10 +23,10 @@ def blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int = BL
     """(item id as text, words) of the items, in lists of bounded size.
 
     Items are dealt to as many blocks as their total size asks for, by a hash of id and text; a block
-    that still is too large for its items' sake holds one item at least.
+    that still is too large for its items' sake holds one item at least. An item without id is None.
     """
     rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.where("item is not null and text is not null")
+    rows = rows.where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-total // block_bytes) if total > block_bytes else 1
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
@@ -38,7 +38,7 @@ def blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int = BL
 class Matcher:
     """Words of a text that an occurrence of an item's window covers, and the items that have one."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window, self.names = window, [name for name, _ in items]
         self.automaton = SuffixAutomaton([words for _, words in items])
         short = [len(w) for _, w in items if 0 < len(w) < window]
@@ -71,7 +71,7 @@ class Matcher:
                 else:
                     spans.append([first, place])
         numbers.update(*(self.full[s] for s in states))
-        return [(a, b) for a, b in spans], {self.names[n] for n in numbers}
+        return [(a, b) for a, b in spans], {self.names[n] for n in numbers} - {None}
 
 
 def united(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
@@ -98,7 +98,8 @@ def with_matches(
     """``docs`` with ``n_words``, the ids of matching items and the spans they cover, under ``names``.
 
     Spans count words and bytes of the text in UTF-8 (end exclusive). A null text has no words; items
-    without words or id match nothing; items that repeat count once by id. An empty benchmark matches
+    without words match nothing; an item without id hits words but has no name to list; items that repeat
+    count once by id. An empty benchmark matches
     nothing. One automaton is held at a time; between blocks the rows are stored.
     """
     small_batches(docs.sparkSession)
@@ -175,6 +176,7 @@ def decontaminate(
 
 
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaked words and matching items of each document, as with_matches states; repeated rows stay rows."""
     docs = read(spark, folder, "documents").select("doc_id", "text")
     found = with_matches(docs, read(spark, folder, "benchmark"), ["n_words", "items", "spans"])
     return found.select(

@@ -19,18 +19,18 @@ def slow(text, items, window=10):
     for name, item in items:
         parts = plain(item)
         size = min(window, len(parts))
-        for at in range(len(parts) - size + 1) if size and name is not None else ():
+        for at in range(len(parts) - size + 1) if size else ():
             for k in range(len(own) - size + 1):
                 if own[k : k + size] == parts[at : at + size]:
                     hit.update(range(k, k + size))
-                    found.add(str(name))
+                    found |= {str(name)} - {"None"}
     return len(own), len(hit), sorted(found)
 
 
 def case(seed=2):
     rng = random.Random(seed)
     items = [(k, words(rng, rng.randrange(12, 40))) for k in range(12)]
-    items += [(20, "short Item"), (21, "of Three words"), (22, ""), (23, None), (None, "w1 w2"), (3, items[3][1]), (24, "three WORDS")]
+    items += [(20, "short Item"), (21, "of Three words"), (22, ""), (23, None), (None, "w1 w2"), (None, words(rng, 30)), (3, items[3][1]), (24, "three WORDS")]
     items += [(25, items[0][1] + " tail of it"), (26, "tie tie")]
     rows = corpus()
     for k in range(12):
@@ -39,6 +39,8 @@ def case(seed=2):
         piece = ", ".join(parts[a : a + rng.randrange(8, 14)]).upper()
         rows.append((500 + k, words(rng, 20) + " " + piece + ". " + words(rng, 9)))
     rows += [(600, "a SHORT item! of three words"), (601, items[0][1] + " " + items[1][1]), (602, "tie tie tie tie")]
+    # Windows of items without id: one short, one of ten words.
+    rows += [(603, "x w1, W2 y"), (604, "a b " + " ".join(items[17][1].split()[5:20]))]
     return rows, items
 
 
