@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.ml.classification import GBTClassifier
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from relpoint.llm.common import read, store
 
-#: Labelled URLs that the trees are fitted on at most: those with the smallest hash.
+#: Distinct labelled URLs that the trees are fitted on at most, half of them for each verdict: those with
+#: the smallest hash. Their weights stand for all labelled rows of the verdict.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, RATE, SEED = 20, 4, 0.2, 5
 #: Probability from which a URL without a rule is blocked.
@@ -152,6 +154,31 @@ def with_features(pages: DataFrame, id_col: str, url_col: str, rules: Sequence[R
     return rows.join(statistics, "suffix").withColumns(features).drop("suffix")
 
 
+def training_rows(known: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[set[float], DataFrame]:
+    """Labels (1 for block) among all ruled rows, and ``label, weight`` and features of the URLs to learn from.
+
+    Copies of a URL are counted before anything is chosen, so they neither crowd out others nor enter or
+    miss the sample together. A verdict with more than ``rows`` / 2 distinct URLs (told apart by a 64-bit
+    hash) sends those of the smallest hash, and their weights are raised to all rows of the verdict.
+    """
+    ruled = known.where("ruled is not null").select(
+        (F.col("ruled") == "block").cast("double").alias("label"), F.xxhash64("url").alias("h"), *FEATURES
+    )
+    urls = store(ruled.groupBy("label", "h").agg(F.count(F.lit(1)).alias("copies")), "labelled-urls")
+    total = {r["label"]: r["n"] for r in urls.groupBy("label").agg(F.sum("copies").alias("n")).collect()}
+    picked = [urls.where(F.col("label") == label).orderBy("h").limit(max(1, rows // 2)) for label in sorted(total)]
+    sample = store(reduce(DataFrame.union, picked, urls.limit(0)), "url-sample")
+    held = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum("copies").alias("n")).collect()}
+    share = F.lit(1.0)
+    for label, n in total.items():
+        share = F.when(F.col("label") == label, F.lit(n / held[label])).otherwise(share)
+    weights = sample.select("label", "h", (F.col("copies") * share).alias("weight"))
+    # At most ``rows`` URLs: small enough to be sent to the labelled rows.
+    mine = ruled.join(F.broadcast(weights), ["label", "h"])
+    chosen = mine.groupBy("label", "h", "weight").agg(*(F.first(c).alias(c) for c in FEATURES)).drop("h")
+    return set(total), store(chosen, "url-features")
+
+
 def judged(
     pages: DataFrame,
     rules: Sequence[Rule] = RULES,
@@ -161,25 +188,23 @@ def judged(
 ) -> DataFrame:
     """``id, host, path, rule, verdict, score`` of each row; ``score`` is the trees' probability of a block.
 
-    URLs that a rule judges are the labelled ones: boosted trees learn from at most ``rows`` of them, and
-    judge the others. Where all labels agree, the others get the same verdict; without any, they are
-    allowed (score 0). A null or a URL without ``://`` has an empty host and path and is judged by
-    the trees. Repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
+    URLs that a rule judges are the labelled ones: boosted trees learn from them (training_rows) and judge
+    the others. Where all labels agree, the others get the same verdict; without any, they are allowed
+    (score 0). A null or a URL without ``://`` has an empty host and path and is judged by the trees.
+    Repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
     """
     known = with_features(pages, id_col, url_col, rules)
-    labelled = known.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
-    chosen = labelled.select("label", *FEATURES, F.xxhash64("url").alias("h")).orderBy("h").limit(rows)
-    chosen = store(chosen.drop("h"), "url-sample")
-    seen = {r["label"] for r in chosen.select("label").distinct().collect()}
-    if len(seen) == 2:
+    labels, chosen = training_rows(known, rows)
+    if len(labels) == 2:
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
         trees = GBTClassifier(
-            featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=SEED
+            featuresCol="vector", labelCol="label", weightCol="weight",
+            maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=SEED,
         ).fit(assembler.transform(chosen.coalesce(4)))
         scored = trees.transform(assembler.transform(known))
         score = vector_to_array("probability")[1]
     else:
-        scored, score = known, F.lit(1.0 if seen == {1.0} else 0.0)
+        scored, score = known, F.lit(1.0 if labels == {1.0} else 0.0)
     verdict = F.coalesce("ruled", F.when(score >= BLOCK, "block").otherwise("allow"))
     return scored.select("id", "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
 
@@ -191,6 +216,7 @@ def keep_allowed(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; nulls, repeats and empty tables as ``judged`` states."""
     found = judged(read(spark, folder, "pages"))
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
 

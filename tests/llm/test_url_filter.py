@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from relpoint.llm.url_filter import RULES, judged, keep_allowed
+from relpoint.llm.url_filter import RULES, judged, keep_allowed, training_rows, with_features
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -73,3 +73,20 @@ def test_plan_has_no_python(spark):
     plan = judged(spark.createDataFrame([(k, u, None) for k, u in enumerate(urls())], SCHEMA))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", text)
+
+
+@pytest.mark.parametrize("rows", [20, 60, 20_000])
+def test_copies_of_one_url_count_as_weights(spark, rows):
+    """60 copies of a blocked URL and 60 allowed ones, whatever the bound of the sample."""
+    copies = [(k, "http://s.com/de/a?x=1&y=2&z=3", None) for k in range(60)]
+    others = [(100 + k, f"http://s{k}.com/fr/{k}", None) for k in range(60)]
+    free = [(900, "http://s.net/de/a?x=1&y=2&z=3", None), (901, "http://s1.net/fr/5", None)]
+    pages = spark.createDataFrame(copies + others + free, SCHEMA)
+    labels, chosen = training_rows(with_features(pages, "page_id", "url", RULES), rows)
+    found = chosen.collect()
+    assert labels == {0.0, 1.0} and len(found) == 1 + min(60, rows // 2)
+    for label in labels:
+        assert abs(sum(r["weight"] for r in found if r["label"] == label) - 60) < 1e-6
+    scored = {r["id"]: r for r in judged(pages, rows=rows).collect()}
+    assert scored[0]["score"] > 0.5 > max(scored[100 + k]["score"] for k in range(60))
+    assert scored[900]["verdict"] == "block" and scored[901]["verdict"] == "allow"
