@@ -16,9 +16,11 @@ from relpoint.llm.common import arrow_map, fresh, read, remainder, small_batches
 CHUNK, STEP = 512, 448
 #: Bytes that a filter sees, bytes from one place to the next, numbers for a byte, filters.
 WIDTH, HOP, DEPTH, FILTERS = 8, 2, 6, 24
-#: Labelled rows that the network learns from at most (those with the smallest hash of id), and the
-#: chunks that a row sends at most, evenly over its text. Scores always read every chunk.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 4000, 48
+#: Labelled rows that the network learns from at most, in order of a hash of their id, and the bytes of
+#: their texts: the row that reaches SAMPLE_BYTES is the last. Every chunk of a chosen text is learned.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16_000_000
+#: Chunks that the fit reads at most, over all of its steps (at least MIN_STEPS are made).
+EFFORT, MIN_STEPS = 400_000, 20
 STEPS, BATCH, RATE = 600, 32, 0.01
 #: Scores of at least this much are accepted.
 ACCEPT = 0.3
@@ -114,12 +116,19 @@ class Network:
         if held:
             yield len(documents), np.concatenate(held), np.concatenate(owners)
 
+    def peaks(self, block: np.ndarray, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's largest answer in each chunk, and its place; inputs are held for a few chunks."""
+        top, where = [], []
+        for i in range(0, len(block), step):
+            answers = (self.windows(block[i : i + step]) @ self.filters).reshape(-1, _PLACES, FILTERS)
+            where.append(answers.argmax(axis=1))
+            top.append(np.take_along_axis(answers, where[-1][:, None, :], 1)[:, 0])
+        return np.concatenate(top), np.concatenate(where)
+
     def gradient(self, block: np.ndarray, owners: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
         """Gradient of the mean log loss of a few documents, in the order of the parameters."""
-        inputs = self.windows(block)
-        answers = (inputs @ self.filters).reshape(-1, _PLACES, FILTERS)
-        where = answers.argmax(axis=1)
-        active = np.maximum(np.take_along_axis(answers, where[:, None, :], 1)[:, 0] + self.offset, 0)
+        best, where = self.peaks(block)
+        active = np.maximum(best + self.offset, 0)
         starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
         sizes = np.diff(np.r_[starts, len(owners)])
         mean = np.add.reduceat(active, starts, axis=0) / sizes[:, None]
@@ -134,19 +143,22 @@ class Network:
         at_top /= np.add.reduceat(at_top, starts, axis=0)[position]
         chunk = (back[:, :FILTERS] / sizes[:, None])[position] + back[position, FILTERS:] * at_top
         chunk = np.where(active > 0, chunk, 0).astype(np.float32)
-        places = (np.arange(len(block))[:, None] * _PLACES + where).ravel()
-        seen = inputs[places].reshape(len(block), FILTERS, -1)
-        filters = np.einsum("cf,cfk->kf", chunk, seen)
-        embed = np.zeros_like(self.embed)
-        to_input = (chunk[:, :, None] * self.filters.T[None]).reshape(-1, WIDTH, DEPTH)
-        first = where * HOP
-        symbols = np.take_along_axis(block, (first[:, :, None] + np.arange(WIDTH)).reshape(len(block), -1), 1)
-        np.add.at(embed, symbols.ravel(), to_input.reshape(-1, DEPTH))
+        filters, embed = np.zeros_like(self.filters), np.zeros_like(self.embed)
+        for i in range(0, len(block), 1024):
+            own = slice(i, i + 1024)
+            first = where[own] * HOP
+            symbols = np.take_along_axis(block[own], (first[:, :, None] + np.arange(WIDTH)).reshape(len(first), -1), 1)
+            seen = np.take(self.embed, symbols, axis=0).reshape(len(first), FILTERS, -1)
+            filters += np.einsum("cf,cfk->kf", chunk[own], seen)
+            to_input = (chunk[own, :, None] * self.filters.T[None]).reshape(-1, DEPTH)
+            np.add.at(embed, symbols.ravel(), to_input)
         return [embed, filters, chunk.sum(axis=0), doc.T @ error, error.sum(keepdims=True)]
 
     def fit(self, documents: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: int = 11) -> Network:
-        """Adam on batches drawn from the documents (each given as its chunks)."""
+        """Adam on batches drawn from the documents (each given as its chunks); fewer steps where they are long."""
         draw = np.random.default_rng(seed)
+        mean = sum(len(d) for d in documents) / len(documents)
+        steps = min(steps, max(MIN_STEPS, int(EFFORT / (BATCH * mean))))
         first = [np.zeros_like(p) for p in self.parameters()]
         second = [np.zeros_like(p) for p in self.parameters()]
         for step in range(1, steps + 1):
@@ -161,29 +173,36 @@ class Network:
         return self
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, held_out: int = HELD_OUT):
-    """Chunks and labels of at most ``rows`` labelled documents outside the held-out share.
+def sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    rows: int = SAMPLE_ROWS,
+    held_out: int = HELD_OUT,
+    size: int = SAMPLE_BYTES,
+):
+    """Chunks and labels of labelled documents outside the held-out share, bounded by rows and bytes.
 
-    Ids are chosen in the narrow table of labels, by a hash, and sent to the texts; what comes back is
-    bounded by ``rows`` times SAMPLE_CHUNKS chunks.
+    Ids are chosen in the narrow table of labels, by a hash, and sent to the texts. Of what they meet, the
+    first ``rows`` rows by that hash are taken whole until their texts reach ``size`` bytes. Rows equal in
+    id and text count once; null ids and ids without a label or a row are never chosen.
     """
     ids = labels.where("quality is not null and doc_id is not null").where(remainder("doc_id", held_out) != 0)
     ids = ids.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("quality", "text")
-
-    def each(batch: pa.RecordBatch) -> list[pa.Array]:
-        found = []
-        for text in texts(batch.column(1)):
-            own = chunks(text)
-            if len(own) > SAMPLE_CHUNKS:
-                own = own[np.linspace(0, len(own) - 1, SAMPLE_CHUNKS).astype(int)]
-            found.append(own.tobytes())
-        return [pa.array(found, pa.binary())]
-
-    small_batches(docs.sparkSession)
-    got = arrow_map(known, each, "chunks binary", ["quality"]).toArrow()
-    blocks = [np.frombuffer(c, dtype=np.uint8).reshape(-1, _SPAN) for c in got["chunks"].to_pylist()]
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    known = docs.select("doc_id", "text", key.alias("h")).join(F.broadcast(ids), "doc_id")
+    lengths = known.groupBy("doc_id", "h").agg(F.max(F.octet_length("text")).alias("n"))
+    first = lengths.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(rows).collect()
+    before = np.cumsum([0] + [r["n"] or 0 for r in first])
+    chosen = [(r["doc_id"], r["h"]) for r, n in zip(first, before) if n < size]
+    spark = docs.sparkSession
+    picked = spark.createDataFrame(chosen, lengths.select("doc_id", "h").schema)
+    texts_ = known.join(F.broadcast(picked), ["doc_id", "h"]).select("doc_id", "h", "quality", "text")
+
+    small_batches(spark)
+    got = texts_.groupBy("doc_id", "h").agg(F.first("quality").alias("quality"), F.first("text").alias("text"))
+    got = got.select("quality", "text").toArrow()
+    blocks = [chunks(text) for text in texts(got["text"])]
     order = sorted(range(len(blocks)), key=lambda i: blocks[i].tobytes())
     quality = got["quality"].to_numpy()
     return [blocks[i] for i in order], np.array([quality[i] > 0 for i in order], dtype=np.float32)
@@ -212,13 +231,17 @@ def with_score(docs: DataFrame, network: Network, name: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """``docs`` that score ``accept`` or more, columns unchanged. Labels of other documents are ignored."""
+    """``docs`` that score ``accept`` or more, columns unchanged. Labels of other documents are ignored.
+
+    Null and empty texts are scored as one empty chunk; repeated rows get one score and stay or go together.
+    """
     [score] = fresh(docs, "score")
     scored = with_score(docs, train(docs, labels), score)
     return scored.where(F.col(score) >= accept).drop(score)
 
 
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document, learned outside the held-out fifth; null and empty texts are scored too."""
     docs = read(spark, folder, "documents").select("doc_id", "text")
     network = train(docs, read(spark, folder, "labels"))
     # The text is needed no further than the score.

@@ -116,3 +116,16 @@ def test_query_on_the_driver_tables(spark, sf):
     for r in found:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
         assert r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_long_texts_are_learned_whole_within_the_bytes(spark):
+    ids = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    text = {k: "".join(chr(97 + (k + i) % 26) for i in range(30_000)) for k in ids}
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in ids], "doc_id long, quality int, toxic int")
+    docs = documents(spark, [*text.items(), (ids[0], text[ids[0]]), (ids[1], None)])
+    blocks, _ = sample(docs, labels)
+    assert sorted(len(b) for b in blocks) == [1] + [67] * len(ids)
+    flat = {b"".join(bytes(row[:448]) for row in b)[:30_000].decode() for b in blocks if len(b) > 1}
+    assert flat == set(text.values())
+    # 30,000 bytes a row: the fourth reaches 100,000.
+    assert sum(len(b) > 1 for b in sample(docs, labels, size=100_000)[0]) == 4
