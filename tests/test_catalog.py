@@ -9,6 +9,7 @@ from tests.oracle import differences, duck_rows, spark_rows
 SAMPLE = (
     "customer_frame_base", "customer_frame_multihop", "event_sequence", "label_conditional",
     "supplier_history_star", "training_frame", "metrics_classification", "schedule_train",
+    "tree_scores", "tree_stages",
 )
 
 
