@@ -15,7 +15,7 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 8, 0.8, 10, 3
 
 def lines(text: bytes) -> list[tuple[int, bytes]]:
     """Numbered lines that aren't blank, with A-Z in lower case and single spaces."""
-    found = ((n, b" ".join(line.lower().split())) for n, line in enumerate(text.split(b"\n")))
+    found = ((n, b" ".join(line.split())) for n, line in enumerate(text.lower().split(b"\n")))
     return [(n, line) for n, line in found if line]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,40 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+# What each byte adds to its word's hash, and the power a byte's place is weighed with; it is odd, so it has an inverse.
+_BYTES = np.random.default_rng(21).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BASE, _INVERSE = np.uint64(0x2545F4914F6CDD1D), np.uint64(pow(0x2545F4914F6CDD1D, -1, 2**64))
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    found = np.full(n, base, dtype=np.uint64)
+    found[0] = 1
+    return np.multiply.accumulate(found)
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a text, by its bytes alone, and where the words start and stop.
+
+    Bytes weighed by powers of their place are summed up over the whole text; the sums at a word's ends give its
+    own, which is freed of the place by the inverse power.
+    """
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    np.logical_not(_BLANK[data], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, stops = edges[::2], edges[1::2]
+    room = max(1 << 18, 1 << len(data).bit_length())
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * _powers(int(_BASE), room)[: len(data)], out=sums[1:])
+    found = (sums[stops] - sums[starts]) * _powers(int(_INVERSE), room)[starts]
+    found ^= found >> np.uint64(32)
+    found *= _MIX
+    found ^= found >> np.uint64(29)
+    return found, starts, stops
+
+
 @dataclass(frozen=True)
 class Units:
     """How texts are split and compared.
@@ -42,11 +77,16 @@ class Units:
     rows: int = 3
     threshold: float = 0.8
 
-    def symbols(self, unit: bytes) -> np.ndarray:
+    def symbols(self, units: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols (hashed words or characters) of all units in a row, and how many each has."""
         if self.words:
-            digest = xxhash.xxh64_intdigest
-            return np.array([digest(w) for w in unit.split(b" ")], dtype=np.uint64)
-        return np.frombuffer(unit.decode().encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+            counts = np.fromiter((u.count(b" ") + 1 for u in units), np.int64, len(units))
+            return word_hashes(b" ".join(units))[0], counts
+        whole = b"".join(units)
+        if whole.isascii():
+            return np.frombuffer(whole, np.uint8).astype(np.uint64), np.fromiter(map(len, units), np.int64, len(units))
+        counts = np.fromiter((len(u.decode()) for u in units), np.int64, len(units))
+        return np.frombuffer(whole.decode().encode("utf-32-le"), "<u4").astype(np.uint64), counts
 
     def shingles(self, unit: bytes) -> set:
         parts = unit.split(b" ") if self.words else unit.decode()
@@ -56,27 +96,6 @@ class Units:
             return set(zip(*(parts[i:] for i in range(self.size))))
         return {parts[i : i + self.size] for i in range(len(parts) - self.size + 1)}
 
-    def near(self, one: set, unit: bytes) -> bool:
-        """Whether the unit's shingles have a similarity of the threshold or more with those of ``one``.
-
-        More than ``one``'s size times (1 - t) / t shingles outside of it rule that out, so those of the
-        first part of the unit tell most dissimilar units.
-        """
-        parts = unit.split(b" ") if self.words else unit.decode()
-        places = max(1, len(parts) - self.size + 1)
-        if places < self.threshold * len(one) - 1e-6:
-            return False
-        outside = len(one) * (1 - self.threshold) / self.threshold
-        first = int(outside) + 16
-        if first + self.size < len(parts):
-            start = parts[: first + self.size - 1]
-            shingles = zip(*(start[i:] for i in range(self.size))) if self.words else (
-                start[i : i + self.size] for i in range(first)
-            )
-            if len(set(shingles) - one) > outside + 1e-6:
-                return False
-        return self.jaccard(one, self.shingles(unit)) >= self.threshold
-
     def jaccard(self, one: set, other: set) -> float:
         both = len(one & other)
         return both / (len(one) + len(other) - both)
@@ -87,60 +106,112 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(0, 2**32, n, dtype=np.uint32), draw.integers(0, 2**31, n, dtype=np.uint32) * 2 + 1
 
 
-def minima(symbols: Sequence[np.ndarray], size: int, n: int) -> np.ndarray:
-    """For each sequence of symbols, the least value of each of n hashes over its shingles."""
-    lengths = np.array([max(len(s), size) for s in symbols])
-    flat = np.zeros(int(lengths.sum()) + size, dtype=np.uint64)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    for at, s in zip(starts.tolist(), symbols):
-        flat[at : at + len(s)] = s
-    count = len(flat) - size + 1
-    rolled = flat[:count].copy()
-    for j in range(1, size):
-        rolled *= _STEP
-        rolled += flat[j : j + count]
-    rolled ^= rolled >> np.uint64(29)
-    rolled *= _MIX
-    short = (rolled >> np.uint64(32)).astype(np.uint32)
-    # Shingles of a sequence are places start to start + length - size; what lies between is passed over.
-    bounds = np.stack([starts, starts + lengths - size + 1], axis=1).ravel()
+def runs_of(flat: np.ndarray, size: int) -> np.ndarray:
+    """A polynomial of each ``size`` values in a row, from those of half as many."""
+    runs, span = flat.copy(), 1
+    for bit in bin(size)[3:]:
+        runs = runs[:-span] * np.uint64(pow(int(_STEP), span, 2**64)) + runs[span:]
+        span *= 2
+        if bit == "1":
+            runs = runs[:-1] * _STEP + flat[span:]
+            span += 1
+    return runs
+
+
+def rolled(flat: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each run of ``size`` symbols, and where the runs of each sequence start and stop.
+
+    A sequence shorter than that counts as one run, filled up with zeros. Between two sequences' runs lie some
+    that cross over; they belong to no sequence.
+    """
+    short = np.maximum(size - counts, 0)
+    lengths = counts + short
+    starts = np.cumsum(lengths) - lengths
+    if short.any():
+        full = np.zeros(int(lengths.sum()), dtype=np.uint64)
+        full[np.arange(len(flat)) + np.repeat(np.cumsum(short) - short, counts)] = flat
+        flat = full
+    runs = runs_of(flat, size)
+    runs ^= runs >> np.uint64(29)
+    runs *= _MIX
+    return runs, starts, starts + lengths - size + 1
+
+
+def minima(flat: np.ndarray, counts: np.ndarray, size: int, n: int) -> np.ndarray:
+    """For each of the sequences of symbols in ``flat``, the least value of each of n hashes over its shingles."""
+    runs, starts, stops = rolled(flat, counts, size)
+    short = np.append((runs >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+    # What lies between the shingles of two sequences is passed over.
+    bounds = np.stack([starts, stops], axis=1).ravel()
     change, factor = _coefficients(n)
-    found = np.empty((len(symbols), n), dtype=np.uint32)
+    found = np.empty((len(counts), n), dtype=np.uint32)
+    mixed = np.empty_like(short)
     for i in range(n):
-        found[:, i] = np.minimum.reduceat((short ^ change[i]) * factor[i], bounds)[::2]
+        np.bitwise_xor(short, change[i], out=mixed)
+        np.multiply(mixed, factor[i], out=mixed)
+        found[:, i] = np.minimum.reduceat(mixed, bounds)[::2]
     return found
 
 
+def blocks(units: Sequence[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of units of ``most`` bytes or less in all; a longer unit stands alone."""
+    start = total = 0
+    for at, unit in enumerate(units):
+        if total and total + len(unit) > most:
+            yield start, at
+            start, total = at, 0
+        total += len(unit)
+    if start < len(units):
+        yield start, len(units)
+
+
 def signatures(units: Sequence[bytes], how: Units) -> np.ndarray:
     """Minima of each unit, computed in blocks of bounded size; long units are cut with overlap."""
     n = how.bands * how.rows
-    found = np.full((len(units), n), 0xFFFFFFFF, dtype=np.uint32)
-    held: list[np.ndarray] = []
-    owners: list[int] = []
-    total = 0
-
-    def flush() -> None:
-        if held:
-            own = np.array(owners)
-            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            least = np.minimum.reduceat(minima(held, how.size, n), starts, axis=0)
-            found[own[starts]] = np.minimum(found[own[starts]], least)
-            held.clear()
-            owners.clear()
-
-    for owner, unit in enumerate(units):
-        symbols = how.symbols(unit)
-        for at in range(0, max(1, len(symbols) - how.size + 1), BLOCK):
-            held.append(symbols[at : at + BLOCK + how.size - 1])
-            owners.append(owner)
-            total += len(held[-1])
-            if total > BLOCK:
-                flush()
-                total = 0
-    flush()
+    found = np.empty((len(units), n), dtype=np.uint32)
+    for start, stop in blocks(units, BLOCK):
+        flat, counts = how.symbols(units[start:stop])
+        if stop - start > 1 or len(flat) <= BLOCK:
+            found[start:stop] = minima(flat, counts, how.size, n)
+            continue
+        cuts = (flat[at : at + BLOCK + how.size - 1] for at in range(0, max(1, len(flat) - how.size + 1), BLOCK))
+        found[start] = np.min([minima(c, np.array([len(c)]), how.size, n)[0] for c in cuts], axis=0)
     return found
 
 
+def shingle_hashes(units: Sequence[bytes], how: Units) -> list[np.ndarray]:
+    """The distinct shingles of each unit as sorted 64-bit hashes."""
+    found = []
+    for start, stop in blocks(units, BLOCK):
+        flat, counts = how.symbols(units[start:stop])
+        runs, starts, stops = rolled(flat, counts, how.size)
+        for a, b in zip(starts.tolist(), stops.tolist()):
+            own = np.sort(runs[a:b])
+            fresh_run = own[1:] != own[:-1]
+            found.append(own if fresh_run.all() else own[np.r_[True, fresh_run]])
+    return found
+
+
+def near(one: np.ndarray, other: np.ndarray, threshold: float) -> bool:
+    """Whether two units of these ``shingle_hashes`` have a Jaccard similarity of the threshold or more.
+
+    Sizes tell some dissimilar units; of long ones, the lower third of one's hashes, which is a random part of its
+    shingles, tells most: more outside the other than a similar unit can have in all rule the link out.
+    """
+    few, many = (one, other) if len(one) <= len(other) else (other, one)
+    if len(few) < threshold * len(many) - 1e-6:
+        return False
+    outside = len(few) - threshold * (len(few) + len(many)) / (1 + threshold)
+    for part in (few[: len(few) // 3], few) if len(few) > 300 else (few,):
+        places = many.searchsorted(part)
+        places[places == len(many)] = 0
+        missing = len(part) - int(np.count_nonzero(many[places] == part))
+        if missing > outside + 1e-6:
+            return False
+    both = len(few) - missing
+    return both >= threshold * (len(few) + len(many) - both) - 1e-9
+
+
 def buckets(found: np.ndarray, how: Units) -> np.ndarray:
     """One number for each unit and band."""
     keys = np.empty((len(found), how.bands), dtype=np.uint64)
@@ -235,18 +306,16 @@ def unit_texts(docs: DataFrame, keys: DataFrame, how: Units, text_col: str) -> D
 def verified(pairs: DataFrame, known: DataFrame, how: Units) -> DataFrame:
     """The pairs ``a``, ``b`` whose units have a Jaccard similarity of the threshold or more.
 
-    The last join leaves pairs in the order of ``a``, whose shingles are then made once.
+    Texts that a batch of pairs has several times are shingled once.
     """
     a, b = (known.toDF(n, f"text_{n}") for n in "ab")
     joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
-        last, own, found = None, set(), []
-        for x, one, other in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-            if x != last:
-                last, own = x, how.shingles(one)
-            found.append(how.near(own, other))
-        return [pa.array(found)]
+        one, other, texts_one, texts_other = (batch.column(i).to_pylist() for i in range(4))
+        held = dict(zip(one, texts_one)) | dict(zip(other, texts_other))
+        hashes = dict(zip(held, shingle_hashes(list(held.values()), how)))
+        return [pa.array([near(hashes[a], hashes[b], how.threshold) for a, b in zip(one, other)], pa.bool_())]
 
     return arrow_map(joined, each, "same boolean", ["a", "b"]).where("same").select("a", "b")
 
@@ -317,15 +386,12 @@ def compared(table: pa.Table, how: Units) -> pa.Table:
     """Spanning forest of the links between two blocks (or inside one) of ``key, part, text, second``."""
     keys, parts = (table[n].to_numpy() for n in ("key", "part"))
     second = table["second"].to_numpy(zero_copy_only=False)
-    ids: dict = {}
-    sets = [
-        np.fromiter((ids.setdefault(s, len(ids)) for s in how.shingles(t)), np.int64)
-        for t in table["text"].to_pylist()
-    ]
+    sets = shingle_hashes(table["text"].to_pylist(), how)
     right = np.flatnonzero(second)
     left = right if second.all() else np.flatnonzero(~second)
     sizes = np.array([len(s) for s in sets])
-    flat, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)
     both = np.ones(len(ids), dtype=bool)
     for side in (left, right):
         seen = np.zeros(len(ids), dtype=bool)

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relpoint.llm.common import read
-from relpoint.llm.minhash import Units, joined_units, without_units
+from relpoint.llm.minhash import Units, joined_units, runs_of, without_units, word_hashes
 
 #: Words of a shingle and the Jaccard similarity of a link. Ten bands of three hashes find a pair of that
 #: similarity with probability 0.9992.
@@ -21,18 +20,17 @@ WINDOW, REACH = 20, 31
 #: A window's shingles are 16, so a pair of the threshold is nearly equal; four bands of two find it with 0.98.
 PASSAGE_BANDS, PASSAGE_ROWS = 4, 2
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def paragraphs(text: bytes) -> list[tuple[int, bytes]]:
     """Numbered lines of enough words, with A-Z in lower case and single spaces."""
-    found = ((n, line.lower().split()) for n, line in enumerate(text.split(b"\n")))
+    found = ((n, line.split()) for n, line in enumerate(text.lower().split(b"\n")))
     return [(n, b" ".join(words)) for n, words in found if len(words) >= LEAST_WORDS]
 
 
-def anchors(words: list[bytes], window: int = WINDOW, reach: int = REACH, shingle: int = SHINGLE) -> list[int]:
-    """First words of the windows of a text; they depend on words near them only, not on lines or on the place.
+def anchors(words: np.ndarray, window: int = WINDOW, reach: int = REACH, shingle: int = SHINGLE) -> list[int]:
+    """First words of the windows of a text, from its words' hashes; they depend on words near them only, not on lines.
 
     Of ``reach`` windows in a row one with the least hash is taken. Equal hashes are equal windows, so of several any
     will do: the one taken before stays while it is in reach, else the last one is taken (robust winnowing,
@@ -41,33 +39,37 @@ def anchors(words: list[bytes], window: int = WINDOW, reach: int = REACH, shingl
     places = len(words) - window + 1
     if places < 2:
         return [0]
-    digest = xxhash.xxh64_intdigest
-    symbols = np.fromiter(map(digest, words), np.uint64, len(words))
-    runs = len(words) - shingle + 1
-    rolled = symbols[:runs].copy()
-    for j in range(1, shingle):
-        rolled *= _STEP
-        rolled += symbols[j : j + runs]
-    whole = rolled[:places].copy()
+    runs = runs_of(words, shingle)
+    whole = runs[:places].copy()
     for j in (*range(shingle, window - shingle, shingle), window - shingle):
         whole ^= whole >> np.uint64(31)
         whole *= _MIX
-        whole += rolled[j : j + places]
+        whole += runs[j : j + places]
     whole ^= whole >> np.uint64(29)
     whole *= _MIX
     if places <= reach:
         return [int(whole.argmin())]
-    view = np.lib.stride_tricks.sliding_window_view(whole, reach)
-    least = view.argmin(axis=1)
-    least += np.arange(len(least))
-    taken = least[np.r_[True, least[1:] != least[:-1]]]  # never falls, so equal ones are neighbours
+    # A window is the least of some reach if the greatest of the least values of its reaches is its own.
+    low = _slide(np.minimum, whole, reach)
+    edge = np.zeros(reach - 1, dtype=np.uint64)
+    taken = np.flatnonzero(_slide(np.maximum, np.concatenate([edge, low, edge]), reach) == whole)
     if (whole[taken[1:]] != whole[taken[:-1]]).all():
         return taken.tolist()
-    return _robust(whole, view, reach)
+    return _robust(whole, low, reach)
+
 
+def _slide(best: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The best of each ``width`` values in a row, from the best of 2, 4, 8 and so on."""
+    span = 1
+    while 2 * span <= width:
+        values = best(values[:-span], values[span:])
+        span *= 2
+    rest = width - span
+    return best(values[: len(values) - rest], values[rest:]) if rest else values
 
-def _robust(whole: np.ndarray, view: np.ndarray, reach: int) -> list[int]:
-    low = view.min(axis=1)
+
+def _robust(whole: np.ndarray, low: np.ndarray, reach: int) -> list[int]:
+    view = np.lib.stride_tricks.sliding_window_view(whole, reach)
     last = reach - 1 - view[:, ::-1].argmin(axis=1) + np.arange(len(low))
     at, taken = 0, [int(last[0])]
     while True:
@@ -81,10 +83,15 @@ def _robust(whole: np.ndarray, view: np.ndarray, reach: int) -> list[int]:
 
 def passages(text: bytes) -> list[tuple[int, bytes]]:
     """Windows over the words of the whole text, numbered by their first word; a short text is one window."""
-    words = text.lower().split()
+    text = text.lower()
+    words, starts, stops = word_hashes(text)
     if len(words) < LEAST_WORDS:
         return []
-    return [(n, b" ".join(words[n : n + WINDOW])) for n in anchors(words)]
+    found = []
+    for n in anchors(words):
+        run = text[starts[n] : stops[min(n + WINDOW, len(words)) - 1]]
+        found.append((n, b" ".join(run.split())))
+    return found
 
 
 def paragraph_units(shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> Units:

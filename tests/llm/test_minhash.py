@@ -5,7 +5,7 @@ import pytest
 
 from relpoint.llm import minhash
 from relpoint.llm.line_dedup import dedup_lines, line_classes, line_units, lines
-from relpoint.llm.minhash import minima, signatures
+from relpoint.llm.minhash import minima, near, runs_of, shingle_hashes, signatures, word_hashes
 from relpoint.llm.paragraph_dedup import dedup_paragraphs, paragraph_classes, paragraph_units, paragraphs
 from tests.llm.fixtures import corpus, documents, words
 from tests.llm.test_components import by_search
@@ -23,24 +23,49 @@ def test_minima_are_shared_as_often_as_shingles():
 
 
 @pytest.mark.parametrize("how", [line_units(), paragraph_units(), line_units(threshold=0.5), line_units(shingle=1)])
-def test_early_rejection_is_exact(how):
+def test_pairs_are_verified_exactly(how):
     rng = random.Random(7)
     for _ in range(300):
-        one = words(rng, rng.randrange(1, 60), rng.choice([3, 50, 5000])).split()
+        one = words(rng, rng.randrange(1, rng.choice([60, 900])), rng.choice([3, 50, 5000])).split()
         other = list(one)
         for _ in range(rng.randrange(12)):
             other[rng.randrange(len(other))] = f"e{rng.randrange(99)}"
-        other = other[: rng.randrange(1, len(other) + 1)] + one[: rng.randrange(9)]
+        if rng.random() < 0.5:
+            other = other[: rng.randrange(1, len(other) + 1)] + one[: rng.randrange(9)]
         a, b = " ".join(one).encode(), " ".join(other).encode()
         exact = how.jaccard(how.shingles(a), how.shingles(b)) >= how.threshold
-        assert how.near(how.shingles(a), b) == exact
-
+        x, y = shingle_hashes([a, b], how)
+        assert (len(x), len(y)) == (len(how.shingles(a)), len(how.shingles(b)))
+        assert near(x, y, how.threshold) == near(y, x, how.threshold) == exact
+
+
+def test_words_are_hashed_by_their_bytes_alone():
+    rng = random.Random(8)
+    own = words(rng, 3000, 900).encode().split() + [b"x" * 300_000, "é".encode(), b"\x00", b"\x00\x00", b"ab", b"ba"]
+    gaps = [rng.choice([b" ", b"\n", b"\t \x0b", b"\r\n"]) for _ in own]
+    text = b"".join(g + w for g, w in zip(gaps, own))
+    found, starts, stops = word_hashes(text)
+    assert [text[a:b] for a, b in zip(starts, stops)] == text.split() == own
+    number = {w: int(h) for w, h in zip(own, found)}
+    assert [number[w] for w in own] == found.tolist() and len(set(number.values())) == len(number)
+    assert word_hashes(own[7])[0].tolist() == [number[own[7]]]
+    assert all(len(a) == 0 for t in (b"", b" \n") for a in word_hashes(t))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 13])
+def test_runs_are_equal_where_values_are(size):
+    values = np.random.default_rng(size).integers(0, 3, 400).astype(np.uint64)
+    runs = runs_of(values, size)
+    number = {}
+    for k, run in enumerate(runs.tolist()):
+        assert number.setdefault(tuple(values[k : k + size].tolist()), run) == run
+    assert len(runs) == 400 - size + 1 and len(set(number.values())) == len(number)
 
 def test_long_units_are_hashed_in_blocks(monkeypatch):
     rng = random.Random(2)
     how = line_units()
     units = [words(rng, 300).encode(), words(rng, 5).encode(), words(rng, 900).encode()]
-    expected = minima([how.symbols(u) for u in units], how.size, 30)
+    expected = minima(*how.symbols(units), how.size, 30)
     monkeypatch.setattr("relpoint.llm.minhash.BLOCK", 100)
     assert (signatures(units, how) == expected).all()
 
