@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 from relpoint.llm.common import arrow_map, fresh, small_batches, store, texts
 from relpoint.llm.components import components, union_find
 
-#: Symbols hashed at once, and the bits of the filter that spares the join most texts.
+#: Symbols hashed at once, bytes of text verified at once, and the bits of the filter that spares the join most texts.
 BLOCK = 1 << 17
+VERIFIED = 1 << 22
 FILTER_BITS = 1 << 26
 #: Units of a bucket up to which those apart are compared pair by pair; units of a block beyond, and the
 #: shingles that two blocks are compared by at once.
@@ -153,23 +154,24 @@ def minima(flat: np.ndarray, counts: np.ndarray, size: int, n: int) -> np.ndarra
     return found
 
 
-def blocks(units: Sequence[bytes], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of units of ``most`` bytes or less in all; a longer unit stands alone."""
-    start = total = 0
-    for at, unit in enumerate(units):
-        if total and total + len(unit) > most:
-            yield start, at
-            start, total = at, 0
-        total += len(unit)
-    if start < len(units):
-        yield start, len(units)
+def blocks(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose sizes are ``most`` or less in all; a larger one stands alone."""
+    start = stop = total = 0
+    for size in sizes:
+        if total and total + size > most:
+            yield start, stop
+            start, total = stop, 0
+        total += size
+        stop += 1
+    if start < stop:
+        yield start, stop
 
 
 def signatures(units: Sequence[bytes], how: Units) -> np.ndarray:
     """Minima of each unit, computed in blocks of bounded size; long units are cut with overlap."""
     n = how.bands * how.rows
     found = np.empty((len(units), n), dtype=np.uint32)
-    for start, stop in blocks(units, BLOCK):
+    for start, stop in blocks(map(len, units), BLOCK):
         flat, counts = how.symbols(units[start:stop])
         if stop - start > 1 or len(flat) <= BLOCK:
             found[start:stop] = minima(flat, counts, how.size, n)
@@ -182,7 +184,7 @@ def signatures(units: Sequence[bytes], how: Units) -> np.ndarray:
 def shingle_hashes(units: Sequence[bytes], how: Units) -> list[np.ndarray]:
     """The distinct shingles of each unit as sorted 64-bit hashes."""
     found = []
-    for start, stop in blocks(units, BLOCK):
+    for start, stop in blocks(map(len, units), BLOCK):
         flat, counts = how.symbols(units[start:stop])
         runs, starts, stops = rolled(flat, counts, how.size)
         for a, b in zip(starts.tolist(), stops.tolist()):
@@ -306,16 +308,20 @@ def unit_texts(docs: DataFrame, keys: DataFrame, how: Units, text_col: str) -> D
 def verified(pairs: DataFrame, known: DataFrame, how: Units) -> DataFrame:
     """The pairs ``a``, ``b`` whose units have a Jaccard similarity of the threshold or more.
 
-    Texts that a batch of pairs has several times are shingled once.
+    Pairs are taken in blocks of bounded text; a text that a block has several times is shingled once.
     """
     a, b = (known.toDF(n, f"text_{n}") for n in "ab")
     joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
         one, other, texts_one, texts_other = (batch.column(i).to_pylist() for i in range(4))
-        held = dict(zip(one, texts_one)) | dict(zip(other, texts_other))
-        hashes = dict(zip(held, shingle_hashes(list(held.values()), how)))
-        return [pa.array([near(hashes[a], hashes[b], how.threshold) for a, b in zip(one, other)], pa.bool_())]
+        found = []
+        for start, stop in blocks((len(x) + len(y) for x, y in zip(texts_one, texts_other)), VERIFIED):
+            part = slice(start, stop)
+            held = dict(zip(one[part], texts_one[part])) | dict(zip(other[part], texts_other[part]))
+            hashes = dict(zip(held, shingle_hashes(list(held.values()), how)))
+            found += [near(hashes[a], hashes[b], how.threshold) for a, b in zip(one[part], other[part])]
+        return [pa.array(found, pa.bool_())]
 
     return arrow_map(joined, each, "same boolean", ["a", "b"]).where("same").select("a", "b")
 
