@@ -9,7 +9,7 @@ from relpoint.llm.decontaminate import decontaminate
 from relpoint.llm.digest_index import drop_exact
 from relpoint.llm.packing import pack_documents, public_tokenizer
 from relpoint.llm.quality import keep_good
-from relpoint.llm.simhash import drop_near
+from relpoint.llm.simhash import drop_near, similar_texts
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest doc_id."""
-    return drop_near(docs)
+    """One document of each group stays: the one with the smallest doc_id.
+
+    Fingerprints link at 2 or fewer bits, and texts at a Jaccard similarity of 0.8 or more of their 5-word
+    shingles, as near copies mostly differ in more bits. Null and blank texts are one group, repeated rows too.
+    """
+    return drop_near(docs, similar=similar_texts())
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
