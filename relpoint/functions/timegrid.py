@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PANE, FROM, TO, CUT = "__pane", "__from", "__to", "__cut"
+PANE, FROM, TO, CUT, UNTIL = "__pane", "__from", "__to", "__cut", "__until"
 
 # Up to this many copies per row, copying before the (map-side combined) aggregation
 # is cheaper than a separate aggregation per pane and its extra shuffle.
@@ -196,6 +196,24 @@ class CutoffGrid:
             return located.withColumn(CUT, F.col(FROM))
         return located.withColumn(CUT, F.explode(F.sequence(F.col(FROM), F.col(TO))))
 
+    def spread_steps(self, cells: DataFrame, key: str, entries: Sequence[str] = ()) -> DataFrame:
+        """One copy per cutoff at which something of the key changes, valid up to ``UNTIL``.
+
+        Changes are where a cell begins or ends and the cutoffs ``entries`` name. Cells are partial results,
+        so the window holds at most one row per pane, or pair of panes, of the key.
+        """
+        last = len(self) - 1
+        changes = [F.col(c) for c in (FROM, *entries)] + [F.col(TO) + 1]
+        found = F.flatten(F.collect_set(F.array(*changes)).over(Window.partitionBy(key)))
+        steps = F.array_sort(F.filter(F.array_distinct(found), lambda c: c <= last))
+        cells = cells.withColumn("__found", steps)
+        at = F.col("__found")
+        runs = F.transform(
+            at, lambda c, i: F.struct(c.alias(CUT), F.coalesce(F.get(at, i + 1) - 1, F.lit(last)).alias(UNTIL))
+        )
+        mine = F.filter(runs, lambda r: (r[CUT] >= F.col(FROM)) & (r[CUT] <= F.col(TO)))
+        return cells.select(*(c for c in cells.columns if c != "__found"), F.inline(mine))
+
     def runs(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Located rows as runs of cutoffs that don't overlap within ``keys``: (keys, from, to).
 

@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relpoint.functions.scalars import day_difference, ratio
-from relpoint.functions.timegrid import CUT, FEW_COPIES, FROM, PANE, TO, CutoffGrid, epoch_micros
+from relpoint.functions.timegrid import CUT, FEW_COPIES, FROM, PANE, TO, UNTIL, CutoffGrid, epoch_micros
 from relpoint.spec import Relation
 
 KEY = "__key"
@@ -37,11 +38,15 @@ class Feature:
 
 @dataclass(frozen=True)
 class Reduction:
-    """Features per key, or per (cutoff ordinal, key) when ``timed``."""
+    """Features per key, or per (cutoff ordinal, key) when ``timed``.
+
+    With ``steps`` there are rows only where something of the key changes; each holds up to its ``UNTIL``.
+    """
 
     df: DataFrame
     features: tuple[Feature, ...]
     timed: bool
+    steps: bool = False
 
     @property
     def on(self) -> list[str]:
@@ -77,12 +82,13 @@ class ColumnPlan:
 
 @dataclass(frozen=True)
 class Scope:
-    """Time handling of one reduction: static, expanded or bucketed."""
+    """Time handling of one reduction: static, expanded or bucketed, the latter also in steps."""
 
     grid: CutoffGrid | None
     time_col: str | None
     bucket: bool
     masks: dict[str, str] = field(default_factory=dict)
+    steps: bool = False
 
     @classmethod
     def of(cls, grid: CutoffGrid, time_col: str | None, strategy: str, masks: dict[str, str] | None = None) -> Scope:
@@ -103,6 +109,8 @@ class Scope:
 
     @property
     def out_keys(self) -> list[str]:
+        if self.steps:
+            return [CUT, UNTIL, KEY]
         return [CUT, KEY] if self.timed else [KEY]
 
     @property
@@ -147,12 +155,21 @@ class Scope:
         """
         if not self.timed:
             return located
+        if self.steps:
+            return self.grid.spread_steps(located, KEY, [e for e in self.entries.values() if e in located.columns])
         rows = self.grid.spread(located)
         for column, seen_at in () if self.bucket else self.masks.items():
             visible = self.grid.sees(F.col(seen_at), rows.schema[seen_at].dataType)
             rows = rows.withColumn(column, F.when(visible, F.col(column)))
         return rows
 
+    def gathered(self, cells: DataFrame, *extra: str) -> DataFrame:
+        """Cells by key before they are copied: copies are then folded where they are made and never shuffled.
+
+        A key has at most one cell per pane, or pair of panes, whatever its row count.
+        """
+        return cells.repartition(KEY, *extra) if self.bucket and self.timed and not self.steps else cells
+
     def counted(
         self, rows: DataFrame, extra: Sequence[str], sums: dict[str, Column], uses: dict[str, str]
     ) -> DataFrame:
@@ -162,6 +179,7 @@ class Scope:
             located = located.groupBy(*self.cell_keys, *extra).agg(
                 *(F.sum(c).alias(n) for n, c in sums.items())
             )
+            located = self.gathered(located, *extra)
             shown = {n: self.shows([uses[n]]) for n in sums}
             sums = {n: F.col(n) if shown[n] is None else F.when(shown[n], F.col(n)) for n in sums}
         return self.spread(located).groupBy(*self.out_keys, *extra).agg(
@@ -248,7 +266,7 @@ class Atoms:
                 *(MERGE[m](row).alias(name) for name, (row, m) in atoms.items()),
                 *(F.var_pop(F.col(c).cast("double")).alias(f"{c}__v") for c in self.deviations),
             )
-        return self.combine(located, scope)
+        return self.combine(scope.gathered(located), scope)
 
     def combine(self, cells: DataFrame, scope: Scope) -> DataFrame:
         """Merge located rows, or per-pane partial results, per (cutoff, key)."""
@@ -276,7 +294,7 @@ class Atoms:
             for days in sorted(self.windows.get(name, ())):
                 inside = F.when(scope.grid.in_window(days), value)
                 aggs.append(MERGE[merge](inside).alias(f"{name}__{days}"))
-        return spread.groupBy(CUT, KEY).agg(*aggs, *self._std_columns(scope.bucket))
+        return spread.groupBy(*scope.out_keys).agg(*aggs, *self._std_columns(scope.bucket))
 
 
 def _count(value: Column) -> Column:
@@ -298,6 +316,23 @@ def reduce_rows(rows: DataFrame, relation: Relation, plan: ColumnPlan, scope: Sc
     return result
 
 
+def changes_in_steps(relation: Relation) -> bool:
+    """Whether the features change only where rows come into sight or leave it, and not with each cutoff."""
+    ages = "recency" in relation.stats and relation.time is not None
+    return set(relation.families) <= {"base", "semantic"} and "activity" not in relation.stats and not ages
+
+
+def reduce_steps(rows: DataFrame, relation: Relation, plan: ColumnPlan, scope: Scope) -> list[Reduction]:
+    """The same features as :func:`reduce_rows`, only at the cutoffs where they change.
+
+    Rollups and value profiles change at different cutoffs and stay apart.
+    """
+    stepped = replace(scope, bucket=True, steps=True)
+    values = _value_columns(relation, plan)
+    found = [_rollup(rows, relation, plan, stepped)]
+    return [*found, value_profile(rows, values, stepped)] if values else found
+
+
 def _rollup(rows: DataFrame, relation: Relation, plan: ColumnPlan, scope: Scope) -> Reduction:
     p, stats, families = relation.prefix.lower(), relation.stats, relation.families
     atoms, out, kinds = Atoms(), {}, {}
@@ -390,7 +425,7 @@ def _rollup(rows: DataFrame, relation: Relation, plan: ColumnPlan, scope: Scope)
 
     merged = atoms.merged(rows, scope)
     df = merged.select(*scope.out_keys, *(value.alias(name) for name, value in out.items()))
-    return Reduction(df, tuple(Feature(n, kinds[n]) for n in out), scope.timed)
+    return Reduction(df, tuple(Feature(n, kinds[n]) for n in out), scope.timed, scope.steps)
 
 
 @dataclass(frozen=True)
@@ -434,9 +469,31 @@ def value_profile(rows: DataFrame, columns: Sequence[ValueColumn], scope: Scope)
         return _folded_values(scope.spread(located), columns, scope.out_keys, scope.timed)
     # A looked-up value's cell begins where the value is visible, so copies need no mask.
     stacked = _stacked(located, columns, [scope.entry(c.name) for c in columns])
-    cells = stacked.groupBy(KEY, FROM, TO, "i", "v").agg(F.count(F.lit(1)).alias("m"))
-    counted = scope.grid.spread(cells).groupBy(*scope.out_keys, "i", "v").agg(F.sum("m").alias("m"))
-    return _profile_of_counts(counted, columns, scope.out_keys, scope.timed)
+    return _profile_of_runs(_value_runs(stacked, scope.grid), columns, scope)
+
+
+def _value_runs(stacked: DataFrame, grid: CutoffGrid) -> DataFrame:
+    """Runs of cutoffs over which the count ``m`` of a (key, column, value) stays the same; none where it is 0.
+
+    A value is kept once per change of its count, not once per cutoff. A window holds the changes of one value,
+    at most one per cutoff.
+    """
+    last, one = len(grid) - 1, F.lit(1).cast("bigint")
+    changes = [F.struct(F.col(FROM).alias("at"), one.alias("d"))]
+    if grid.lookback_days is not None:
+        changes.append(F.struct((F.col(TO) + 1).alias("at"), (-one).alias("d")))
+    events = stacked.select(KEY, "i", "v", F.inline(F.array(*changes))).where(F.col("at") <= last)
+    events = events.groupBy(KEY, "i", "v", "at").agg(F.sum("d").alias("d"))
+    by_value = Window.partitionBy(KEY, "i", "v").orderBy("at")
+    runs = events.select(
+        KEY,
+        "i",
+        "v",
+        F.col("at").alias(FROM),
+        F.coalesce(F.lead("at").over(by_value) - 1, F.lit(last)).alias(TO),
+        F.sum("d").over(by_value.rowsBetween(Window.unboundedPreceding, 0)).alias("m"),
+    )
+    return runs.where(F.col("m") > 0)
 
 
 def _stacked(df: DataFrame, columns: Sequence[ValueColumn], entries: Sequence[Column] | None = None) -> DataFrame:
@@ -456,31 +513,53 @@ def _folded_values(spread: DataFrame, columns: Sequence[ValueColumn], keys: list
 
 def _profile_of_counts(counted: DataFrame, columns: Sequence[ValueColumn], keys: list[str], timed: bool) -> Reduction:
     """Features from the counts ``m`` per (keys, column number i, value v)."""
-    aggs, out = [], {}
+    partial, _, out = _profile(columns)
+    return _profile_features(counted.groupBy(*keys).agg(*partial), keys, out, timed)
+
+
+def _profile_of_runs(runs: DataFrame, columns: Sequence[ValueColumn], scope: Scope) -> Reduction:
+    """The same from runs: the values of a key are folded per run before anything is copied to cutoffs."""
+    partial, merged, out = _profile(columns)
+    cells = runs.groupBy(KEY, FROM, TO).agg(*partial)
+    df = scope.spread(scope.gathered(cells)).groupBy(*scope.out_keys).agg(*merged)
+    return _profile_features(df, scope.out_keys, out, scope.timed, scope.steps)
+
+
+def _profile_features(df: DataFrame, keys: list[str], out: dict, timed: bool, steps: bool = False) -> Reduction:
+    df = df.select(*keys, *(value.alias(name) for name, (value, _) in out.items()))
+    return Reduction(df, tuple(Feature(name, kind) for name, (_, kind) in out.items()), timed, steps)
+
+
+def _profile(columns: Sequence[ValueColumn]) -> tuple[list[Column], list[Column], dict[str, tuple[Column, str]]]:
+    """Partial aggregates over counts per value, their merge, and the features made of them."""
+    aggs, merged, out = [], [], {}
     m, v = F.col("m"), F.col("v")
+
+    def need(name: str, value: Column, merge) -> None:
+        aggs.append(value.alias(name))
+        merged.append(merge(name).alias(name))
+
     for i, column in enumerate(columns):
         mine = F.col("i") == i
         a = f"__v{i}"
         if {"nunique", "count"} & set(column.outputs):
             name = column.name if "count" in column.outputs else f"{column.name}_nunique"
-            aggs.append(F.count(F.when(mine, 1)).alias(f"{a}n"))
+            need(f"{a}n", F.count(F.when(mine, 1)), F.sum)
             out[name] = (F.col(f"{a}n"), "count")
         if "mode" in column.outputs:
-            aggs.append(F.min(F.when(mine, F.struct((-m).alias("m"), v.alias("v")))).alias(f"{a}m"))
+            need(f"{a}m", F.min(F.when(mine, F.struct((-m).alias("m"), v.alias("v")))), F.min)
             out[f"{column.name}_mode"] = (F.col(f"{a}m.v"), "text")
         if {"concentration", "top_share"} & set(column.outputs):
-            aggs.append(F.sum(F.when(mine, m)).alias(f"{a}t"))
+            need(f"{a}t", F.sum(F.when(mine, m)), F.sum)
         if "concentration" in column.outputs:
             square = m.cast("double") * m.cast("double")
-            aggs.append(F.sum(F.when(mine, square)).alias(f"{a}q"))
+            need(f"{a}q", F.sum(F.when(mine, square)), F.sum)
             total = F.col(f"{a}t").cast("double")
             out[f"{column.name}_concentration"] = (F.try_divide(F.col(f"{a}q"), total * total), "value")
         if "top_share" in column.outputs:
-            aggs.append(F.max(F.when(mine, m)).alias(f"{a}x"))
+            need(f"{a}x", F.max(F.when(mine, m)), F.max)
             out[f"{column.name}_top_share"] = (ratio(F.col(f"{a}x"), F.col(f"{a}t")), "value")
-    df = counted.groupBy(*keys).agg(*aggs)
-    df = df.select(*keys, *(value.alias(name) for name, (value, _) in out.items()))
-    return Reduction(df, tuple(Feature(name, kind) for name, (_, kind) in out.items()), timed)
+    return aggs, merged, out
 
 
 def _ratios_of_counts(result: Reduction, relation: Relation) -> Reduction:
@@ -551,7 +630,8 @@ def gap_profile(rows: DataFrame, prefix: str, scope: Scope) -> Reduction:
     total = atoms.need("us", F.col("us"))
     low, high = atoms.need("lo", F.col("lo"), "min"), atoms.need("hi", F.col("hi"), "max")
     std = atoms.deviation("gap")
-    merged = atoms.combine(cells, Scope(grid, "t", True))
+    scope = Scope(grid, "t", True)
+    merged = atoms.combine(scope.gathered(cells), scope)
     mean = ratio(total, n) / F.lit(DAY_MICROS)
     out = {
         f"{prefix}_gap_mean": mean,
@@ -680,25 +760,27 @@ def versions(reduction: Reduction, last: int) -> DataFrame:
     """
     names = [f.name for f in reduction.features]
     by_key, state = Window.partitionBy(KEY).orderBy(CUT), F.struct(*names)
+    end = F.col(UNTIL) if reduction.steps else F.col(CUT)
     missing = F.struct(*(F.lit(None).cast(reduction.df.schema[n].dataType).alias(n) for n in names))
     rows = reduction.df.select(
         KEY,
         CUT,
         state.alias("state"),
-        F.lag(CUT).over(by_key).alias("before"),
+        end.alias("end"),
+        F.lag(end).over(by_key).alias("before"),
         F.lag(state).over(by_key).alias("former"),
         F.lead(CUT).over(by_key).alias("next"),
     )
     follows = F.coalesce(F.col("before") == F.col(CUT) - 1, F.lit(False))
     same = follows & F.col("former").eqNullSafe(F.col("state"))
-    ends = (F.col(CUT) < last) & ~F.coalesce(F.col("next") == F.col(CUT) + 1, F.lit(False))
+    ends = (F.col("end") < last) & ~F.coalesce(F.col("next") == F.col("end") + 1, F.lit(False))
 
     def event(when: Column, since: Column, state: Column) -> Column:
         return F.when(when, F.struct(since.cast("int").alias("since"), state.alias("state")))
 
     events = F.array(
         event(~same, F.col(CUT), F.col("state")),
-        event(ends, F.col(CUT) + 1, missing),
+        event(ends, F.col("end") + 1, missing),
         event(F.col("before").isNull() & (F.col(CUT) > 0), F.lit(0), missing),
     )
     changes = rows.select(KEY, F.inline(F.filter(events, lambda e: e.isNotNull())))
@@ -709,26 +791,40 @@ def versions(reduction: Reduction, last: int) -> DataFrame:
 def _meet_versions(located: DataFrame, dynamic: Sequence[tuple[Reduction, str]], own: Scope) -> DataFrame:
     """Located rows cut into runs of cutoffs over which all features below them stay the same."""
     last = len(own.grid) - 1
-    for child, key in dynamic:
-        if key in own.masks:
-            # Before the looked-up row is visible its key leads nowhere.
-            others = [c for c in located.columns if c not in (FROM, TO, key)]
-            entry, nowhere = own.entry(key), F.lit(None).cast(located.schema[key].dataType)
-            runs = F.array(
-                F.struct(F.col(FROM), F.least(F.col(TO), entry - 1).alias(TO), nowhere.alias(key)),
-                F.struct(F.greatest(F.col(FROM), entry).alias(FROM), F.col(TO), F.col(key)),
-            )
-            located = located.select(*others, F.inline(runs)).where(F.col(FROM) <= F.col(TO))
-        right = versions(child, last).withColumnRenamed(KEY, "__right")
-        meets = (F.col(key) == F.col("__right")) & (F.col("since") <= F.col(TO)) & (F.col(FROM) <= F.col("until"))
-        joined = located.join(right, meets, "left")
-        # greatest and least skip the NULLs of rows without a version.
-        located = joined.withColumns({FROM: F.greatest(FROM, "since"), TO: F.least(TO, "until")}).drop(
-            "__right", "since", "until"
+    for key in dict.fromkeys(k for _, k in dynamic if k in own.masks):
+        # Before the looked-up row is visible its key leads nowhere. Split once, so that all joins by a key share a shuffle.
+        others = [c for c in located.columns if c not in (FROM, TO, key)]
+        entry, nowhere = own.entry(key), F.lit(None).cast(located.schema[key].dataType)
+        runs = F.array(
+            F.struct(F.col(FROM), F.least(F.col(TO), entry - 1).alias(TO), nowhere.alias(key)),
+            F.struct(F.greatest(F.col(FROM), entry).alias(FROM), F.col(TO), F.col(key)),
         )
+        located = located.select(*others, F.inline(runs)).where(F.col(FROM) <= F.col(TO))
+    for key in dict.fromkeys(k for _, k in dynamic):
+        located = located.withColumn("__place", _scattered(key, located.schema[key].dataType))
+        for child in (c for c, k in dynamic if k == key):
+            right = versions(child, last).withColumnRenamed(KEY, "__right")
+            equal = (F.col("__place") == F.col("__right")) & F.col(key).isNotNull()
+            meets = equal & (F.col("since") <= F.col(TO)) & (F.col(FROM) <= F.col("until"))
+            joined = located.join(right, meets, "left")
+            # greatest and least skip the NULLs of rows without a version.
+            located = joined.withColumns({FROM: F.greatest(FROM, "since"), TO: F.least(TO, "until")}).drop(
+                "__right", "since", "until"
+            )
+        located = located.drop("__place")
     return located
 
 
+def _scattered(key: str, dtype: T.DataType) -> Column:
+    """The key, with any other value for NULL: rows that lead nowhere would all meet in one task."""
+    drawn = F.xxhash64(KEY, FROM, TO)
+    if isinstance(dtype, T.IntegerType):
+        drawn = F.hash(KEY, FROM, TO)
+    elif not isinstance(dtype, (T.LongType, T.StringType)):
+        return F.col(key)
+    return F.coalesce(F.col(key), drawn.cast(dtype))
+
+
 def reduce_hops(
     rows: DataFrame,
     dynamic: Sequence[tuple[Reduction, str]],
@@ -756,11 +852,12 @@ def reduce_hops(
         for child, key in dynamic:
             right = child.df.select(CUT, F.col(KEY).alias(key), *(f.name for f in child.features))
             pieces = pieces.join(right, [CUT, key], "left")
-    partial, merged, out = [], [], {}
+    partial, merged, merges, out = [], [], {}, {}
 
     def need(name: str, value: Column, merge: str) -> Column:
         partial.append(value.alias(name))
         merged.append(MERGE[merge](name).alias(name))
+        merges[name] = merge
         return F.col(name)
 
     for child, _ in dynamic:
@@ -777,17 +874,30 @@ def reduce_hops(
             for stat in ("min", "max"):
                 if stat in stats:
                     out[f"{f.name}_{stat}"] = (need(f"{f.name}_{stat}", MERGE[stat](value), stat), "value")
-    if folds:
-        df = grid.spread(pieces.groupBy(KEY, FROM, TO).agg(*partial)).groupBy(CUT, KEY).agg(*merged)
+    texts = [f.name for c, _ in dynamic for f in c.features if f.kind == "text"]
+    modes = [ValueColumn(name, F.col(name), ("mode",)) for name in texts]
+    of_modes, _, made = _profile(modes)
+    if folds and modes:
+        # One pass over the pieces: a cell is copied as row -1, its numbers, and a row per text value.
+        cells = pieces.groupBy(KEY, FROM, TO, *texts).agg(*partial, F.count(F.lit(1)).alias("m"))
+        none = [F.lit(None).cast(cells.schema[n].dataType).alias(n) for n in merges]
+        stacked = [F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("v"), *merges)]
+        stacked += [F.struct(F.lit(i).alias("i"), F.col(t).cast("string").alias("v"), *none) for i, t in enumerate(texts)]
+        cells = own.gathered(cells)
+        rows = cells.select(KEY, FROM, TO, "m", F.inline(F.array(*stacked))).where((F.col("i") < 0) | F.col("v").isNotNull())
+        counted = grid.spread(rows).groupBy(CUT, KEY, "i", "v").agg(*merged, F.sum("m").alias("m"))
+        numbers = [MERGE[m](F.when(F.col("i") < 0, F.col(n))).alias(n) for n, m in merges.items()]
+        df = counted.groupBy(CUT, KEY).agg(*numbers, *of_modes)
+    elif folds:
+        cells = own.gathered(pieces.groupBy(KEY, FROM, TO).agg(*partial))
+        df = grid.spread(cells).groupBy(CUT, KEY).agg(*merged)
     else:
         df = pieces.groupBy(CUT, KEY).agg(*partial)
-    df = df.select(CUT, KEY, *(v.alias(n) for n, (v, _) in out.items()))
-    folded = Reduction(df, tuple(Feature(n, k) for n, (_, k) in out.items()), True)
-    modes = [ValueColumn(f.name, F.col(f.name), ("mode",)) for c, _ in dynamic for f in c.features if f.kind == "text"]
-    if not modes:
+    if folds:
+        out |= made
+    folded = Reduction(
+        df.select(CUT, KEY, *(v.alias(n) for n, (v, _) in out.items())), tuple(Feature(n, k) for n, (_, k) in out.items()), True
+    )
+    if folds or not modes:
         return folded
-    if not folds:
-        return folded.join(_folded_values(pieces, modes, [CUT, KEY], True))
-    cells = _stacked(pieces, modes).groupBy(KEY, FROM, TO, "i", "v").agg(F.count(F.lit(1)).alias("m"))
-    counted = grid.spread(cells).groupBy(CUT, KEY, "i", "v").agg(F.sum("m").alias("m"))
-    return folded.join(_profile_of_counts(counted, modes, [CUT, KEY], True))
+    return folded.join(_folded_values(pieces, modes, [CUT, KEY], True))

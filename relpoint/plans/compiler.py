@@ -19,8 +19,10 @@ from relpoint.operators.reduce import (
     Feature,
     Reduction,
     Scope,
+    changes_in_steps,
     reduce_hops,
     reduce_rows,
+    reduce_steps,
 )
 from relpoint.sources.tables import assert_unique, repeated_keys
 from relpoint.spec import CompressionGraph, Edge, Relation
@@ -139,20 +141,23 @@ class _Node:
     dynamic: list[tuple[Reduction, str]] = field(default_factory=list)
 
 
-def _build(graph: CompressionGraph, frozen: FrozenPlan, grid: CutoffGrid, name: str, depth: int) -> _Node:
+def _build(
+    graph: CompressionGraph, frozen: FrozenPlan, grid: CutoffGrid, name: str, depth: int, steps: bool = False
+) -> _Node:
+    """``steps``: whoever takes the features below joins them as intervals."""
     relation = graph.relation(name)
     node = _Node(relation, relation.prepared(graph.keys_of(name)), frozen.columns[name])
     for edge in graph.children(name, depth):
         if edge.reduce:
-            _attach_reduction(graph, frozen, grid, node, edge, depth)
+            _attach_reduction(graph, frozen, grid, node, edge, depth, steps)
         else:
-            _attach_lookup(graph, frozen, grid, node, edge, depth)
+            _attach_lookup(graph, frozen, grid, node, edge, depth, steps)
     return node
 
 
-def _attach_reduction(graph, frozen, grid, node: _Node, edge: Edge, depth: int) -> None:
+def _attach_reduction(graph, frozen, grid, node: _Node, edge: Edge, depth: int, steps: bool) -> None:
     key = node.relation.col(edge.parent_key)
-    for reduction in _reduce(graph, frozen, grid, edge, depth + 1):
+    for reduction in _reduce(graph, frozen, grid, edge, depth + 1, steps):
         if reduction.timed:
             node.dynamic.append((reduction, key))
             continue
@@ -166,12 +171,12 @@ def _attach_reduction(graph, frozen, grid, node: _Node, edge: Edge, depth: int)
         node.plan = node.plan.merged(ColumnPlan(numeric=numeric, categorical=text))
 
 
-def _attach_lookup(graph, frozen, grid, node: _Node, edge: Edge, depth: int) -> None:
+def _attach_lookup(graph, frozen, grid, node: _Node, edge: Edge, depth: int, steps: bool) -> None:
     """Left join parent attributes. Catalyst and AQE choose broadcast by measured size.
 
     A key that occurs twice would multiply the child's rows; the plan raises an error for it.
     """
-    child = _build(graph, frozen, grid, edge.child, depth + 1)
+    child = _build(graph, frozen, grid, edge.child, depth + 1, steps)
     key, target = node.relation.col(edge.parent_key), child.relation.col(edge.child_key)
     carried = [k for _, k in child.dynamic]
     masks = {}
@@ -204,18 +209,20 @@ def _attach_lookup(graph, frozen, grid, node: _Node, edge: Edge, depth: int) ->
     node.dynamic += child.dynamic
 
 
-def _reduce(graph, frozen, grid, edge: Edge, depth: int) -> list[Reduction]:
+def _reduce(graph, frozen, grid, edge: Edge, depth: int, steps: bool) -> list[Reduction]:
     """Bottom-up: reduce the subtree below ``edge.child`` to the edge's key."""
-    node = _build(graph, frozen, grid, edge.child, depth)
-    relation = node.relation
+    relation = graph.relation(edge.child)
+    folds = Scope.folds(grid, relation.time, graph.strategy)
+    node = _build(graph, frozen, grid, edge.child, depth, folds)
     key = F.col(relation.col(edge.child_key))
     rows = node.rows.where(key.isNotNull()).withColumn(KEY, key)
     windowed = replace(grid, windows=relation.windows)
     scope = Scope.of(windowed, relation.time, graph.strategy, node.masks)
+    if steps and scope.timed and not node.dynamic and changes_in_steps(relation):
+        return reduce_steps(rows, relation, node.plan, scope)
     own = reduce_rows(rows, relation, node.plan, scope)
     if not node.dynamic:
         return [own]
-    folds = Scope.folds(grid, relation.time, graph.strategy)
     hops = reduce_hops(rows, node.dynamic, scope, grid, graph.hop_stats, folds)
     return [own.join(hops)] if own.timed else [own, hops]
 
