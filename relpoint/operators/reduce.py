@@ -95,7 +95,8 @@ class Scope:
         if time_col is None and not masks:
             return cls(None, None, False)
         # Without a clock of its own, looked-up columns still appear over time.
-        return cls(grid, time_col, cls.folds(grid, time_col, strategy), masks or {})
+        folds = cls.folds_wide if masks else cls.folds
+        return cls(grid, time_col, folds(grid, time_col, strategy), masks or {})
 
     @staticmethod
     def folds(grid: CutoffGrid, time_col: str | None, strategy: str) -> bool:
@@ -103,6 +104,11 @@ class Scope:
         copied = grid.folds_first if time_col else len(grid) > FEW_COPIES
         return strategy == "bucket" or (strategy == "auto" and copied)
 
+    @classmethod
+    def folds_wide(cls, grid: CutoffGrid, time_col: str | None, strategy: str) -> bool:
+        """The same for rows that carry looked-up values: two copies of their values already cost more than cells."""
+        return cls.folds(grid, time_col, strategy) or (strategy == "auto" and grid.copies > 1)
+
     @property
     def timed(self) -> bool:
         return self.grid is not None
