@@ -855,9 +855,14 @@ def reduce_hops(
         pieces = _meet_versions(located, dynamic, own)
     else:
         pieces = own.spread(located)
-        for child, key in dynamic:
-            right = child.df.select(CUT, F.col(KEY).alias(key), *(f.name for f in child.features))
-            pieces = pieces.join(right, [CUT, key], "left")
+        for key in keys:
+            pieces = pieces.withColumn("__place", _scattered(key, pieces.schema[key].dataType))
+            for child in (c for c, k in dynamic if k == key):
+                names = [f.name for f in child.features]
+                right = child.df.select(F.col(CUT).alias("__rcut"), F.col(KEY).alias("__right"), *names)
+                equal = (F.col(CUT) == F.col("__rcut")) & (F.col("__place") == F.col("__right"))
+                pieces = pieces.join(right, equal & F.col(key).isNotNull(), "left").drop("__rcut", "__right")
+            pieces = pieces.drop("__place")
     partial, merged, merges, out = [], [], {}, {}
 
     def need(name: str, value: Column, merge: str) -> Column:

@@ -14,6 +14,7 @@ from relpoint.operators.reduce import (
     Scope,
     ValueColumn,
     _meet_versions,
+    reduce_hops,
     reduce_rows,
     reduce_steps,
     value_profile,
@@ -95,3 +96,23 @@ def test_rows_that_lead_nowhere_spread_over_tasks(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_looked_up_values_are_folded_from_two_cutoffs_on():
+    assert Scope.of(CutoffGrid(CUTOFFS[:3]), "t", "auto", {"x": "seen"}).bucket
+    assert not Scope.of(CutoffGrid(CUTOFFS[:3]), "t", "auto").bucket
+    assert not Scope.of(CutoffGrid(CUTOFFS[:3]), "t", "expand", {"x": "seen"}).bucket
+
+
+def test_copied_rows_that_lead_nowhere_are_scattered(spark):
+    rows = spark.range(400).select(
+        (F.col("id") % 5).alias(KEY), F.lit(START).cast("timestamp_ntz").alias("t"),
+        F.when(F.col("id") % 10 == 0, F.col("id")).alias("order"),
+    )
+    below = spark.range(400).select(F.col("id").alias(KEY), F.lit(1).alias(CUT), F.lit(7).cast("bigint").alias("n"))
+    grid = CutoffGrid(CUTOFFS[:3])
+    child = Reduction(below, (Feature("n", "count"),), True)
+    found = reduce_hops(rows, [(child, "order")], Scope(grid, "t", False), grid, ("sum",)).df
+    assert "xxhash64" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r[CUT], r[KEY]): r["n_sum"] for r in found.collect()}
+    assert got == {(c, k): (280 if c == 1 and k == 0 else 0) for c in range(3) for k in range(5)}
