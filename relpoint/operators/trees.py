@@ -6,11 +6,13 @@ and scored without Spark ML: scoring is a projection, with no join, no vector co
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,12 @@ def _below(lines: Iterator[str], tree: int, weight: float, node: int, features:
     yield from _below(lines, tree, weight, 2 * node + 1, features)
 
 
+def _value(bin_: float, splits: Sequence[float]) -> float:
+    """The largest value in bins up to this one; the bin of missing values lies above the last."""
+    above = math.floor(bin_) + 1
+    return math.nextafter(splits[above], -math.inf) if above < len(splits) - 1 else math.inf
+
+
 @dataclass(frozen=True)
 class Ensemble:
     """Weighted sum of trees. With ``classify`` the score is the probability of label 1, else the sum."""
@@ -58,13 +66,18 @@ class Ensemble:
     def of(cls, model: PipelineModel, features: Sequence[str]) -> Ensemble:
         """Trees of a fitted pipeline of this package; ``features`` in the order they were fitted in."""
         boosted = model.stages[-1]
+        edges = {}
+        for stage in model.stages:
+            if isinstance(stage, Bucketizer):
+                edges |= dict(zip(stage.getInputCols(), stage.getSplitsArray()))
         lines = iter([line.strip() for line in boosted.toDebugString.splitlines()[1:] if line.strip()])
         nodes: list[Node] = []
         for line in lines:
             head = _TREE.fullmatch(line)
             if head is None:
                 raise ValueError(f"not the head of a tree: {line}")
-            nodes += _below(lines, int(head[1]), float(head[2]), 1, features)
+            own = _below(lines, int(head[1]), float(head[2]), 1, features)
+            nodes += (replace(n, threshold=_value(n.threshold, edges[n.feature])) if n.feature in edges else n for n in own)
         return cls(tuple(nodes), hasattr(boosted, "numClasses"))
 
     @classmethod

@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from relpoint.operators.fit import fit_classifier, fit_regressor, score_probability, score_regression
+from relpoint.operators.fit import TrainingRows, bin_edges, fit_classifier, fit_regressor, score_probability, score_regression
 from relpoint.operators.trees import Ensemble, Node, stage_losses, stop_early
 
 GRID = ({"maxDepth": 3, "maxIter": 4},)
@@ -66,3 +66,29 @@ def test_missing_goes_right(spark):
     nodes = (Node(0, 1.0, 1, "a.b", 1.0, None), Node(0, 1.0, 2, None, None, -1.0), Node(0, 1.0, 3, None, None, 1.0))
     rows = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (None,), (float("nan"),)], "`a.b` double")
     assert [r[0] for r in rows.select(Ensemble(nodes, False).score()).collect()] == [-1.0, -1.0, 1.0, 1.0, 1.0]
+
+
+def test_copies_are_one_row_with_their_weight(spark, rows):
+    copies = rows.crossJoin(spark.range(25).select(F.lit(2.0).alias("w")))
+    once, many = (TrainingRows.of(r, ["a", "b"], "y", w) for r, w in ((rows, None), (copies, "w")))
+    assert many.rows.count() == once.rows.count() <= 32 * 3 * 2
+    assert many.rows.agg(F.sum("__rows")).first()[0] == 400 * 50.0
+    models = [fit_classifier(r, r, ["a", "b"], "y", w, GRID).model for r, w in ((rows, None), (copies, "w"))]
+    scores = [r[0] - r[1] for r in score_probability(models[0], rows).withColumnRenamed("score", "one").transform(
+        lambda df: score_probability(models[1], df)).select("one", "score").collect()]
+    assert len(scores) == 400 and max(map(abs, scores)) < 1e-9
+
+
+def test_few_values_have_an_edge_between_each(spark):
+    values = [(float(i % 30), None, 7.0, float(i)) for i in range(1500)] + [(float("nan"), None, 7.0, float("inf"))]
+    found = bin_edges(spark.createDataFrame(values, "a double, b double, c double, d double"), list("abcd"))
+    assert found[0] == [i + 0.5 for i in range(29)] and found[1:3] == [[], []]
+    assert len(found[3]) == 31 and all(abs(e - 1500 * k / 32) <= 2 for k, e in enumerate(found[3], 1))
+
+
+def test_missing_values_go_the_same_way_in_both(rows):
+    model = fit_classifier(rows, rows, ["a", "b"], "y", grid=GRID).model
+    trees = Ensemble.of(model, ["a", "b"])
+    scored = score_probability(model, rows.withColumn("own", trees.score()))
+    assert scored.where(F.abs(F.col("own") - F.col("score")) > 1e-9).isEmpty()
+    assert scored.where("b is null or isnan(b)").count() > 100
