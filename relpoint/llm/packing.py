@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relpoint.llm.common import parts, read, small_batches, store, texts
+from relpoint.llm.common import give_back, parts, read, small_batches, store, texts
 
 CAPACITY = 2048
-#: Word pieces that a task remembers between texts.
-MEMORY = 500_000
+#: Word pieces that a task remembers between texts, and those that go to the tokenizer at once.
+MEMORY, LEARNED = 500_000, 1 << 13
 
 _SPACE = bytes.maketrans(b"\n\t\r", b"   ")
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -49,10 +49,15 @@ class Tokens:
             else:
                 plain.append(run)
         plain += {part for pair in ends.values() for part in pair if part not in known and part not in runs}
+        # What the tokenizer tells of a token takes far more room than its id.
         words = [r for r in plain if one_word(r)]
-        self._keep(words, self._by_words(words))
+        for at in range(0, len(words), LEARNED):
+            some = words[at : at + LEARNED]
+            self._keep(some, self._by_words(some))
         others = [r for r in plain if r not in known]
-        self._keep(others, self._by_runs(others))
+        for at in range(0, len(others), LEARNED):
+            some = others[at : at + LEARNED]
+            self._keep(some, self._by_runs(some))
         for run, (base, marks) in ends.items():
             known[run] = known[base] + known[marks]
 
@@ -86,6 +91,7 @@ class Tokens:
         new = {r for runs in split for r in runs}.difference(self.known)
         if new:
             self._learn(new)
+            give_back()
         known = self.known
         return [b"".join([known[r] for r in runs]) for runs in split]
 

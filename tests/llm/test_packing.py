@@ -1,5 +1,8 @@
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -110,3 +113,23 @@ def test_repeated_rows_get_places_of_their_own(spark):
     got = pack_documents(docs, public_tokenizer(), 16)
     assert got.select("sequence_id", "offset").distinct().count() == got.count() == 50
     assert got.agg(F.max("offset")).first()[0] < 16
+
+
+def test_worker_gives_memory_back():
+    # Memory after 120,000 runs, in a process of its own: what is known of them, not what the tokenizer needed.
+    code = """
+import re, sys
+from relpoint.llm.packing import Tokens
+import public_tokenizers
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+tokens = Tokens(str(public_tokenizers.path("word_bpe_49k.json")))
+texts = [[f"wo{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{k} x{i}y{k},".encode() for i in range(15000)] for k in range(4)]
+before = held()
+for some in texts:
+    tokens.ids(some)
+print(held() - before, len(tokens.known))
+"""
+    repo = Path(__file__).resolve().parents[2]
+    got = subprocess.run([sys.executable, "-c", code], cwd=repo, capture_output=True, text=True, timeout=120, check=True)
+    grown, known = map(float, got.stdout.split())
+    assert known > 120_000 and grown < 33
