@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -430,6 +430,25 @@ def compared(table: pa.Table, how: Units) -> pa.Table:
     return pa.table({"a": pa.array(root, pa.int64()), "b": pa.array(nodes, pa.int64())})
 
 
+def bucketed(units: DataFrame) -> DataFrame:
+    """``bucket``, ``key``, ``n`` and ``other`` of the buckets that hold several units; ``n`` counts their rows.
+
+    A bucket of two rows is one row, its smaller key and the ``other``; a larger one has a row for each key. All
+    buckets are shuffled once; the window of a bucket spills.
+    """
+    bucket = Window.partitionBy("bucket")
+    banded = units.select("key", F.explode("bands").alias("bucket"))
+    seen = banded.select(
+        "bucket",
+        "key",
+        F.count(F.lit(1)).over(bucket).alias("n"),
+        F.min("key").over(bucket).alias("a"),
+        F.max("key").over(bucket).alias("b"),
+    )
+    several = seen.where("a < b and (n > 2 or key = a)")
+    return several.select("bucket", "key", "n", F.when(F.col("n") == 2, F.col("b")).alias("other")).distinct()
+
+
 def joined_units(docs: DataFrame, how: Units, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each unit: ``id, unit, key, class_key, first_id, first_unit, class_size, across, kept``.
 
@@ -442,16 +461,13 @@ def joined_units(docs: DataFrame, how: Units, id_col: str = "doc_id", text_col:
     """
     small_batches(docs.sparkSession)
     units = store(with_units(docs, how, id_col, text_col), "units")
-    banded = units.select("key", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
-    shared = store(shared.where("a < b"), "buckets")
-    # The buckets with several units are few beside all units' buckets: they are hashed, not sorted.
-    members = banded.join(shared.where("n > 2").select("bucket", "n").hint("shuffle_hash"), "bucket")
-    members = store(members.distinct(), "members")
+    placed = store(bucketed(units), "members")
+    members = placed.where("n > 2").select("bucket", "key", "n")
     centres = central(members)
     of_many = members.join(centres.hint("merge"), "bucket").where("key <> centre")
     of_many = of_many.select(F.col("centre").alias("a"), F.col("key").alias("b"))
-    stars = store(shared.where("n = 2").select("a", "b").union(of_many).distinct(), "stars")
+    of_two = placed.where("n = 2").select(F.col("key").alias("a"), F.col("other").alias("b"))
+    stars = store(of_two.union(of_many).distinct(), "stars")
     keys = store(stars.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
     known = store(unit_texts(docs, keys, how, text_col), "texts")
     edges = store(verified(stars, known, how), "links")
@@ -464,16 +480,19 @@ def joined_units(docs: DataFrame, how: Units, id_col: str = "doc_id", text_col:
     firsts = units.groupBy("key").agg(
         F.min(F.struct("id", "unit")).alias("first"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n")
     )
-    classed = store(
-        firsts.join(parts.toDF("key", "part"), "key", "left").withColumn("part", F.coalesce("part", "key")), "classed"
+    classed = store(firsts.join(parts.toDF("key", "part"), "key", "left"), "classed")
+    across = ~F.col("first.id").eqNullSafe(F.col("last_id"))
+    # Most units are linked to no other and are a class as they stand; only the rest is grouped and joined.
+    alone = classed.where("part is null").select(
+        "key", F.col("key").alias("part"), "first", F.col("n").alias("size"), across.alias("across")
     )
-    classes = classed.groupBy("part").agg(
+    linked = classed.where("part is not null")
+    classes = linked.groupBy("part").agg(
         F.min("first").alias("first"), F.max("last_id").alias("last_id"), F.sum("n").alias("size")
     )
-    across = ~F.col("first.id").eqNullSafe(F.col("last_id"))
     classes = store(classes.select("part", "first", "size", across.alias("across")), "classes")
-    labels = classed.select("key", "part").join(classes.hint("merge"), "part")
-    labels = store(labels.select("key", "part", "first", "size", "across"), "labels")
+    of_linked = linked.select("key", "part").join(classes.hint("merge"), "part")
+    labels = alone.union(of_linked.select("key", "part", "first", "size", "across"))
     found = units.select("id", "unit", "key").join(labels.hint("merge"), "key")
     return found.select(
         "id",
