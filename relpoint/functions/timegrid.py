@@ -15,6 +15,7 @@ import bisect
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
+from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ FEW_COPIES = 4
 # Edges on day boundaries are found by a day-indexed array up to this span; beyond
 # it (or for finer edges) a binary decision tree over the edges is used instead.
 MAX_DAY_TABLE = 65_536
+# Up to this many cutoffs the changes of a key are the bits of one long (its sign is left alone).
+MASK_BITS = 62
 
 
 def int_array(values: Sequence[int]) -> Column:
@@ -204,6 +207,8 @@ class CutoffGrid:
         """
         last = len(self) - 1
         changes = [F.col(c) for c in (FROM, *entries)] + [F.col(TO) + 1]
+        if last < MASK_BITS:
+            return self._spread_bits(cells, key, changes)
         found = F.flatten(F.collect_set(F.array(*changes)).over(Window.partitionBy(key)))
         steps = F.array_sort(F.filter(F.array_distinct(found), lambda c: c <= last))
         cells = cells.withColumn("__found", steps)
@@ -214,6 +219,21 @@ class CutoffGrid:
         mine = F.filter(runs, lambda r: (r[CUT] >= F.col(FROM)) & (r[CUT] <= F.col(TO)))
         return cells.select(*(c for c in cells.columns if c != "__found"), F.inline(mine))
 
+    def _spread_bits(self, cells: DataFrame, key: str, changes: Sequence[Column]) -> DataFrame:
+        """The same with a key's changes as the bits of one long: no set or array is built per key."""
+        last, one = len(self) - 1, F.lit(1).cast("bigint")
+        # The changes past the last cutoff share a bit that isn't looked at.
+        bits = [F.call_function("shiftleft", one, F.least(c, F.lit(last + 1))) for c in changes]
+        found = F.bit_or(fold(lambda a, b: a.bitwiseOR(b), bits)).over(Window.partitionBy(key))
+        cells = cells.withColumn("__found", found.bitwiseAND(F.lit((1 << last + 1) - 1)))
+        copies = cells.select("*", F.explode(F.sequence(F.col(FROM), F.col(TO))).alias(CUT))
+        copies = copies.where(F.call_function("shiftright", F.col("__found"), F.col(CUT)).bitwiseAND(one) == 1)
+        later = F.call_function("shiftright", F.col("__found"), F.col(CUT) + 1)
+        # Cutoffs between this change and the next: zeros below the lowest bit that is set.
+        ahead = F.bit_count(later.bitwiseAND(-later) - 1)
+        until = F.when(later == 0, F.lit(last)).otherwise(F.col(CUT) + ahead.cast("int"))
+        return copies.withColumn(UNTIL, until).drop("__found")
+
     def runs(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Located rows as runs of cutoffs that don't overlap within ``keys``: (keys, from, to).
 

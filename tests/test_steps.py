@@ -116,3 +116,19 @@ def test_copied_rows_that_lead_nowhere_are_scattered(spark):
     assert "xxhash64" in found._jdf.queryExecution().optimizedPlan().toString()
     got = {(r[CUT], r[KEY]): r["n_sum"] for r in found.collect()}
     assert got == {(c, k): (280 if c == 1 and k == 0 else 0) for c in range(3) for k in range(5)}
+
+
+@pytest.mark.parametrize("lookback", [None, 75])
+def test_changes_as_bits_equal_changes_as_sets(spark, lookback, monkeypatch):
+    from relpoint.functions import timegrid
+
+    grid = CutoffGrid(CUTOFFS, lookback_days=lookback)
+    cells = grid.locate(_rows(spark), "t")
+    cells = cells.withColumn("e", F.greatest(FROM, grid.entry(F.col("seen"))))
+    by_bits = grid.spread_steps(cells, KEY, ["e"])
+    plan = by_bits._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and "collect_set" not in plan
+    monkeypatch.setattr(timegrid, "MASK_BITS", 0)
+    by_sets = grid.spread_steps(cells, KEY, ["e"])
+    assert by_bits.columns == by_sets.columns
+    assert sorted(by_bits.collect(), key=str) == sorted(by_sets.collect(), key=str)
