@@ -11,6 +11,9 @@ from relpoint.llm.packing import pack_documents, public_tokenizer
 from relpoint.llm.quality import keep_good
 from relpoint.llm.simhash import drop_near, similar_texts
 
+#: Runs that a packing worker remembers and texts that it splits at once: executors are full from the stages before.
+MEMORY, AT_ONCE = 100_000, 250
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of this table, doesn't reject."""
@@ -38,7 +41,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents left, each with its token ids and its place in a sequence."""
-    packed = pack_documents(docs, public_tokenizer(), with_ids=True)
+    packed = pack_documents(docs, public_tokenizer(), with_ids=True, memory=MEMORY, at_once=AT_ONCE)
     return packed.withColumnRenamed("id", "doc_id")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relpoint.llm.common import give_back, parts, read, small_batches, store, texts
+from relpoint.llm.common import BATCH_ROWS, give_back, parts, read, small_batches, store, texts
 
 CAPACITY = 2048
 #: Word pieces that a task remembers between texts, and those that go to the tokenizer at once.
@@ -105,18 +105,25 @@ def one_word(run: bytes) -> bool:
 
 
 @lru_cache(maxsize=2)
-def tokens_of(path: str) -> Tokens:
+def tokens_of(path: str, memory: int = MEMORY) -> Tokens:
     """One for each Python worker, which keeps what it has learned from task to task."""
-    return Tokens(path)
+    return Tokens(path, memory)
 
 
 def pieces(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", with_ids: bool = False
+    docs: DataFrame,
+    tokenizer: str,
+    capacity: int = CAPACITY,
+    id_col: str = "doc_id",
+    with_ids: bool = False,
+    memory: int = MEMORY,
+    at_once: int = BATCH_ROWS,
 ) -> DataFrame:
     """Pieces of each document: ``id, piece, start, length, ids_crc32`` (and ``ids``, on request).
 
     A document is its token ids, then id 0; longer ones are cut every ``capacity`` ids. A null or blank
-    text is the id 0 alone. ``tokenizer`` is a path that every executor can open.
+    text is the id 0 alone. ``tokenizer`` is a path that every executor can open. ``memory`` and ``at_once``
+    bound a worker's room, not what is read: the runs it remembers and the texts it splits at a time.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col("text"))
@@ -125,8 +132,8 @@ def pieces(
     names = [f.name for f in fields]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_of(tokenizer)
-        for batch in batches:
+        tokens = tokens_of(tokenizer, memory)
+        for batch in (b.slice(at, at_once) for b in batches for at in range(0, b.num_rows, at_once)):
             source, found = [], []
             for row, ids in enumerate(tokens.ids(texts(batch.column(1)))):
                 ids += b"\0\0\0\0"
@@ -277,10 +284,18 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame,
+    tokenizer: str,
+    capacity: int = CAPACITY,
+    with_ids: bool = False,
+    memory: int = MEMORY,
+    at_once: int = BATCH_ROWS,
+) -> DataFrame:
     """Pieces of all documents, each with its place in a sequence; see ``pieces`` and ``pack``."""
     order = ["id", "piece", "start", "ids_crc32"]
-    return pack(pieces(docs, tokenizer, capacity, with_ids=with_ids), capacity, order)
+    found = pieces(docs, tokenizer, capacity, with_ids=with_ids, memory=memory, at_once=at_once)
+    return pack(found, capacity, order)
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:

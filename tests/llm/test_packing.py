@@ -133,3 +133,17 @@ print(held() - before, len(tokens.known))
     got = subprocess.run([sys.executable, "-c", code], cwd=repo, capture_output=True, text=True, timeout=120, check=True)
     grown, known = map(float, got.stdout.split())
     assert known > 120_000 and grown < 33
+
+
+def test_a_small_memory_gives_the_same_pieces(spark):
+    tokenizer = public_tokenizer()
+    rows = [(i, f"word{i % 7} x{i}y{i * i % 101}, and {i} more" * (i % 5)) for i in range(700)] + [(900, None)]
+    docs = documents(spark, rows).coalesce(1)
+    want = pieces(docs, tokenizer, 64, with_ids=True).collect()
+    got = pieces(docs, tokenizer, 64, with_ids=True, memory=50, at_once=30).collect()
+    assert sorted(got, key=str) == sorted(want, key=str)
+    few, all_runs = Tokens(tokenizer, memory=50), Tokens(tokenizer)
+    for at in range(0, len(rows), 30):
+        for tokens in (few, all_runs):
+            tokens.ids([(text or "").encode() for _, text in rows[at : at + 30]])
+    assert len(few.known) < len(all_runs.known) / 5
