@@ -3,7 +3,8 @@
 R(k) holds the occurrences of k-word phrases, persisted in the order of (piece, position) and cut into blocks
 of bounded size. A round counts the groups of R(k), semi-joins R(k) with the frequent ones and merge-joins the
 rest with itself at adjacent positions, which gives R(k+1): two k-word phrases that overlap in all but one
-word. Only groups travel: once per block and phrase, not once per occurrence.
+word. Only groups travel: once per block and phrase, not once per occurrence, and without their place in the
+block, which is found again in the block's sorted list.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ LEAST, LONGEST, TOP, COVER = 100, 5, 2000, 100
 #: Positions in the buffers of one task, distinct words in one buffer, and bytes of text that are split at once.
 BLOCK_WORDS, BLOCK_DISTINCT, CHUNK_BYTES = 1 << 22, 1 << 20, 1 << 23
 
-#: A group's number is a long: task (23 bits), block of the task (16 bits), place in the block (24 bits).
+#: A word's number is a long: task (23 bits), block of the task (16 bits), place in the block (24 bits).
 BLOCK_BITS, PLACE_BITS = 16, 24
 
 RELATION = "block long, lang string, own int, groups array<int>, entries array<struct<{}n:long>>"
@@ -140,8 +141,19 @@ def occurrences(docs: DataFrame, longest: int = LONGEST, chunk_bytes: int = CHUN
     return docs.mapInArrow(run, RELATION.format("word:string,"))
 
 
+def _places(a: np.ndarray, b: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where the pairs (first, second) stand among the sorted pairs (a, b), which have all of them."""
+    left, right = np.unique(a), np.unique(b)
+
+    def code(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.searchsorted(left, x) * len(right) + np.searchsorted(right, y)
+
+    return np.searchsorted(code(a, b), code(first, second))
+
+
 def extended(joined: DataFrame) -> DataFrame:
-    """R(k+1) from R(k) and the frequent groups of each block: ``places`` in the block's list, common ``ids``."""
+    """R(k+1) from R(k) and the frequent groups of each block: common ``ids``, and ``places`` in the block's list
+    or, from pairs on, the pairs ``first, second`` to find in it (``a, b``)."""
     kind = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
     at = {c: i for i, c in enumerate(joined.columns)}
 
@@ -149,8 +161,12 @@ def extended(joined: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 block, lang, own = (batch.column(at[c])[k].as_py() for c in ("block", "lang", "own"))
-                groups = batch.column(at["groups"])[k].values.to_numpy(zero_copy_only=False)
-                place, number = (batch.column(at[c])[k].values.to_numpy(zero_copy_only=False) for c in ("places", "ids"))
+
+                def array(name: str) -> np.ndarray:
+                    return batch.column(at[name])[k].values.to_numpy(zero_copy_only=False)
+
+                groups, number = array("groups"), array("ids")
+                place = array("places") if "places" in at else _places(*map(array, ("a", "b", "first", "second")))
                 # In the order of the common numbers, so that neighbours in the shuffle are alike.
                 order = np.argsort(number)
                 place, number = place[order], number[order]
@@ -187,7 +203,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
 
     Every part of a frequent phrase is frequent, so nothing is lost by extending frequent ones only. A phrase
     is the pair of its first and last k words, both named by the number of their group: no hash decides. A
-    group's number is the smallest of the numbers (block and place in it) that it has in the blocks.
+    word's number is the smallest of the numbers (block and place in it) that it has in the blocks.
     """
     spark = docs.sparkSession
     buckets = parts(spark)
@@ -197,35 +213,50 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     totals = None
     for k in range(1, longest + 1):
         relation = spark.table(names[-1])
-        groups = relation.select("block", "lang", F.posexplode("entries").alias("i", "e"))
         if k == 1:
+            groups = relation.select("block", "lang", F.posexplode("entries").alias("i", "e"))
             totals = store(groups.groupBy("lang").agg(F.sum("e.n").alias("n")), "setm-totals")
-        keys = ["lang", "word"] if k == 1 else ["a", "b"]
-        found = store(_frequent(groups, keys, least), "setm-groups")
-        levels.append(_spelled(found.where("own = id"), levels[-1] if levels else None))
+            found = store(_frequent_words(groups, least), "setm-groups")
+        else:
+            found = store(_frequent_pairs(relation.select("block", F.inline("entries")), least), "setm-groups")
+        levels.append(_spelled(found.where("f IS NOT NULL"), levels[-1] if levels else None))
         if k < longest:
-            # Which groups of a block are frequent: bounded by the block.
-            block, place = F.shiftright("own", PLACE_BITS).alias("block"), (F.col("own") % (1 << PLACE_BITS)).cast("int")
-            # Two lists of one aggregation are in the same order, and half as wide as one of structs.
-            mine = found.groupBy(block).agg(F.collect_list(place).alias("places"), F.collect_list("id").alias("ids"))
-            joined = relation.select("block", "lang", "own", "groups").join(mine.hint("merge"), "block")
+            # Which groups of a block are frequent: bounded by the block. Lists of one aggregation are in the
+            # same order, and half as wide as one of structs.
+            listed = {"ids": "id", "places": "place"} if k == 1 else {"ids": "id", "first": "a", "second": "b"}
+            mine = found.groupBy("block").agg(*(F.collect_list(c).alias(name) for name, c in listed.items()))
+            own = [] if k == 1 else [F.col(f"entries.{c}").alias(c) for c in "ab"]
+            joined = relation.select("block", "lang", "own", "groups", *own).join(mine.hint("merge"), "block")
             with one_row_batches(spark):
                 names.append(_persist(extended(joined), buckets))
         spark.sql(f"DROP TABLE {names[k - 1]}")
     return reduce(DataFrame.unionByName, (level.select("lang", "words", "f") for level in levels)), totals
 
 
-def _frequent(groups: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Groups of the blocks that are frequent in all: ``own`` and common number; keys and count once.
+def _frequent_words(groups: DataFrame, least: int) -> DataFrame:
+    """Words of the blocks that are frequent in all: ``block, place`` and common number; word and count once.
 
-    One shuffle by key serves the count and the semi-join. A key has one row per block, however often it occurs.
+    One shuffle by word serves the count and the semi-join. A word has one row per block, however often it occurs.
     """
-    same = Window.partitionBy(*keys)
+    same = Window.partitionBy("lang", "word")
     own = F.shiftleft("block", PLACE_BITS).bitwiseOR(F.col("i").cast("long")).alias("own")
-    rows = groups.select(own, *(F.col("lang") if k == "lang" else F.col(f"e.{k}") for k in keys), "e.n")
+    rows = groups.select(own, "lang", "e.word", "e.n")
     rows = rows.withColumns({"f": F.sum("n").over(same), "id": F.min("own").over(same)}).where(F.col("f") >= least)
-    once = (F.when(F.col("own") == F.col("id"), F.col(c)).alias(c) for c in ("f", *keys))
-    return rows.select("own", "id", *once)
+    block, place = F.shiftright("own", PLACE_BITS).alias("block"), (F.col("own") % (1 << PLACE_BITS)).cast("int")
+    once = (F.when(F.col("own") == F.col("id"), F.col(c)).alias(c) for c in ("f", "lang", "word"))
+    return rows.select(block, place.alias("place"), "id", *once)
+
+
+def _frequent_pairs(groups: DataFrame, least: int) -> DataFrame:
+    """The same of pairs, ``block, a, b`` and common number; the count once. What travels is a block's pairs in order.
+
+    Rows are numbered where they have come together, and a pair has the smallest number of its rows: only this
+    table, once stored, has the numbers.
+    """
+    same = Window.partitionBy("a", "b")
+    rows = groups.repartition("a", "b").withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumns({"f": F.sum("n").over(same), "id": F.min("row").over(same)}).where(F.col("f") >= least)
+    return rows.select("block", "a", "b", "id", F.when(F.col("row") == F.col("id"), F.col("f")).alias("f"))
 
 
 def _spelled(found: DataFrame, shorter: DataFrame | None) -> DataFrame:

@@ -103,3 +103,17 @@ def test_empty_tables(spark):
     phrases, totals = frequent_phrases(documents(spark, [(1, "one two. three")]), 1)
     assert {tuple(r["words"]) for r in phrases.collect()} == {("one",), ("two",), ("three",), ("one", "two")}
     assert [r["n"] for r in totals.collect()] == [3]
+
+
+def test_pairs_travel_without_their_place(spark):
+    # One row per block and pair is shuffled: what differs from row to row decides the bytes.
+    from relpoint.llm import collocations as module
+
+    groups = spark.createDataFrame([(1, 7, 8, 3), (2, 7, 8, 2), (1, 7, 9, 4), (2, 9, 7, 9)], "block long, a long, b long, n long")
+    found = module._frequent_pairs(groups, 5)
+    assert "place" not in found.columns and "own" not in found.columns
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    rows = found.collect()
+    assert {(r["block"], r["a"], r["b"]) for r in rows} == {(1, 7, 8), (2, 7, 8), (2, 9, 7)}
+    assert sorted(r["f"] for r in rows if r["f"]) == [5, 9] and len({r["id"] for r in rows}) == 2
