@@ -26,6 +26,9 @@ KEY = "__key"
 DAY_MICROS = 86_400_000_000.0
 MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 WORD = "[^ \\t\\n\\r]+"
+# Rows of peer groups are counted in so many hash buckets. The groups of a bucket with more rows than this, and so
+# many times the mean, don't meet in one task.
+PEER_BUCKETS, HEAVY_ROWS, HEAVY_TIMES = 4096, 100_000, 8
 
 
 @dataclass(frozen=True)
@@ -655,21 +658,109 @@ def context_profile(
 ) -> Reduction:
     """How the key's rows compare with their peer groups, visible rows only.
 
-    Differences to a peer mean depend on the rows only through sums, so rows are
-    folded to (key, peer group) before they meet the peer statistics.
+    Rows meet once, by peer group and before they are copied to cutoffs; what they give is summed per key
+    where they met. Groups that are too large for one task go through sums per (key, group) instead.
     """
     masks = {x: scope.masks[x] for x in numeric if x in scope.masks}
     kept = rows.select(*dict.fromkeys([KEY, scope.time_col, *peers, *numeric, *masks.values()]))
     kept = kept.where(fold(lambda a, b: a & b, [F.col(p).isNotNull() for p in peers]))
+    group = F.struct(*peers) if len(peers) > 1 else F.col(peers[0])
+    kept = kept.withColumn("__peer", group)
+    kept = kept.withColumn("__bucket", F.pmod(F.xxhash64("__peer"), F.lit(PEER_BUCKETS)))
     plain = Scope(scope.grid, scope.time_col, scope.bucket, masks)
+    heavy = F.broadcast(_heavy_buckets(kept, plain))
+    parts = [_compared(kept.join(heavy, "__bucket", "left_anti"), numeric, plain, rank)]
+    large = kept.join(heavy, "__bucket", "left_semi").drop("__bucket")
+    parts.append(_compared_folded(large, numeric, plain))
+    if rank:
+        parts += _peer_ranks(large, numeric, plain)
+    terms = [c for c in parts[0].columns if c not in (CUT, KEY)]
+    united = fold(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    df = united.groupBy(CUT, KEY).agg(*(F.sum(c).alias(c) for c in terms))
+    out = {}
+    for x in numeric:
+        out[f"{x}_peer_diff"] = ratio(F.col(f"{x}__ad"), F.col(f"{x}__an"))
+        out[f"{x}_peer_ratio"] = ratio(F.col(f"{x}__ar"), F.col(f"{x}__arn"))
+        out[f"{x}_peer_z"] = ratio(F.col(f"{x}__az"), F.col(f"{x}__azn"))
+    for x in numeric if rank else ():
+        out[f"{x}_peer_rank"] = ratio(F.col(f"{x}__as"), F.col(f"{x}__an"))
+    return Reduction(df.select(CUT, KEY, *(v.alias(k) for k, v in out.items())), tuple(Feature(k) for k in out), True)
+
+
+def _heavy_buckets(rows: DataFrame, scope: Scope) -> DataFrame:
+    """Hash buckets of peer groups that hold too many visible rows for one task: at most one in HEAVY_TIMES."""
+    visible = rows.where(scope.grid.bounds(F.col(scope.time_col), rows.schema[scope.time_col].dataType))
+    counted = visible.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
+    mean = F.sum("n").over(Window.partitionBy(F.lit(0))) / F.lit(PEER_BUCKETS)
+    counted = counted.withColumn("most", F.greatest(F.lit(HEAVY_ROWS), mean * F.lit(HEAVY_TIMES)))
+    return counted.where(F.col("n") > F.col("most")).select("__bucket")
+
+
+def _compared(rows: DataFrame, numeric: Sequence[str], scope: Scope, rank: bool) -> DataFrame:
+    """What each row adds to its key at each cutoff: a group's statistics and running counts are windows over it.
+
+    Only the rows themselves are shuffled, with the cutoffs at which they and their looked-up values show.
+    """
+    own, m = replace(scope, bucket=True), F.col("m")
+    cells = own.located(rows).select(KEY, "__peer", FROM, TO, *own.entries.values(), *numeric).repartition("__peer")
+    if scope.bucket:
+        cells = cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("m"))
+    else:
+        cells = cells.withColumn("m", F.lit(1).cast("bigint"))
+    shown = {x: own.shows([x]) for x in numeric}
+    values = [F.col(x) if shown[x] is None else F.when(shown[x], F.col(x)).alias(x) for x in numeric]
+    copies = own.grid.spread(cells).select(CUT, KEY, "__peer", "m", *values)
+    group, terms = Window.partitionBy("__peer", CUT), []
+    for x in numeric:
+        # One sort serves the statistics and the running count of a column.
+        ordered = group.orderBy(x)
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) if rank else group
+        n, value = F.when(F.col(x).isNotNull(), m), F.col(x).cast("double")
+        total = F.sum(n).over(whole)
+        found = {f"{x}__pm": ratio(F.sum(value * m).over(whole), total)}
+        if rank:
+            upto = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            found[f"{x}__share"] = ratio(F.sum(n).over(upto), total)
+        if not scope.bucket:
+            found[f"{x}__ps"] = F.stddev_pop(value).over(whole)
+        copies = copies.withColumns(found)
+        if scope.bucket:
+            # A cell stands for several rows. Equal values have no spread, whatever the last bits of their mean.
+            span = F.max(value).over(whole) - F.min(value).over(whole)
+            squares = F.sum(m * F.pow(value - F.col(f"{x}__pm"), F.lit(2.0))).over(whole)
+            copies = copies.withColumn(f"{x}__ps", F.when(span == 0, 0.0).otherwise(F.sqrt(ratio(squares, total))))
+        terms += _peer_terms(x, n, value * m)
+        if rank:
+            terms.append((F.col(f"{x}__share") * n).alias(f"{x}__as"))
+    return copies.select(CUT, KEY, *terms)
+
+
+def _peer_terms(x: str, n: Column, s: Column) -> list[Column]:
+    """What ``n`` values of the sum ``s`` add to their key's sums, beside the mean and deviation of their group."""
+    pm, ps = F.col(f"{x}__pm"), F.col(f"{x}__ps")
+    distance = s - n * pm
+    return [
+        n.alias(f"{x}__an"),
+        distance.alias(f"{x}__ad"),
+        F.try_divide(s, pm).alias(f"{x}__ar"),
+        F.when(pm != 0, n).alias(f"{x}__arn"),
+        F.try_divide(distance, ps).alias(f"{x}__az"),
+        F.when(ps != 0, n).alias(f"{x}__azn"),
+    ]
+
+
+def _compared_folded(rows: DataFrame, numeric: Sequence[str], scope: Scope) -> DataFrame:
+    """The same for groups of any size, but for ranks.
 
+    Differences to a peer mean depend on the rows only through sums, so rows are
+    folded to (key, peer group) before they meet the peer statistics.
+    """
     atoms = Atoms()
     for x in numeric:
         atoms.need(f"{x}__n", F.col(x).isNotNull().cast("bigint"), uses=[x], hidden=0)
         atoms.need(f"{x}__s", F.col(x).cast("double"), uses=[x])
         atoms.deviation(x)
-    group = F.struct(*peers) if len(peers) > 1 else F.col(peers[0])
-    by_peer = atoms.merged(kept.withColumn(KEY, group), plain)
+    by_peer = atoms.merged(rows.withColumn(KEY, F.col("__peer")), scope)
     by_peer = by_peer.select(
         CUT,
         F.col(KEY).alias("__peer"),
@@ -687,33 +778,13 @@ def context_profile(
         sums[f"{x}__n"] = F.col(x).isNotNull().cast("bigint")
         sums[f"{x}__s"] = F.col(x).cast("double")
         uses |= {f"{x}__n": x, f"{x}__s": x}
-    own = plain.counted(kept.withColumn("__peer", group), ["__peer"], sums, uses)
+    own = scope.counted(rows, ["__peer"], sums, uses)
     joined = own.join(by_peer, [CUT, "__peer"])
-    aggs, out = [], {}
-    for x in numeric:
-        n, s, pm, ps = (F.col(f"{x}__{k}") for k in ("n", "s", "pm", "ps"))
-        distance = s - n * pm
-        aggs += [
-            F.sum(n).alias(f"{x}__an"),
-            F.sum(distance).alias(f"{x}__ad"),
-            F.sum(F.try_divide(s, pm)).alias(f"{x}__ar"),
-            F.sum(F.when(pm != 0, n)).alias(f"{x}__arn"),
-            F.sum(F.try_divide(distance, ps)).alias(f"{x}__az"),
-            F.sum(F.when(ps != 0, n)).alias(f"{x}__azn"),
-        ]
-        out[f"{x}_peer_diff"] = ratio(F.col(f"{x}__ad"), F.col(f"{x}__an"))
-        out[f"{x}_peer_ratio"] = ratio(F.col(f"{x}__ar"), F.col(f"{x}__arn"))
-        out[f"{x}_peer_z"] = ratio(F.col(f"{x}__az"), F.col(f"{x}__azn"))
-    df = joined.groupBy(CUT, KEY).agg(*aggs).select(CUT, KEY, *(v.alias(k) for k, v in out.items()))
-    result = Reduction(df, tuple(Feature(k) for k in out), True)
-    if rank:
-        for part in _peer_ranks(kept.withColumn("__peer", group), numeric, plain):
-            result = result.join(part)
-    return result
+    return joined.select(CUT, KEY, *(t for x in numeric for t in _peer_terms(x, F.col(f"{x}__n"), F.col(f"{x}__s"))))
 
 
-def _peer_ranks(rows: DataFrame, numeric: Sequence[str], scope: Scope) -> list[Reduction]:
-    """Mean share of the peer group at or below the key's values, for all columns of one type at once.
+def _peer_ranks(rows: DataFrame, numeric: Sequence[str], scope: Scope) -> list[DataFrame]:
+    """Shares of the peer group at or below the key's values, for all columns of one type at once.
 
     The rows are stacked to (column, value). Slices are cut over the values of all columns together, and
     a running total is kept per (cutoff, column, peer group), so the number of columns adds no shuffle.
@@ -745,16 +816,8 @@ def _peer_ranks(rows: DataFrame, numeric: Sequence[str], scope: Scope) -> list[R
         histogram = mine.groupBy(CUT, "__peer", "i", "x").agg(F.sum("m").alias("m"))
         shares = running_share(histogram, [CUT, "__peer", "i"], "x", "m", "share", seen=stacked)
         ranked = mine.join(shares, [CUT, "__peer", "i", "x"])
-        aggs, out = [], {}
-        for i, x in enumerate(columns):
-            here = F.col("i") == i
-            aggs += [
-                F.sum(F.when(here, F.col("share") * F.col("m"))).alias(f"__s{i}"),
-                F.sum(F.when(here, F.col("m"))).alias(f"__n{i}"),
-            ]
-            out[f"{x}_peer_rank"] = ratio(F.col(f"__s{i}"), F.col(f"__n{i}"))
-        df = ranked.groupBy(CUT, KEY).agg(*aggs).select(CUT, KEY, *(v.alias(n) for n, v in out.items()))
-        found.append(Reduction(df, tuple(Feature(n) for n in out), True))
+        shared = F.col("share") * F.col("m")
+        found.append(ranked.select(CUT, KEY, *(F.when(F.col("i") == i, shared).alias(f"{x}__as") for i, x in enumerate(columns))))
     return found
 
 
